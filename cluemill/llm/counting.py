@@ -1,39 +1,40 @@
-"""Numbers of tokens of whole texts by the public tokenizers, by pieces that recur.
+"""Numbers of tokens of whole texts by the public tokenizers, by chunks that recur.
 
-Text is cut where no tokenizer merges across: into the pieces of the byte-level pattern, and between words for the
-others. A piece's count is computed once by its tokenizer and kept, so the work follows the distinct pieces and not the
-text. The counts are those of the library for the whole text.
+No tokenizer merges across a single space that has a character other than white space on at least one side, so a text
+is cut at its spaces and the chunks counted apart. A chunk is counted once by all tokenizers and kept, with the counts
+side by side in one integer, so that a text costs one sum over its chunks. Texts in which a tokenizer may merge across
+spaces (runs of spaces, spaces at either end or between line feeds) are counted whole. Either way the counts are those
+of the library for the whole text.
 """
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cluemill.llm.batching import text_slices
-from cluemill.llm.tokens import CACHE_LENGTH, CACHE_PIECES, Encoder, read_ranks, sufficient_lookahead, tokenizer_path
+from cluemill.llm.tokens import PIECES, tokenizer_path
 
 #: Kinds of tokenizer file, by which a tokenizer's file is found and read.
 KINDS = (".tiktoken", ".model", ".json")
+#: Chunks kept with their counts, and the longest chunk that is kept; when full, the cache starts anew.
+CACHE_CHUNKS = 400_000
+CACHE_LENGTH = 64
+#: Fixed value: the pieces that the word tokenizer makes of lower-case ASCII text.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+#: Bits for each tokenizer's count in a sum; so many chunks of so many characters (4 bytes each at most) fit in one. A text with a longer chunk is counted whole.
+BITS = 20
+FITTING = 1_000
+LONG_CHUNK = 200
+#: Characters that the patterns of the tokenizers and Python's do not see alike.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
-Counter = Callable[[list[str | None]], list[int]]
-
-
-class _Counts(dict):
-    def __init__(self, count: Callable[[str], int]) -> None:
-        super().__init__()
-        self.count = count
-
-    def __missing__(self, piece: str) -> int:
-        n = self.count(piece)
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = n
-        return n
+Count = Callable[[str], int]
 
 
 def tokenizer_file(name: str, folder: str | None) -> str:
@@ -44,60 +45,100 @@ def tokenizer_file(name: str, folder: str | None) -> str:
     raise ValueError(f"no tokenizer file for {name}")
 
 
-def _lines_of_words(content: bytes) -> Counter:
-    """Sentence pieces: no piece holds a line feed, or a space after another character, so words count apart."""
+def _byte_level(content: bytes) -> Count:
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
+    encode = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: len(encode(text))
+
+
+def _sentence_pieces(content: bytes) -> Count:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor()
     model.LoadFromSerializedProto(content)
-    # a word is encoded with the space that stands before it; after a line feed there is none, and the space is taken off
-    after_space = _Counts(lambda word: len(model.encode(word)))
-    after_line = _Counts(lambda word: len(model.encode("\n" + word)) - 1)
-    whole = lambda text: len(model.encode(text))
-
-    def count(texts: list[str | None]) -> list[int]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(0)
-            elif "  " in text or "▁" in text or text[0] == " " or "\n " in text or " \n" in text or text[-1] == " ":
-                out.append(whole(text))
-            else:
-                n = 0
-                for k, line in enumerate(text.split("\n")):
-                    first, *rest = line.split(" ")
-                    n += after_line[first] if k else after_space[first] if first else 1  # the space before an empty line stands alone
-                    if rest:
-                        n += sum(map(after_space.__getitem__, rest))
-                out.append(n)
-        return out
-
-    return count
-
-
-def _spaced_words(content: bytes) -> Counter:
-    """Word pieces: white space is dropped and ends a piece, so what stands between spaces counts apart."""
+    return lambda text: len(model.encode(text))
+
+
+def _word_pieces(content: bytes) -> Count:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content.decode())
     tokenizer.encode_special_tokens = True
-    word = _Counts(lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids) if x else 0)
+    pieces: dict[str, int] = {}
+    find = re.compile(ASCII_WORDS).findall
 
-    def count(texts: list[str | None]) -> list[int]:
-        return [sum(map(word.__getitem__, text.replace("\n", " ").split(" "))) if text else 0 for text in texts]
+    def of_piece(piece: str) -> int:
+        n = len(tokenizer.encode(piece, add_special_tokens=False))
+        if len(piece) <= CACHE_LENGTH:
+            if len(pieces) >= CACHE_CHUNKS:
+                pieces.clear()
+            pieces[piece] = n
+        return n
 
-    return count
+    def of_chunk(chunk: str) -> int:
+        if not chunk.isascii() or SEPARATORS.search(chunk):
+            return len(tokenizer.encode(chunk, add_special_tokens=False))
+        n = 0
+        for piece in find(chunk.lower()):
+            k = pieces.get(piece)
+            n += of_piece(piece) if k is None else k
+        return n
 
+    # white space is dropped and ends a word, and letter case is: what stands between spaces counts apart
+    return lambda text: sum(map(of_chunk, text.replace("\n", " ").split(" "))) if not text.isascii() else of_chunk(text)
 
-_WORKER: dict[tuple[str, int], object] = {}
 
+MAKERS: dict[str, Callable[[bytes], Count]] = {"tiktoken": _byte_level, "model": _sentence_pieces, "json": _word_pieces}
 
-def _kept(name: str, content: bytes, make: Callable[[], object]) -> object:
-    key = (name, len(content))
-    if key not in _WORKER:
-        _WORKER[key] = make()
-    return _WORKER[key]
+
+class _Chunks(dict):
+    """Counts of a chunk side by side, computed when first asked for."""
+
+    def __init__(self, counts: list[Count]) -> None:
+        super().__init__()
+        self.counts = counts
+
+    def __missing__(self, chunk: str) -> int:
+        n = 0
+        for k, count in enumerate(self.counts):
+            n += count(chunk) << (BITS * k)
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = n
+        return n
+
+
+class TextCounter:
+    """Counts of a text by several tokenizers at once."""
+
+    #: Spaces over which a tokenizer may merge.
+    OPEN = re.compile(r"[^\S ] [^\S ]")
+
+    def __init__(self, files: dict[str, tuple[str, bytes]]) -> None:
+        self.counts = [MAKERS[kind](content) for kind, content in files.values()]
+        # byte-level tokenizers join the space to the chunk that follows it; the others set their own mark there
+        after_space = [(lambda chunk, count=count: count(" " + chunk)) if kind == "tiktoken" else count for count, (kind, _) in zip(self.counts, files.values())]
+        self.first, self.rest = _Chunks(self.counts), _Chunks(after_space)
+
+    def text(self, text: str) -> list[int]:
+        if "  " in text or text[0] == " " or text[-1] == " " or "▁" in text or self.OPEN.search(text):
+            return [count(text) for count in self.counts]
+        first, *rest = text.split(" ")
+        if len(first) > CACHE_LENGTH or max(map(len, rest), default=0) > LONG_CHUNK:
+            return [count(text) for count in self.counts]
+        totals = [0] * len(self.counts)
+        for start in range(0, len(rest) or 1, FITTING):
+            total = sum(map(self.rest.__getitem__, rest[start : start + FITTING])) + (0 if start else self.first[first])
+            for k in range(len(totals)):
+                totals[k] += total >> (BITS * k) & ((1 << BITS) - 1)
+        return totals
+
+
+_WORKER: dict[tuple, TextCounter] = {}
 
 
 def token_counts(docs: DataFrame, key: str, text: str, names: list[str], folder: str | None = None) -> DataFrame:
@@ -109,34 +150,17 @@ def token_counts(docs: DataFrame, key: str, text: str, names: list[str], folder:
     for name in names:
         path = tokenizer_file(name, folder)
         with open(path, "rb") as file:
-            content = file.read()
-        reach = sufficient_lookahead(read_ranks(content)) if path.endswith(".tiktoken") else 0
-        files[name] = (path.rpartition(".")[2], content, reach)
+            files[name] = (path.rpartition(".")[2], file.read())
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytewise: dict[str, Encoder] = {}
-        others: dict[str, Counter] = {}
-        for name, (kind, content, reach) in shared.value.items():
-            if kind == "tiktoken":
-                bytewise[name] = _kept(name, content, lambda c=content, r=reach: Encoder(c, r))
-            else:
-                others[name] = _kept(name, content, lambda c=content, k=kind: (_lines_of_words if k == "model" else _spaced_words)(c))
+        worker_key = tuple((n, len(c)) for n, (_, c) in shared.value.items())
+        if worker_key not in _WORKER:
+            _WORKER[worker_key] = TextCounter(shared.value)
+        counter, nothing = _WORKER[worker_key], [0] * len(names)
         for batch, texts in text_slices(batches):
-            columns = {name: counter(texts) for name, counter in others.items()}
-            if bytewise:
-                encoders = list(bytewise.values())
-                find, lookups = encoders[0].find, [e.pieces.__getitem__ for e in encoders]
-                rows = [[0] * len(texts) for _ in encoders]
-                for n, body in enumerate(texts):
-                    if body:
-                        pieces = find(body)  # cut once for all tokenizers of this pattern
-                        for row, ids in zip(rows, lookups):
-                            row[n] = sum(map(len, map(ids, pieces)))
-                columns |= dict(zip(bytewise, rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[n], pa.int32()) for n in names]], names=[key, *names])
+            rows = [counter.text(body) if body else nothing for body in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=[key, *names])
 
     key_type = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"`{n}` int" for n in names))
-
-
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"`{n}` bigint" for n in names))
