@@ -27,10 +27,9 @@ CACHE_CHUNKS = 400_000
 CACHE_LENGTH = 64
 #: Fixed value: the pieces that the word tokenizer makes of lower-case ASCII text.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-#: Bits for each tokenizer's count in a sum; so many chunks of so many characters (4 bytes each at most) fit in one. A text with a longer chunk is counted whole.
+#: Bits for each tokenizer's count in a sum, and the longest text whose counts (a token a byte at most) fit in them.
 BITS = 20
-FITTING = 1_000
-LONG_CHUNK = 200
+FITTING = (1 << BITS) // 5
 #: Characters that the patterns of the tokenizers and Python's do not see alike.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -115,27 +114,30 @@ class _Chunks(dict):
 class TextCounter:
     """Counts of a text by several tokenizers at once."""
 
-    #: Spaces over which a tokenizer may merge.
-    OPEN = re.compile(r"[^\S ] [^\S ]")
+    #: Spaces over which a tokenizer may merge, and line feeds that are not between two other characters or alone in pairs.
+    OPEN_SPACE = re.compile(r"[^\S ] [^\S ]")
+    OPEN_LINE = re.compile(r"\n\s\s|[^\S\n]\n|\n[^\S\n]|\s\Z")
 
     def __init__(self, files: dict[str, tuple[str, bytes]]) -> None:
         self.counts = [MAKERS[kind](content) for kind, content in files.values()]
-        # byte-level tokenizers join the space to the chunk that follows it; the others set their own mark there
-        after_space = [(lambda chunk, count=count: count(" " + chunk)) if kind == "tiktoken" else count for count, (kind, _) in zip(self.counts, files.values())]
-        self.first, self.rest = _Chunks(self.counts), _Chunks(after_space)
+        # byte-level tokenizers join the space to the chunk that follows it; sentence pieces set a mark there, also where
+        # a line feed stands, which counts as one more token; to word pieces white space is nothing
+        rest = [(lambda chunk, c=count: c(chunk if chunk[:1] == "\n" else " " + chunk)) if kind == "tiktoken" else (lambda chunk, c=count: c(chunk) - (chunk[:1] == "\n")) if kind == "model" else count for count, (kind, _) in zip(self.counts, files.values())]
+        joined = [(lambda chunk, c=count: c(" " + chunk)) if kind == "tiktoken" else count for count, (kind, _) in zip(self.counts, files.values())]
+        self.first, self.by_line, self.by_space = _Chunks(self.counts), _Chunks(rest), _Chunks(joined)
 
     def text(self, text: str) -> list[int]:
-        if "  " in text or text[0] == " " or text[-1] == " " or "▁" in text or self.OPEN.search(text):
+        if "  " in text or text[0] in " \n" or text[-1] == " " or "▁" in text or len(text) > FITTING or self.OPEN_SPACE.search(text):
             return [count(text) for count in self.counts]
-        first, *rest = text.split(" ")
-        if len(first) > CACHE_LENGTH or max(map(len, rest), default=0) > LONG_CHUNK:
-            return [count(text) for count in self.counts]
-        totals = [0] * len(self.counts)
-        for start in range(0, len(rest) or 1, FITTING):
-            total = sum(map(self.rest.__getitem__, rest[start : start + FITTING])) + (0 if start else self.first[first])
-            for k in range(len(totals)):
-                totals[k] += total >> (BITS * k) & ((1 << BITS) - 1)
-        return totals
+        if "\n" in text and not self.OPEN_LINE.search(text):
+            # a line feed begins a chunk, as a space does
+            first, *rest = text.replace("\n", " \n").split(" ")
+            kept = self.by_line
+        else:
+            first, *rest = text.split(" ")
+            kept = self.by_line if "\n" not in text else self.by_space
+        total = self.first[first] + sum(map(kept.__getitem__, rest))
+        return [total >> (BITS * k) & ((1 << BITS) - 1) for k in range(len(self.counts))]
 
 
 _WORKER: dict[tuple, TextCounter] = {}

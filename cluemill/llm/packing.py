@@ -35,32 +35,36 @@ def sum_of_squares(sizes: Sequence[int], capacity: int) -> tuple[np.ndarray, np.
     Moving a window from level h to h+s changes the sum by 2(N[h+s] - N[h]) + 2, closing it (h+s = capacity) by
     1 - 2 N[h], opening one at s by 2 N[s] + 1. Ties: closing first, then the fullest level, then a new window.
     """
-    count = np.zeros(capacity + 1, np.int64)
-    at_level: list[list[int]] = [[] for _ in range(capacity + 1)]
+    # by gap (capacity - level); held is count where there are windows, else so small that its level is never chosen
+    none = -(1 << 30)
+    count = np.zeros(capacity + 1, np.int32)
+    held = np.full(capacity + 1, none, np.int32)
+    change = np.empty(capacity, np.int32)
+    at_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     window = np.empty(len(sizes), np.int64)
     fill: list[int] = []
-    none = np.int64(1 << 60)
     for n, s in enumerate(sizes):
-        best, level = (2 * int(count[s]) + 1 if s < capacity else -1), 0
+        w = -1
         if s < capacity:
-            held = count[1 : capacity - s + 1]
-            change = np.where(held > 0, 2 * (count[1 + s :] - held) + 2, none)
-            if held[-1] > 0:
-                change[-1] = 1 - 2 * held[-1]
-            k = len(change) - 1 - int(change[::-1].argmin())
-            if change[k] <= best:
-                level = k + 1
-        if level:
-            w = at_level[level].pop()
-            count[level] -= 1
-        else:
+            # half of the change, less one: the first of the least is the smallest gap
+            moves = np.subtract(count[: capacity - s], held[s:capacity], out=change[: capacity - s])
+            k = int(moves.argmin())
+            least, new = int(moves[k]), int(count[capacity - s])
+            if least < new or k == 0 and least == new:
+                gap = k + s
+                w = at_gap[gap].pop()
+                count[gap] -= 1
+                held[gap] = count[gap] or none
+        if w < 0:
             w = len(fill)
             fill.append(0)
         fill[w] += s
         window[n] = w
-        if fill[w] < capacity:
-            at_level[fill[w]].append(w)
-            count[fill[w]] += 1
+        gap = capacity - fill[w]
+        if gap:
+            at_gap[gap].append(w)
+            count[gap] += 1
+            held[gap] = count[gap]
     return window, np.array(fill, np.int64)
 
 
