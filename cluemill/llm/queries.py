@@ -67,6 +67,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 
+#: No SQL: normalisation, tokenizers, packing and the line model are not expressible in it.
+SQL: dict[str, str] = {}
 QUERIES = {
     "p5_found": p5_found,
     "p5_forms": p5_forms,
