@@ -174,13 +174,13 @@ _REFERENCES = f"""t AS (SELECT 'puzzle' AS target, {_KEY('puzzle_id')} AS k, loa
 UNION ALL SELECT DISTINCT 'puzzle', {_KEY('puzzle_id')}, TIMESTAMP '0001-01-01', CAST(NULL AS TIMESTAMP) FROM authored_clue
 UNION ALL SELECT 'entry', {_KEY('puzzle_id')} || chr(1) || {_KEY('entry_id')}, loaded_at, removed_at FROM clue_entry),
 g AS (SELECT clue_id, puzzle_id, loaded_at, unnest(list_distinct(group_ids)) AS g FROM clue_entry),
-r AS (SELECT 'clue_entry' AS table_name, clue_id AS row_key, 'puzzle_id' AS field_name, puzzle_id AS ref_value, 'puzzle' AS target, {_KEY('puzzle_id')} AS k, loaded_at AS at FROM clue_entry
+r AS (SELECT 'clue_entry' AS table_name, clue_id AS row_key, 'puzzle_id' AS field_name, puzzle_id AS ref_value, 'puzzle' AS target, {_KEY('puzzle_id')} AS k, loaded_at AS made FROM clue_entry
 UNION ALL SELECT 'clue_entry', clue_id, 'linked_to', linked_to, 'entry', {_KEY('puzzle_id')} || chr(1) || {_KEY('linked_to')}, loaded_at FROM clue_entry
 UNION ALL SELECT 'clue_entry', clue_id, 'group_ids', g, 'entry', {_KEY('puzzle_id')} || chr(1) || {_KEY('g')}, loaded_at FROM g
 UNION ALL SELECT 'play_save', save_id, 'puzzle_id', puzzle_id, 'puzzle', {_KEY('puzzle_id')}, received_at FROM play_save),
-j AS (SELECT table_name, row_key, field_name, ref_value, at, count(t.k) AS n, count(*) FILTER (t.a <= r.at) AS came, count(*) FILTER (t.a <= r.at AND (t.b IS NULL OR t.b > r.at)) AS alive
+j AS (SELECT table_name, row_key, field_name, ref_value, made, count(t.k) AS n, count(*) FILTER (t.a <= r.made) AS came, count(*) FILTER (t.a <= r.made AND (t.b IS NULL OR t.b > r.made)) AS alive
 FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
-p2 AS (SELECT table_name, row_key, field_name, ref_value, CASE WHEN n = 0 THEN 'missing' WHEN came = 0 THEN 'late' ELSE 'deleted' END AS reason, strftime(at, '%Y-%m') AS period FROM j WHERE alive = 0)"""
+p2 AS (SELECT table_name, row_key, field_name, ref_value, CASE WHEN n = 0 THEN 'missing' WHEN came = 0 THEN 'late' ELSE 'deleted' END AS reason, strftime(made, '%Y-%m') AS period FROM j WHERE alive = 0)"""
 _TERMS = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id, entry_id ORDER BY loaded_at DESC, clue_id DESC) AS k FROM clue_entry) WHERE k = 1 AND clue_type IS NOT NULL),
 x AS (SELECT clue_id, 'indicators' AS field_name, unnest(indicators) AS raw FROM e UNION ALL SELECT clue_id, 'clue_type', unnest(string_split(clue_type, '+')) FROM e),
 y AS (SELECT clue_id, field_name, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS term FROM x),
