@@ -22,9 +22,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cluemill.session import materialize
+
 #: Bits of the JSON kinds; the kinds of an allowance's counts are shifted by COUNT_SHIFT.
 KINDS = {"string": 1, "number": 2, "boolean": 4, "list": 8, "object": 16}
 COUNT_SHIFT = 5
@@ -152,45 +154,73 @@ def fingerprints(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.groupBy(*FILE, "field_name", "parent").agg(F.bit_or("kinds").alias("kinds"))
 
 
-def _pairs(prints: DataFrame) -> DataFrame:
-    """(series, feed, file_name, exported_at, before_name, version) of every file: one row per file, so the window per feed sorts files, not records."""
+def file_chain(prints: DataFrame) -> DataFrame:
+    """Every file with its version and the names of the files before and after it in its series.
+
+    One row per file, so the window per feed sorts files, not records.
+    """
     order = Window.partitionBy("series", "feed").orderBy("exported_at", "file_name")
-    return prints.select(*FILE).distinct().select(*FILE, F.lag("file_name").over(order).alias("before_name"), F.lead("file_name").over(order).alias("after_name"), F.row_number().over(order).alias("version"))
+    names = [F.lag("file_name").over(order).alias("before_name"), F.lead("file_name").over(order).alias("after_name")]
+    return prints.select(*FILE).distinct().select(*FILE, *names, F.row_number().over(order).alias("version"))
 
 
-def _both_roles(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _file_id(*name: str) -> Column:
+    """64 bits for a file, in place of three strings, where many rows are shuffled."""
+    return F.xxhash64(*name)
+
+
+def _both_roles(rows: DataFrame, chain: DataFrame, on: list[str]) -> DataFrame:
     """Each row once as part of its own file's pair (is_new) and once as part of the pair of the file after it."""
-    roles = F.array(F.struct(F.col("file_name").alias("pair"), F.lit(True).alias("is_new"), F.col("before_name").isNotNull().alias("real")), F.struct(F.col("after_name").alias("pair"), F.lit(False).alias("is_new"), F.col("after_name").isNotNull().alias("real")))
-    return rows.join(pairs, FILE).withColumn("role", F.explode(F.filter(roles, lambda r: r["real"]))).select("*", "role.pair", "role.is_new").drop("role")
+    roles = F.array(
+        F.struct(F.col("file_name").alias("pair"), F.lit(True).alias("is_new"), F.col("before_name").isNotNull().alias("real")),
+        F.struct(F.col("after_name").alias("pair"), F.lit(False).alias("is_new"), F.col("after_name").isNotNull().alias("real")),
+    )
+    return rows.join(chain, on).withColumn("role", F.explode(F.filter(roles, lambda r: r["real"]))).select("*", "role.pair", "role.is_new").drop("role")
 
 
 def changes(cell_rows: DataFrame) -> DataFrame:
-    """(series, feed, file_name, exported_at, version, field_name, change_kind, old_name): each change of a file against the one before."""
-    prints = fingerprints(cell_rows)
-    pairs = _pairs(prints)
+    """(series, feed, file_name, exported_at, version, field_name, change_kind, old_name): each change of a file against the one before.
+
+    Fingerprints and the fields that only one file of a pair has are small and written once; of the cells only those of
+    such fields are folded, and they are shuffled with a number for their file instead of its names.
+    """
+    prints = materialize(fingerprints(cell_rows))
+    chain = materialize(file_chain(prints))
     key = ["series", "feed", "pair"]
-    sides = _both_roles(prints.where(F.col("field_name").isNotNull()), pairs).groupBy(*key, "field_name", "parent").agg(
-        F.max(F.when(F.col("is_new"), F.col("kinds"))).alias("new_kinds"), F.max(F.when(~F.col("is_new"), F.col("kinds"))).alias("old_kinds")
-    ).where(~F.col("new_kinds").eqNullSafe(F.col("old_kinds")))
+    sides = materialize(
+        _both_roles(prints.where(F.col("field_name").isNotNull()), chain, FILE).groupBy(*key, "field_name", "parent")
+        .agg(F.max(F.when(F.col("is_new"), F.col("kinds"))).alias("new_kinds"), F.max(F.when(~F.col("is_new"), F.col("kinds"))).alias("old_kinds"))
+        .where(~F.col("new_kinds").eqNullSafe(F.col("old_kinds")))
+    )
     single = sides.where(F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).select(*key, "field_name", "parent", F.col("old_kinds").isNull().alias("is_new"))
 
-    # records of both files, and what they hold under the fields that only one file has
-    common = _both_roles(cell_rows.where(F.col("record") != 0).select(*FILE, "record").distinct(), pairs).groupBy(*key, "record").agg(F.count_distinct("is_new").alias("sides")).where("sides = 2").select(*key, "record")
+    # only a pair in which one field went and another came can hold a rename
+    open_pairs = single.groupBy(*key, "parent").agg(F.count_if("is_new").alias("_new"), F.count_if(~F.col("is_new")).alias("_old")).where("_new > 0 AND _old > 0").select(*key, "parent")
+    before = chain.select("series", "feed", F.col("file_name").alias("pair"), "before_name")
+    holder = F.when(F.col("is_new"), F.col("pair")).otherwise(F.col("before_name"))
+    wanted = single.join(open_pairs, [*key, "parent"], "left_semi").join(before, key).select(
+        _file_id("series", "feed", "pair").alias("pair_id"), F.xxhash64("series", "feed", holder).alias("file_id"), "is_new", "field_name", "parent"
+    )
+    numbers = chain.select(_file_id("series", "feed", "file_name").alias("file_id"), F.xxhash64("series", "feed", "file_name").alias("file_name"), F.when(F.col("before_name").isNotNull(), F.xxhash64("series", "feed", "before_name")).alias("before_name"), F.when(F.col("after_name").isNotNull(), F.xxhash64("series", "feed", "after_name")).alias("after_name"))
+
+    # records of both files of a pair, and what they hold under the fields that only one of them has
+    records = cell_rows.where((F.col("record") != 0) & F.col("field_name").isNull()).select(_file_id("series", "feed", "file_name").alias("file_id"), "record").distinct()
+    in_both = _both_roles(records, numbers, ["file_id"]).groupBy(F.col("pair").alias("pair_id"), "record").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select("pair_id", "record")
     held = (
-        _both_roles(cell_rows.where((F.col("record") != 0) & F.col("field_name").isNotNull()).select(*FILE, "record", "field_name", "parent", "h1", "h2"), pairs)
-        .join(single, [*key, "is_new", "field_name", "parent"], "left_semi")
-        .select(*key, "is_new", "field_name", "parent", "record", "h1", "h2").distinct()
-        .join(common, [*key, "record"], "left_semi")
+        cell_rows.where((F.col("record") != 0) & F.col("field_name").isNotNull()).select(_file_id("series", "feed", "file_name").alias("file_id"), "field_name", "record", "h1", "h2")
+        .join(wanted, ["file_id", "field_name"]).select("pair_id", "is_new", "field_name", "parent", "record", "h1", "h2").distinct()
+        .join(in_both, ["pair_id", "record"], "left_semi")
     )
-    folds = held.groupBy(*key, "is_new", "field_name", "parent").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count(F.lit(1)).alias("n"))
-    fold = [*key, "parent", "x1", "x2", "n"]
-    renamed = folds.where("is_new").select(*fold, "field_name").join(folds.where("not is_new").select(*fold, F.col("field_name").alias("old_name")), fold).select(*key, "field_name", "old_name")
+    folds = materialize(held.groupBy("pair_id", "is_new", "field_name", "parent").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count(F.lit(1)).alias("n")))
+    fold = ["pair_id", "parent", "x1", "x2", "n"]
+    renamed = folds.where("is_new").select(*fold, "field_name").join(folds.where("not is_new").select(*fold, F.col("field_name").alias("old_name")), fold)
+    renamed = renamed.join(chain.select("series", "feed", F.col("file_name").alias("pair"), _file_id("series", "feed", "file_name").alias("pair_id")), "pair_id").select(*key, "field_name", "old_name")
 
-    gone = renamed.select(*key, F.col("field_name").alias("field_name"), F.lit(True).alias("is_new")).union(renamed.select(*key, "old_name", F.lit(False))).distinct()
+    gone = renamed.select(*key, "field_name", F.lit(True).alias("is_new")).union(renamed.select(*key, "old_name", F.lit(False))).distinct()
     plain = single.join(gone, [*key, "field_name", "is_new"], "left_anti").select(*key, "field_name", F.when(F.col("is_new"), "added").otherwise("removed").alias("change_kind"), F.lit("").alias("old_name"))
     retyped = sides.where(F.col("new_kinds").isNotNull() & F.col("old_kinds").isNotNull()).select(*key, "field_name", F.lit("retyped").alias("change_kind"), F.lit("").alias("old_name"))
     every = plain.unionByName(retyped).unionByName(renamed.select(*key, "field_name", F.lit("renamed").alias("change_kind"), "old_name"))
-    return every.withColumnRenamed("pair", "file_name").join(pairs.select(*FILE, "version"), ["series", "feed", "file_name"])
+    return every.withColumnRenamed("pair", "file_name").join(chain.select(*FILE, "version"), ["series", "feed", "file_name"])
 
 
 def migrations(change_rows: DataFrame) -> DataFrame:
@@ -215,7 +245,7 @@ def migrations(change_rows: DataFrame) -> DataFrame:
 
 def unified(cell_rows: DataFrame, change_rows: DataFrame) -> DataFrame:
     """One row per file and record: fields as a map from first name to value (JSON text), cast to text where kinds differ over files."""
-    pairs = _pairs(fingerprints(cell_rows)).select(*FILE, "version")
+    pairs = file_chain(cell_rows).select(*FILE, "version")
     rules = migrations(change_rows)
     named = cell_rows.where(F.col("field_name").isNotNull() & (F.col("record") != 0)).select(*FILE, "record", "field_name", "value").distinct().join(pairs, FILE)
     ruled = named.join(rules, ["series", "feed", "field_name"], "left").where(F.col("from_version").isNull() | (F.col("from_version") <= F.col("version")))
