@@ -1,9 +1,8 @@
 """Numbers of tokens of whole texts by the public tokenizers, by chunks that recur.
 
-No tokenizer merges across a single space that has a character other than white space on at least one side, so a text
-is cut at its spaces and the chunks counted apart. A chunk is counted once by all tokenizers and kept, with the counts
-side by side in one integer, so that a text costs one sum over its chunks. Texts in which a tokenizer may merge across
-spaces (runs of spaces, spaces at either end or between line feeds) are counted whole. Either way the counts are those
+No tokenizer merges across the start of a run of white space, so a text is cut there and the chunks counted apart. A chunk is counted once by all tokenizers and kept under a
+number, so that a text costs a lookup for each of its chunks, and a slice of texts one sum over an array. Texts with
+rare white space, which may be part of a sentence piece, are counted whole. Either way the counts are those
 of the library for the whole text.
 """
 
@@ -12,8 +11,10 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,14 +23,11 @@ from cluemill.llm.tokens import PIECES, tokenizer_path
 
 #: Kinds of tokenizer file, by which a tokenizer's file is found and read.
 KINDS = (".tiktoken", ".model", ".json")
-#: Chunks kept with their counts, and the longest chunk that is kept; when full, the cache starts anew.
+#: Chunks kept with their counts, and the longest chunk that is kept; when full, the caches start anew with the next slice.
 CACHE_CHUNKS = 400_000
 CACHE_LENGTH = 64
 #: Fixed value: the pieces that the word tokenizer makes of lower-case ASCII text.
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-#: Bits for each tokenizer's count in a sum, and the longest text whose counts (a token a byte at most) fit in them.
-BITS = 20
-FITTING = (1 << BITS) // 5
 #: Characters that the patterns of the tokenizers and Python's do not see alike.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -78,8 +76,11 @@ def _word_pieces(content: bytes) -> Count:
         return n
 
     def of_chunk(chunk: str) -> int:
+        n = pieces.get(chunk)
+        if n is not None:
+            return n
         if not chunk.isascii() or SEPARATORS.search(chunk):
-            return len(tokenizer.encode(chunk, add_special_tokens=False))
+            return of_piece(chunk)
         n = 0
         for piece in find(chunk.lower()):
             k = pieces.get(piece)
@@ -87,57 +88,96 @@ def _word_pieces(content: bytes) -> Count:
         return n
 
     # white space is dropped and ends a word, and letter case is: what stands between spaces counts apart
-    return lambda text: sum(map(of_chunk, text.replace("\n", " ").split(" "))) if not text.isascii() else of_chunk(text)
+    return lambda text: sum(map(of_chunk, filter(None, text.replace("\n", " ").split(" "))))
 
 
 MAKERS: dict[str, Callable[[bytes], Count]] = {"tiktoken": _byte_level, "model": _sentence_pieces, "json": _word_pieces}
 
 
 class _Chunks(dict):
-    """Counts of a chunk side by side, computed when first asked for."""
+    """Number of a chunk; its counts are added to the tables when it is first asked for.
 
-    def __init__(self, counts: list[Count]) -> None:
+    spaced: a space stands before the chunk. Byte-level tokenizers join it to the chunk; sentence pieces set a mark there,
+    as they do at the start of a text; to word pieces white space is nothing. lines: a chunk may begin with a line feed
+    that stands in place of the space, before which sentence pieces set no mark.
+    """
+
+    def __init__(self, tables: list[array], counts: list[tuple[Count, str]], spaced: bool, lines: bool) -> None:
         super().__init__()
-        self.counts = counts
+        self.tables, self.counts, self.spaced, self.lines = tables, counts, spaced, lines
 
     def __missing__(self, chunk: str) -> int:
-        n = 0
-        for k, count in enumerate(self.counts):
-            n += count(chunk) << (BITS * k)
+        begins_line = self.lines and chunk[:1] in ("\n", "\t")
+        joined = " " + chunk if self.spaced and not begins_line else chunk
+        number = len(self.tables[0])
+        for table, (count, kind) in zip(self.tables, self.counts):
+            if kind == "tiktoken":
+                table.append(count(joined))
+            elif kind == "model":
+                table.append(count(chunk) - begins_line if chunk or not self.spaced else 1)
+            else:
+                table.append(count(chunk))
         if len(chunk) <= CACHE_LENGTH:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = n
-        return n
+            self[chunk] = number
+        return number
 
 
 class TextCounter:
-    """Counts of a text by several tokenizers at once."""
+    """Counts of texts by several tokenizers at once."""
 
-    #: Spaces over which a tokenizer may merge, and line feeds that are not between two other characters or alone in pairs.
+    #: White space that pieces of a sentence tokenizer may hold, beside CR; line feeds and tabs are bytes to it.
+    RARE_SPACE = re.compile("[\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: A run of white space with what follows it: no byte-level piece reaches over the start of a run.
+    RUNS = re.compile("[ \n\t]*[^ \n\t]+|[ \n\t]+")
+    #: Spaces inside a run of white space.
     OPEN_SPACE = re.compile(r"[^\S ] [^\S ]")
-    OPEN_LINE = re.compile(r"\n\s\s|[^\S\n]\n|\n[^\S\n]|\s\Z")
 
     def __init__(self, files: dict[str, tuple[str, bytes]]) -> None:
-        self.counts = [MAKERS[kind](content) for kind, content in files.values()]
-        # byte-level tokenizers join the space to the chunk that follows it; sentence pieces set a mark there, also where
-        # a line feed stands, which counts as one more token; to word pieces white space is nothing
-        rest = [(lambda chunk, c=count: c(chunk if chunk[:1] == "\n" else " " + chunk)) if kind == "tiktoken" else (lambda chunk, c=count: c(chunk) - (chunk[:1] == "\n")) if kind == "model" else count for count, (kind, _) in zip(self.counts, files.values())]
-        joined = [(lambda chunk, c=count: c(" " + chunk)) if kind == "tiktoken" else count for count, (kind, _) in zip(self.counts, files.values())]
-        self.first, self.by_line, self.by_space = _Chunks(self.counts), _Chunks(rest), _Chunks(joined)
-
-    def text(self, text: str) -> list[int]:
-        if "  " in text or text[0] in " \n" or text[-1] == " " or "▁" in text or len(text) > FITTING or self.OPEN_SPACE.search(text):
-            return [count(text) for count in self.counts]
-        if "\n" in text and not self.OPEN_LINE.search(text):
-            # a line feed begins a chunk, as a space does
-            first, *rest = text.replace("\n", " \n").split(" ")
-            kept = self.by_line
-        else:
-            first, *rest = text.split(" ")
-            kept = self.by_line if "\n" not in text else self.by_space
-        total = self.first[first] + sum(map(kept.__getitem__, rest))
-        return [total >> (BITS * k) & ((1 << BITS) - 1) for k in range(len(self.counts))]
+        self.counts = [(MAKERS[kind](content), kind) for kind, content in files.values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.tables = [array("q") for _ in self.counts]
+        self.whole = _Chunks(self.tables, self.counts, False, False)
+        self.by_line = _Chunks(self.tables, self.counts, True, True)
+        self.by_space = _Chunks(self.tables, self.counts, True, False)
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """Texts x tokenizers."""
+        if len(self.tables[0]) > CACHE_CHUNKS:
+            self._empty()
+        numbers, ends = array("q"), np.zeros(len(texts) + 1, np.int64)
+        whole, by_line, by_space = self.whole.__getitem__, self.by_line.__getitem__, self.by_space.__getitem__
+        for n, text in enumerate(texts):
+            if not text:
+                ends[n + 1] = len(numbers)
+                continue
+            if "▁" in text or self.RARE_SPACE.search(text):
+                numbers.append(whole(text))
+            elif "\r" in text:
+                # CR may be part of a sentence piece and of a run: cut at lone spaces only
+                if "  " in text or text[0] == " " or text[-1] == " " or self.OPEN_SPACE.search(text):
+                    numbers.append(whole(text))
+                else:
+                    first, *rest = text.split(" ")
+                    numbers.append(whole(first))
+                    numbers.extend(map(by_space, rest))
+            elif "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[0] in " \n" or text[-1] in " \n" or "\t" in text:
+                first, *rest = self.RUNS.findall(text)
+                numbers.append(whole(first))
+                numbers.extend(by_space(chunk[1:]) if chunk[0] == " " else by_line(chunk) for chunk in rest)
+            else:
+                # single spaces, and line feeds alone or in pairs: a line feed begins a chunk, as a space does
+                first, *rest = text.replace("\n", " \n").split(" ")
+                numbers.append(whole(first))
+                numbers.extend(map(by_line, rest))
+            ends[n + 1] = len(numbers)
+        at = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
+        out = np.empty((len(texts), len(self.counts)), np.int64)
+        for k, table in enumerate(self.tables):
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(table, np.int64)[at])])
+            out[:, k] = sums[ends[1:]] - sums[ends[:-1]]
+        return out
 
 
 _WORKER: dict[tuple, TextCounter] = {}
@@ -159,10 +199,10 @@ def token_counts(docs: DataFrame, key: str, text: str, names: list[str], folder:
         worker_key = tuple((n, len(c)) for n, (_, c) in shared.value.items())
         if worker_key not in _WORKER:
             _WORKER[worker_key] = TextCounter(shared.value)
-        counter, nothing = _WORKER[worker_key], [0] * len(names)
+        counter = _WORKER[worker_key]
         for batch, texts in text_slices(batches):
-            rows = [counter.text(body) if body else nothing for body in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows)]], names=[key, *names])
+            counts = counter.texts(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(counts[:, k])) for k in range(len(names))]], names=[key, *names])
 
     key_type = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"`{n}` bigint" for n in names))

@@ -63,7 +63,7 @@ P_ITEM = np.array([[0.08, 0.25, 0.67], [0.60, 0.34, 0.06], [0.50, 0.35, 0.15], [
 #: a line of at least REPEAT_WORDS words with at most REPEAT_DISTINCT distinct ones, a longer word than LONG_WORD, and each of at least REPEAT_LINES lines with at most two distinct ones are repetition
 REPEAT_WORDS, REPEAT_DISTINCT, LONG_WORD, REPEAT_LINES = 12, 3, 45, 8
 #: a document with at least this share of prose is prose
-PROSE_SHARE = 0.35
+PROSE_SHARE = 0.58
 
 BULLET = re.compile(r"\s*(?:[-*+•–—·▪◦‣>o]|\(?\d{1,4}[.):]|\(?[a-z][.)]|\[[ xX✓]?\])\s+\S")
 ITEM = re.compile(r"\s*(?:[^\W\d_]+ = [^\W_]{1,12}|[^\W\d_]+ \(\d[\d, -]*\)|\d{1,3} (?:across|down|ac|dn|Across|Down|Ac|Dn)\.? [^\W\d_]+|[^\W\d_]+: [^\W\d_]+ [^\W\d_]+\.?|\d{1,3} (?:across|down|ac|dn|Ac|Dn))\s*$")
