@@ -32,11 +32,26 @@ def last_active_days(events: DataFrame, at: str, n: int) -> DataFrame:
 
 
 def with_session(events: DataFrame, keys: Sequence[str], at: str, tie: str, idle_s: int) -> DataFrame:
-    """events with session_no (from 1) and gap_us: a gap longer than idle_s begins a session."""
-    order = Window.partitionBy(*keys).orderBy(at, tie)
-    gap = micros(at) - F.lag(micros(at)).over(order)
-    starts = F.when(F.col("gap_us").isNull() | (F.col("gap_us") > idle_s * 1_000_000), 1).otherwise(0)
-    return events.withColumn("gap_us", gap).withColumn("session_no", F.sum(starts).over(order))
+    """events with session_no (from 1) and gap_us: a gap longer than idle_s begins a session.
+
+    Works by day: a key's events are sorted within each day only, and what carries over (the last event before, the
+    sessions begun before) runs over one row per key and day. So a key with a third of all rows is as many tasks as it
+    has days. Null keys are keys of their own.
+    """
+    day = F.to_date(at)
+    us, idle = micros(at), idle_s * 1_000_000
+    inside = Window.partitionBy(*keys, "_day").orderBy(at, tie)
+    rows = events.withColumn("_day", day).withColumn("_gap", us - F.lag(us).over(inside)).withColumn("_begun", F.sum(F.when(F.col("_gap") > idle, 1).otherwise(0)).over(inside))
+    days = rows.groupBy(*keys, "_day").agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.max("_begun").alias("_inside"))
+    order = Window.partitionBy(*keys).orderBy("_day")
+    days = days.withColumn("_carry", F.col("_first") - F.lag("_last").over(order))
+    new = F.when(F.col("_carry").isNull() | (F.col("_carry") > idle), 1).otherwise(0)
+    days = days.withColumn("_before", F.sum(F.col("_inside") + new).over(order) - F.col("_inside"))
+    carried = days.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_day").alias("_d"), "_carry", "_before")
+    same = F.col("_day") == F.col("_d")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return rows.join(carried, same).select(*events.columns, F.coalesce("_gap", "_carry").alias("gap_us"), (F.col("_before") + F.col("_begun")).alias("session_no"))
 
 
 def active_time(events: DataFrame, keys: Sequence[str], at: str, tie: str, idle_s: int) -> DataFrame:

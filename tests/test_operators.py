@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cluemill.functions import text
-from cluemill.operators import activity, geometry, merge, ordering, rules, scoring, snapshots
+from cluemill.operators import activity, filling, geometry, lexicon, merge, ordering, rules, scoring, snapshots, topk
 from cluemill.sources import readers, sinks
 
 UPDATE = "who string, cell string, at bigint, value string, kind string"
@@ -115,6 +115,30 @@ def test_numbered_and_quantiles(spark):
     assert {(r.percent, r.value) for r in got} == {(0, 0), (50, 50), (100, 99)}
 
 
+def test_top_k_of_a_hot_key(spark):
+    df = spark.range(200).select(F.when(F.col("id") < 150, "hot").otherwise("cold").alias("k"), "id")
+    got = topk.top_k(df, ["k"], [F.col("id").desc()], 2).collect()
+    assert {(r.k, r.id, r.place) for r in got} == {("hot", 149, 1), ("hot", 148, 2), ("cold", 199, 1), ("cold", 198, 2)}
+
+
+def test_fill_search(spark):
+    words = {w: n for n, w in enumerate(("cat", "ace", "ten", "tea", "ant", "eat", "can", "nee", "ate", "tan", "net"))}
+    found, nodes = filling.search(("...", ".#.", "..."), words, 1, 10_000, 5.0)
+    assert nodes > 0 and (found is None or len(set(found.values())) == 4)
+    assert filling.search(("...",), {}, 1, 10, 1.0)[0] is None
+    for r in filling.fills(spark, ("...", "###", "..."), words, 3).collect():
+        assert len(set(r.fill.split())) == 2 and r.least >= 0
+
+
+def test_lexicon_operators(spark):
+    words = spark.createDataFrame([(w,) for w in "sister sis ter late tale steal rat tar brat bat plate pate painter paint inter".split()], "word string")
+    assert {tuple(r) for r in lexicon.charades(words, 3).collect()} == {("sister", "sis", "ter")}
+    assert ("late", "tale") in {tuple(r.words.split(",")) for r in lexicon.anagram_groups(words).collect()}
+    assert {("rat", "tar"), ("tar", "rat")} <= {tuple(r) for r in lexicon.reversals(words, 3).collect()}
+    assert {("brat", "bat"), ("brat", "rat"), ("plate", "late"), ("plate", "pate")} <= {tuple(r) for r in lexicon.deletions(words).collect()}
+    assert ("steal", "late") in {tuple(r) for r in lexicon.near_anagrams(words).collect()}
+
+
 def test_snapshots(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (4, "w")], "k int, v string")
