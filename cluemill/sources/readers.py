@@ -116,9 +116,50 @@ def plain_text(c: Column) -> Column:
 def latest_number(pages: DataFrame, text: str, series: str) -> DataFrame:
     """One row: the greatest number in links to a series."""
     found = F.explode(F.regexp_extract_all(text, F.lit(f"/{series}/([0-9]+)"), F.lit(1)))
-    return pages.select(found.cast("bigint").alias("n")).agg(F.max("n").alias("latest"))
+    return pages.select(found.alias("n")).agg(F.max(F.col("n").cast("bigint")).alias("latest"))
 
 
 def dates_back(spark: SparkSession, last: str, n: int, step_days: int = 1) -> DataFrame:
     """(day): n dates back from last, newest first in value."""
     return spark.range(n).select(F.date_sub(F.lit(last).cast("date"), (F.col("id") * step_days).cast("int")).alias("day"))
+
+
+def unescaped(c: Column) -> Column:
+    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return c
+
+
+def escaped(c: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def embedded_json(pages: DataFrame, html: str, attribute: str, schema: str) -> DataFrame:
+    """pages with data: the JSON in the first attribute of that name; null where there is none or it is torn."""
+    found = F.nullif(F.regexp_extract(html, f'{attribute}="([^"]*)"', 1), F.lit(""))
+    return pages.withColumn("data", F.from_json(unescaped(found), schema))
+
+
+def build_lexicon(words: DataFrame, abroad: DataFrame, families: DataFrame) -> DataFrame:
+    """(word, rank, gb, family, phone) of raw (word, rank, phone): only words of 2 to 15 letters; gb 0 for words of
+    abroad; family: words of the same root; phone without stress marks."""
+    roots = families.groupBy("root").agg(F.count(F.lit(1)).alias("family"))
+    sized = families.join(roots, "root").select("word", "family")
+    rows = words.where(F.col("word").rlike("^[a-z]{2,15}$")).join(abroad.select("word").distinct().withColumn("_a", F.lit(0)), "word", "left").join(sized, "word", "left")
+    return rows.select("word", "rank", F.coalesce("_a", F.lit(1)).alias("gb"), F.coalesce("family", F.lit(1)).alias("family"), F.regexp_replace("phone", "[0-9]", "").alias("phone"))
+
+
+def judge_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of the score files, with the judge: the file's name without judge and ending."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "judge*.json").json(folder)
+    return rows.withColumn("judge", F.regexp_extract(F.col("_metadata.file_name"), r"^judge(.*)\.json$", 1))
+
+
+def single_run(packets: DataFrame, run: str = "run") -> str:
+    """The one run id of all packets; fails where there is none or several."""
+    found = [r[0] for r in packets.select(run).distinct().limit(2).collect()]
+    if len(found) != 1 or found[0] is None:
+        raise ValueError("packets must be of one run")
+    return found[0]

@@ -198,6 +198,23 @@ def test_readers(spark, tmp_path):
         readers.find_one(ids, "id", "1")
 
 
+def test_more_readers(spark, tmp_path):
+    pages = spark.createDataFrame([('<div data-x="{&quot;a&quot;: 3}">',), ("<div>",)], "html string")
+    assert [r.data and r.data.a for r in readers.embedded_json(pages, "html", "data-x", "a int").collect()] == [3, None]
+    assert pages.select(readers.escaped(F.lit('<&">')).alias("e")).first().e == "&lt;&amp;&quot;&gt;"
+    words = spark.createDataFrame([("cat", 1, "K AE1 T"), ("cats", 2, ""), ("x", 3, ""), ("color", 4, "")], "word string, rank int, phone string")
+    built = readers.build_lexicon(words, spark.createDataFrame([("color",)], "word string"), spark.createDataFrame([("cat", "cat"), ("cats", "cat")], "word string, root string"))
+    assert {(r.word, r.gb, r.family, r.phone) for r in built.collect()} == {("cat", 1, 2, "K AE T"), ("cats", 1, 2, ""), ("color", 0, 1, "")}
+    (tmp_path / "judge1.json").write_text('[{"answer": "A", "favourite": "x"}]')
+    assert [(r.judge, r.answer) for r in readers.judge_files(spark, str(tmp_path), "answer string, favourite string").collect()] == [("1", "A")]
+    assert readers.single_run(spark.createDataFrame([("r",), ("r",)], "run string")) == "r"
+    for rows in ([("r",), ("s",)], [], [(None,)]):
+        with pytest.raises(ValueError):
+            readers.single_run(spark.createDataFrame(rows, "run string"))
+    assert readers.latest_number(spark.createDataFrame([("a /s/12 /s/7 /t/99",)], "t string"), "t", "s").first().latest == 12
+    assert [str(r.day) for r in readers.dates_back(spark, "2024-03-01", 2, 7).collect()] == ["2024-03-01", "2024-02-23"]
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("a-1", "a"), ("b-2", "b")], "id string, series string")
     sinks.write_documents(docs, str(tmp_path / "docs"), "id", "series")
