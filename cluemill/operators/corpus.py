@@ -40,7 +40,7 @@ def unattested(clues: DataFrame, key: str, text: str, known: DataFrame) -> DataF
 def top_share(counts: DataFrame, key: str, n: str, percent: int) -> DataFrame:
     """The most frequent percent of all keys, at least one; ties by key."""
     ranked = numbered(counts.select(key, n), [F.col(n).desc(), F.col(key)], "place")
-    total = counts.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = ranked.agg(F.max("place").alias("t")).scalar()
     return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(total * percent / 100))).select(key, n)
 
 

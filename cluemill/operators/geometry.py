@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cluemill.session import ensure_checkpoint_dir
+from cluemill.session import ensure_checkpoint_dir, materialize
 
 
 def cells(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     far; it ends when a round changes nothing. The labels are checkpointed each round.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
     while True:
         near = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cluemill.session import materialize
+
 
 def numbered(rows: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """rows with their place (from 1) in the total order; order must have no ties.
 
     Range-partitions, numbers inside each partition, and adds the sizes of the partitions before: one offset row per
-    shuffle partition is all that is broadcast.
+    shuffle partition is all that is broadcast. The partitioned rows are written once, for the bounds are sampled and
+    the sizes must be those of the same partitions.
     """
-    blocks = rows.repartitionByRange(*order).withColumn("_block", F.spark_partition_id())
+    blocks = materialize(rows.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()))
     sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))

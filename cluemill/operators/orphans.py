@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cluemill.session import ensure_checkpoint_dir
+from cluemill.session import ensure_checkpoint_dir, materialize
 
 #: Into how many parts each key's references are split for the lookup; the target side has one row per key and part.
 SALTS = 8
@@ -75,9 +75,9 @@ def cascade(references: DataFrame, targets: DataFrame, rows: DataFrame, max_dept
     ensure_checkpoint_dir(spark)
     links = references.where(F.col("ref_key").isNotNull()).select("table_name", "row_key", "target", "ref_key").distinct()
     own = rows.select("table_name", "row_key", F.col("target").alias("own_target"), "own_key")
-    passing = links.join(own, ["table_name", "row_key"], "left").where(
+    passing = materialize(links.join(own, ["table_name", "row_key"], "left").where(
         F.col("own_key").isNull() | (F.col("own_key") != F.col("ref_key")) | (F.col("own_target") != F.col("target"))
-    ).select("table_name", "row_key", "target", "ref_key")
+    ).select("table_name", "row_key", "target", "ref_key"))
     found = direct_orphans(references, targets).select("table_name", "row_key").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier, depth = found, 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):

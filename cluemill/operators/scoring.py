@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cluemill.session import materialize
+
 
 def baseline(rows: DataFrame, components: Sequence[str]) -> DataFrame:
     """One row: mean and sample deviation (0 where fewer than two values) of each component."""
@@ -43,10 +45,10 @@ def rank_counts(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, below, total): for each distinct value how many rows hold it and how many hold less.
 
     The sums run over distinct values: over range-partitioned blocks first and then over the blocks' totals, so no task
-    sorts all rows or all values.
+    sorts all rows or all values. The blocks are written once, so that both steps see the same ones.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.repartitionByRange(F.col(value)).withColumn("_block", F.spark_partition_id())
+    blocks = materialize(counts.repartitionByRange(F.col(value)).withColumn("_block", F.spark_partition_id()))
     inside = Window.partitionBy("_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     part = blocks.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     # one row per block: as many as shuffle partitions

@@ -83,7 +83,7 @@ def trigram_share(spark, sf_dir):
 
 def word_familiarity(spark, sf_dir):
     ranked = ordering.numbered(_lexicon(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank")
-    total = _lexicon(spark, sf_dir).agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = ranked.agg(F.max("rank").alias("t")).scalar()
     return ranked.select("word", "rank", lexicon.familiarity(F.col("rank"), total).alias("familiarity"))
 
 
