@@ -10,7 +10,7 @@ break a file's records into cells (file, record, field, kinds, value hashes); ev
 * ``migrations``: the chained rename rules of each series, from the name in a file to the name it had first;
 * ``unified``: every record routed through its file's rules, with all values under first names.
 
-Defined results: torn lines and documents are ignored. A null value is no value. A file delivered again adds nothing.
+Defined results: torn lines and documents are ignored, and so are rows without feed, file name, export time or body. A null value is no value. A file delivered again adds nothing.
 The first file of a series has no changes. Where a removed field matches several added ones, each match comes out.
 """
 
@@ -146,7 +146,8 @@ def cells(files: DataFrame, series: str, reader: str, values: bool = False) -> D
                         names=[*FILE, "record", "field_name", "parent", "kinds", "h1", "h2", "value"],
                     )
 
-    return files.select("feed", "file_name", "exported_at", "body").mapInArrow(run, CELLS_SCHEMA)
+    named = files.select("feed", "file_name", "exported_at", "body").dropna(subset=["feed", "file_name", "exported_at", "body"])
+    return named.mapInArrow(run, CELLS_SCHEMA)
 
 
 def fingerprints(cell_rows: DataFrame) -> DataFrame:

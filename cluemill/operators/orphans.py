@@ -8,7 +8,7 @@ loaded_at is null was always there, one whose removed_at is null is there for go
 the reason. ``cascade`` then goes down the foreign-key graph to the fixpoint: rows that refer to a record that has an
 orphaned row are inherited orphans of the next depth, until a step finds none.
 
-Defined results: a null or blank ref_key is no reference. A reference without a time can be missing only. A null
+Defined results: a null or blank ref_key is no reference, and a target row without a key is no target. A reference without a time can be missing only. A null
 loaded_at of the target counts as always there.
 """
 

@@ -160,6 +160,12 @@ def test_p3_allowances(spark):
     assert named(drift.changes(cells)) == {("file1", "b", "renamed", "a"), ("file2", "b", "retyped", "")}
 
 
+def test_p3_unnamed_files_are_ignored(spark):
+    rows = [("f", None, T, line(1, {"a": 1})), (None, "x", T, line(1, {"b": 1})), ("f", "y", None, line(1, {"c": 1})), ("f", "z", T, None)]
+    df = spark.createDataFrame(rows, "feed string, file_name string, exported_at timestamp_ntz, body string")
+    assert drift.cells(df, "s", "lines").count() == 0
+
+
 def test_p3_nothing_readable(spark):
     assert named(drift.changes(drifted(spark, ["{"], [None]))) == set()
 
