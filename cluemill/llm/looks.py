@@ -97,12 +97,13 @@ def same_looks(rows: DataFrame, key: str, text: str, salts: int = SALTS) -> Data
 
     Works on distinct texts: each with its smallest key (a minimum combines before the shuffle), each look with its
     smallest key, and only then the rows of texts that differ from their look's first text. Both joins are against one
-    row per key and part, so neither a text nor a look with a third of all rows is a single task. Keys are unique.
+    row per key and part, so neither a text nor a look with a third of all rows is a single task. Keys are unique; rows
+    without a key or a text are left out.
     """
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     spread = F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int")
-    rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    texts = rows.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.min("_key").alias("_key"))
+    rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna()
+    texts = rows.groupBy("_text").agg(F.min("_key").alias("_key"))
     looks = with_forms(texts, "_text").where("look <> ''").select("look", "_text", "_key")
     firsts = looks.groupBy("look").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("look", "_first", parts.alias("_part"))
     variants = looks.withColumn("_part", spread).join(firsts, ["look", "_part"]).where("_key <> _first").select("_text", "_first", parts.alias("_part"))

@@ -48,4 +48,6 @@ def test_nulls_repeats_hot_texts_and_empty(spark, texts):
     values = ["a b"] * 40 + ["a\xa0b"] * 40 + ["ａ b", None, "", "​", "A b"]
     got = {tuple(r) for r in looks.same_looks(texts(values), "doc_id", "text").collect()}
     assert got == {(0, n) for n in range(40, 81)}
+    nameless = texts(["a b", "a\xa0b"]).selectExpr("IF(doc_id = 1, NULL, doc_id) AS doc_id", "text")
+    assert looks.same_looks(nameless, "doc_id", "text").count() == 0
     assert looks.same_looks(texts([]), "doc_id", "text").count() == 0
