@@ -227,30 +227,66 @@ def changes(cell_rows: DataFrame) -> DataFrame:
 def migrations(change_rows: DataFrame) -> DataFrame:
     """(series, feed, from_version, field_name, first_name): from this version of the series on, the field is the one first called first_name.
 
-    The renames of one series are chained in the order of its files. A series' renames are file metadata: at most one
-    row per field and file, whatever the number of records.
+    The renames of one series are chained in the order of its files. A name that comes back while its first bearer goes
+    on under another name begins a field of its own, called name#version. A series' changes are file metadata: at most
+    one row per field and file, whatever the number of records.
     """
     def chain(pdf):
         import pandas as pd
 
-        first: dict[str, str] = {}
+        now: dict[str, str] = {}  # names in use that are not their own first name, and names that were reset
         out = []
-        for row in pdf.sort_values(["version", "field_name"]).itertuples():
-            first[row.field_name] = first.get(row.old_name, row.old_name)
-            out.append((row.series, row.feed, row.version, row.field_name, first[row.field_name]))
+        steps = {"renamed": 0, "removed": 1, "added": 2}
+        pdf = pdf.assign(step=pdf["change_kind"].map(steps)).sort_values(["version", "step", "field_name", "old_name"])
+        for version, rows in pdf.groupby("version", sort=True):
+            renamed = rows[rows["step"] == 0]
+            first = {r.field_name: now.get(r.old_name, r.old_name) for r in renamed.itertuples()}
+            for name in [*renamed["old_name"], *rows[rows["step"] == 1]["field_name"]]:
+                now.pop(name, None)
+            now.update(first)
+            for name in rows[rows["step"] == 2]["field_name"]:
+                taken = any(f == name and n != name for n, f in now.items())
+                first[name] = now[name] = f"{name}#{version}" if taken else name
+            out += [(*rows.iloc[0][["series", "feed"]], version, n, f) for n, f in first.items()]
         return pd.DataFrame(out, columns=["series", "feed", "from_version", "field_name", "first_name"])
 
-    renames = change_rows.where("change_kind = 'renamed'").select("series", "feed", "version", "field_name", "old_name")
-    return renames.groupBy("series", "feed").applyInPandas(chain, "series string, feed string, from_version int, field_name string, first_name string")
+    steps = change_rows.where("change_kind IN ('renamed', 'removed', 'added')").select("series", "feed", "version", "field_name", "change_kind", "old_name")
+    return steps.groupBy("series", "feed").applyInPandas(chain, "series string, feed string, from_version int, field_name string, first_name string")
+
+
+def _first_names(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (with series, feed, version, field_name) with first_name, by the newest rename rule that holds for their version."""
+    columns = rows.columns
+    ruled = rows.join(rules, ["series", "feed", "field_name"], "left")
+    holds = F.col("from_version") <= F.col("version")
+    chosen = F.max_by(F.when(holds, F.col("first_name")), F.when(holds, F.col("from_version")))
+    return ruled.groupBy(*columns).agg(chosen.alias("_first")).select(*columns, F.coalesce("_first", "field_name").alias("first_name"))
+
+
+def casts(change_rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(series, feed, first_name): fields that changed their kind somewhere in the series; all their values become text."""
+    retyped = change_rows.where("change_kind = 'retyped'").select("series", "feed", "version", "field_name").distinct()
+    return _first_names(retyped, rules).select("series", "feed", "first_name").distinct()
 
 
 def unified(cell_rows: DataFrame, change_rows: DataFrame) -> DataFrame:
-    """One row per file and record: fields as a map from first name to value (JSON text), cast to text where kinds differ over files."""
+    """One row per file and record, with fields: a map from first name to value (JSON text).
+
+    Each file's values go through the rules of its version: rename to the first name, cast to text where the field's kind
+    changes anywhere in the series (text loses its quotes, other values keep how they are written), and the default,
+    null, for every field of the series that the record lacks. Where a record stands in a file again with another value,
+    the least value is kept.
+    """
     pairs = file_chain(cell_rows).select(*FILE, "version")
-    rules = migrations(change_rows)
+    rules = materialize(migrations(change_rows))
     named = cell_rows.where(F.col("field_name").isNotNull() & (F.col("record") != 0)).select(*FILE, "record", "field_name", "value").distinct().join(pairs, FILE)
-    ruled = named.join(rules, ["series", "feed", "field_name"], "left").where(F.col("from_version").isNull() | (F.col("from_version") <= F.col("version")))
-    # the newest rule that holds for the file
-    best = ruled.groupBy(*FILE, "version", "record", "field_name", "value").agg(F.max_by("first_name", "from_version").alias("first_name"))
-    by_name = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("first_name", "field_name").alias("k"), F.col("value").alias("v")))))
-    return best.groupBy(*FILE, "version", "record").agg(by_name.alias("fields"))
+    to_text = casts(change_rows, rules).withColumn("_cast", F.lit(True))
+    bare = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
+    ready = _first_names(named, rules).join(to_text, ["series", "feed", "first_name"], "left").withColumn("value", F.when(F.col("_cast"), bare).otherwise(F.col("value")))
+    single = ready.groupBy(*FILE, "version", "record", "first_name").agg(F.min("value").alias("value"))
+    records = single.groupBy(*FILE, "version", "record").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("first_name").alias("k"), F.col("value").alias("v"))))).alias("held"))
+    # the names of a series are schema, not data: as many as its files have fields
+    names = fingerprints(cell_rows).where(F.col("field_name").isNotNull()).join(pairs, FILE).select("series", "feed", "version", "field_name").distinct()
+    vocabulary = _first_names(names, rules).groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
+    fields = F.map_from_entries(F.transform("names", lambda n: F.struct(n, F.col("held")[n])))
+    return records.join(vocabulary, ["series", "feed"]).select(*FILE, "version", "record", fields.alias("fields"))

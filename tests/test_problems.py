@@ -149,12 +149,24 @@ def test_p3_kinds_of_change(spark):
 
 
 def test_p3_chained_renames_reach_the_first_name(spark):
-    cells = drifted(spark, [line(1, {"a": "x"})], [line(1, {"b": "x"})], [line(1, {"c": "x"}), line(2, {"c": "y"})])
+    cells = drifted(spark, [line(1, {"a": "x"})], [line(1, {"b": "x"})], [line(1, {"c": "x"}), line(2, {"c": "y"}), line(2, {"c": "z"})])
     table = drift.unified(cells, drift.changes(cells.drop("value"))).collect()
-    assert {f for r in table for f in r.fields} == {"annotation.a"}
+    assert {f for r in table for f in r.fields} == {"annotation.a"} and {r.version for r in table} == {1, 2, 3}
     assert sorted(r.fields["annotation.a"] for r in table) == ['"x"', '"x"', '"x"', '"y"']
 
 
+def test_p3_casts_and_defaults(spark):
+    cells = drifted(spark, [line(1, {"a": 3}, more=1), line(2, {"a": 4})], [line(1, {"b": 3}), line(2, {"b": 4})], [line(1, {"b": '3 "x'}, k="s")])
+    table = {(r.version, r.fields["annotation.a"], r.fields["more"], r.fields["k"]) for r in drift.unified(cells, drift.changes(cells.drop("value"))).collect()}
+    assert table == {(1, "3", "1", None), (1, "4", None, None), (2, "3", None, None), (2, "4", None, None), (3, '3 "x', None, '"s"')}
+
+
+def test_p3_a_name_that_comes_back_is_another_field(spark):
+    cells = drifted(spark, [line(1, {"a": "x"})], [line(1, {"b": "x"})], [line(1, {"b": "x", "a": "y"})])
+    table = {r.version: r.fields for r in drift.unified(cells, drift.changes(cells.drop("value"))).collect()}
+    assert table[3]["annotation.a"] == '"x"' and table[3]["annotation.a#3"] == '"y"' and table[1]["annotation.a#3"] is None
+
+
 def test_p3_allowances(spark):
     cells = drifted(spark, ['{"_why": "x", "a": {"p1": 3, "p2": 4}}'], ['{"b": [{"puzzle": "p1", "count": 3}]}'], ['{"b": {"p1": "3"}}'], reader="allowances")
     assert named(drift.changes(cells)) == {("file1", "b", "renamed", "a"), ("file2", "b", "retyped", "")}
