@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def micros(c: Column | str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+def micros(c: str) -> Column:
+    """Microseconds since 1970 of a time as it is written, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
 
 
 def daily_pivot(events: DataFrame, at: str, name: str, vocabulary: Sequence[str]) -> DataFrame:

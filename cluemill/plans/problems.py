@@ -186,7 +186,25 @@ x AS (SELECT clue_id, 'indicators' AS field_name, unnest(indicators) AS raw FROM
 y AS (SELECT clue_id, field_name, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS term FROM x),
 c AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT clue_id) AS records, (SELECT count(*) FROM e) AS all_records FROM y WHERE term <> '' GROUP BY 1, 2),
 m AS (SELECT *, records < 3 AS is_rare, records * 100 > all_records * 3 AS is_common FROM c)"""
+_NOTE = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END".format
+_ITEMS = " UNION ALL ".join(
+    f"""SELECT raw_id, entry_id, '{f[:-1]}' AS node_kind, i - 1 AS item_no FROM (SELECT raw_id, entry_id, unnest(CAST(n -> '$.{f}' AS JSON[])) AS x, unnest(range(1, CAST(json_array_length(n, '$.{f}') AS BIGINT) + 1)) AS i FROM g WHERE json_type(n, '$.{f}') = 'ARRAY') WHERE json_type(x) <> 'NULL'
+UNION ALL SELECT raw_id, entry_id, '{f[:-1]}', 0 FROM g WHERE json_type(n, '$.{f}') NOT IN ('ARRAY', 'NULL')"""
+    for f in ("blocks", "pieces")
+)
+_NODES = f"""b AS (SELECT raw_id, ltrim(CASE WHEN contains(body, '/*JSON-START*/') THEN regexp_extract(body, '(?s)/\\*JSON-START\\*/(.*)/\\*JSON-END\\*/', 1) ELSE body END, chr(65279)) AS t FROM puzzle_file),
+d AS MATERIALIZED (SELECT raw_id, CAST(t AS JSON) AS j FROM b WHERE json_valid(t)),
+p AS (SELECT raw_id, CASE WHEN json_type(j, '$.puzzle') = 'OBJECT' THEN j -> '$.puzzle' ELSE j END AS p, j FROM d WHERE json_type(j) = 'OBJECT'),
+o AS (SELECT raw_id, p -> '$.entries' AS es, unnest(json_keys(p, '$.entries')) AS k FROM p WHERE json_type(p, '$.entries') = 'OBJECT'),
+e AS (SELECT raw_id, CAST(NULL AS VARCHAR) AS k, unnest(CAST(p -> '$.entries' AS JSON[])) AS e FROM p WHERE json_type(p, '$.entries') = 'ARRAY' UNION ALL SELECT raw_id, k, json_extract(es, '$."' || k || '"') FROM o),
+s AS (SELECT raw_id, coalesce(nullif(e ->> '$.id', ''), k, concat(e ->> '$.number', '-', e ->> '$.direction')) AS entry_id, e -> '$.annotation' AS a FROM e WHERE json_type(e) = 'OBJECT'),
+h AS (SELECT raw_id, j -> '$.annotations' AS m FROM p UNION SELECT raw_id, p -> '$.annotations' FROM p),
+q AS (SELECT raw_id, m, unnest(json_keys(m)) AS k FROM h WHERE json_type(m) = 'OBJECT'),
+a AS (SELECT raw_id, entry_id, {_NOTE('a')} AS n FROM s UNION ALL SELECT raw_id, k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q),
+g AS MATERIALIZED (SELECT * FROM a WHERE json_type(n) = 'OBJECT' AND len(json_keys(n)) > 0)
+SELECT DISTINCT raw_id, entry_id, node_kind, CAST(item_no AS INTEGER) AS item_no FROM (SELECT raw_id, entry_id, 'entry' AS node_kind, 0 AS item_no FROM s UNION ALL SELECT raw_id, entry_id, 'annotation', 0 FROM g UNION ALL {_ITEMS})"""
 SQL = {
+    "p1_found": f"WITH {_NODES}",
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",
     "p2_report": f"WITH {_REFERENCES} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM p2 GROUP BY 1, 2, 3",
     "p4_found": f"WITH {_TERMS} SELECT field_name, term, 'rare' AS mark FROM m WHERE is_rare UNION ALL SELECT field_name, term, 'common' FROM m WHERE is_common",

@@ -135,7 +135,7 @@ def score_tally(spark, sf_dir):
 
 def cursor_last(spark, sf_dir):
     """Each player's newest save; ties go to the smaller save_id."""
-    rows = table(spark, sf_dir, "play_save").where("sync_code IS NOT NULL").select("sync_code", F.expr("-unix_micros(CAST(updated_at AS TIMESTAMP))").alias("neg"), "save_id", "puzzle_id")
+    rows = table(spark, sf_dir, "play_save").where("sync_code IS NOT NULL").select("sync_code", (-activity.micros("updated_at")).alias("neg"), "save_id", "puzzle_id")
     return activity.first_per(rows, ["sync_code"], ["neg", "save_id"]).select("sync_code", "save_id", "puzzle_id")
 
 
