@@ -67,8 +67,27 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 
-#: No SQL: normalisation, tokenizers, packing and the line model are not expressible in it.
-SQL: dict[str, str] = {}
+def _look_sql(clue: str) -> str:
+    """The look of a clue in SQL, for the kinds of characters that clues hold."""
+    from_, to = "".join(looks.LOOK_ALIKES), "".join(looks.LOOK_ALIKES.values())
+    wide = "".join(chr(0xFF01 + n) for n in range(94))
+    narrow = "".join(chr(0x21 + n) for n in range(94))
+    ignored = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in looks.IGNORABLE)
+    spaces = "\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+    out = f"regexp_replace({clue}, '[{ignored}]', '', 'g')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    quote = lambda x: x.replace("'", "''")
+    out = f"translate(translate({out}, '{quote(wide)}', '{quote(narrow)}'), '{quote(from_)}', '{quote(to)}')"
+    return f"nfc_normalize(trim(regexp_replace({out}, '[{spaces}]+', ' ', 'g'), ' '))"
+
+
+#: Tokenizers, packing and the line model are not expressible in SQL.
+SQL = {
+    "p5_found": f"""WITH c AS (SELECT clue_id, clue FROM clue_entry WHERE clue IS NOT NULL UNION ALL SELECT clue_id, clue FROM authored_clue WHERE clue IS NOT NULL),
+l AS (SELECT clue_id, clue, {_look_sql('clue')} AS look FROM c), f AS (SELECT look, min(clue_id) AS clue_id_a, arg_min(clue, clue_id) AS first FROM l WHERE look <> '' GROUP BY 1)
+SELECT clue_id_a, clue_id AS clue_id_b FROM l JOIN f USING (look) WHERE clue <> first""",
+}
 QUERIES = {
     "p5_found": p5_found,
     "p5_forms": p5_forms,
