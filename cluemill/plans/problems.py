@@ -203,7 +203,37 @@ q AS (SELECT raw_id, m, unnest(json_keys(m)) AS k FROM h WHERE json_type(m) = 'O
 a AS (SELECT raw_id, entry_id, {_NOTE('a')} AS n FROM s UNION ALL SELECT raw_id, k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q),
 g AS MATERIALIZED (SELECT * FROM a WHERE json_type(n) = 'OBJECT' AND len(json_keys(n)) > 0)
 SELECT DISTINCT raw_id, entry_id, node_kind, CAST(item_no AS INTEGER) AS item_no FROM (SELECT raw_id, entry_id, 'entry' AS node_kind, 0 AS item_no FROM s UNION ALL SELECT raw_id, entry_id, 'annotation', 0 FROM g UNION ALL {_ITEMS})"""
+_AT = "json_extract({0}, '$.' || chr(34) || {1} || chr(34))".format
+_KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END".format
+_CHANGES = f"""l AS MATERIALIZED (SELECT feed, file_name, exported_at, CAST(body AS JSON) AS j FROM annotation_feed WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+m AS (SELECT 'a' AS s, feed, file_name, exported_at, concat(j -> '$.id', j -> '$.entry') AS r, j, j -> '$.annotation' AS n FROM l),
+w AS MATERIALIZED (SELECT feed, file_name, exported_at, CAST(body AS JSON) AS j FROM backlog_file WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+w1 AS (SELECT * FROM (SELECT *, unnest(json_keys(j)) AS k FROM w) WHERE NOT starts_with(k, '_') AND json_type({_AT('j', 'k')}) <> 'NULL'),
+w2 AS (SELECT *, {_AT('j', 'k')} AS v FROM w1),
+w3 AS (SELECT feed, file_name, exported_at, k, r, {_AT('v', 'r')} AS v FROM (SELECT *, unnest(json_keys(v)) AS r FROM w2 WHERE json_type(v) = 'OBJECT')
+UNION ALL SELECT feed, file_name, exported_at, k, x ->> '$.puzzle', x -> '$.count' FROM (SELECT *, unnest(CAST(v AS JSON[])) AS x FROM w2 WHERE json_type(v) = 'ARRAY')),
+b AS (SELECT s, feed, file_name, exported_at, r, i, k, {_AT('x', 'k')} AS v FROM (SELECT *, unnest(json_keys(x)) AS k FROM (SELECT *, unnest(CAST(n -> '$.blocks' AS JSON[])) AS x, unnest(range(CAST(json_array_length(n, '$.blocks') AS BIGINT))) AS i FROM m WHERE json_type(n, '$.blocks') = 'ARRAY') WHERE json_type(x) = 'OBJECT')),
+c AS (SELECT s, feed, file_name, exported_at, r, '' AS parent, k AS field, {_AT('j', 'k')} AS v, 0 AS i FROM (SELECT *, unnest(json_keys(j)) AS k FROM m) WHERE k NOT IN ('id', 'entry', 'annotation')
+UNION ALL SELECT s, feed, file_name, exported_at, r, 'annotation', 'annotation.' || k, {_AT('n', 'k')}, 0 FROM (SELECT *, unnest(json_keys(n)) AS k FROM m WHERE json_type(n) = 'OBJECT') WHERE k <> 'blocks'
+UNION ALL SELECT s, feed, file_name, exported_at, r, 'annotation.blocks', 'annotation.blocks.' || k, v, i FROM b
+UNION ALL SELECT 'b', feed, file_name, exported_at, r, '', k, v, 0 FROM w3),
+held AS (SELECT s, feed, file_name, r, parent, field, string_agg(DISTINCT i || ':' || CAST(v AS VARCHAR), ',' ORDER BY i || ':' || CAST(v AS VARCHAR)) AS val FROM c WHERE json_type(v) <> 'NULL' GROUP BY ALL),
+kinds AS (SELECT s, feed, file_name, parent, field, list_sort(list(DISTINCT kind)) AS kinds FROM (SELECT s, feed, file_name, parent, field, (CASE s WHEN 'b' THEN 'count ' ELSE '' END) || {_KIND('v')} AS kind FROM c WHERE json_type(v) <> 'NULL' UNION ALL SELECT 'b', feed, file_name, '', k, {_KIND('v')} FROM w2) GROUP BY ALL),
+records AS (SELECT DISTINCT s, feed, file_name, r FROM m UNION SELECT 'b', feed, file_name, r FROM w3),
+files AS (SELECT DISTINCT s, feed, file_name, exported_at FROM m UNION SELECT 'b', feed, file_name, exported_at FROM w),
+pairs AS (SELECT s, feed, file_name, lag(file_name) OVER (PARTITION BY s, feed ORDER BY exported_at, file_name) AS before FROM files),
+added AS (SELECT p.s, p.feed, p.file_name, p.before, k.parent, k.field FROM pairs p JOIN kinds k USING (s, feed, file_name) WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kinds o WHERE o.s = p.s AND o.feed = p.feed AND o.file_name = p.before AND o.field = k.field)),
+removed AS (SELECT p.s, p.feed, p.file_name, p.before, k.parent, k.field FROM pairs p JOIN kinds k ON k.s = p.s AND k.feed = p.feed AND k.file_name = p.before WHERE NOT EXISTS (SELECT 1 FROM kinds o WHERE o.s = p.s AND o.feed = p.feed AND o.file_name = p.file_name AND o.field = k.field)),
+common AS (SELECT p.s, p.feed, p.file_name, a.r FROM pairs p JOIN records a USING (s, feed, file_name) JOIN records z ON z.s = p.s AND z.feed = p.feed AND z.file_name = p.before AND z.r = a.r),
+new AS (SELECT f.s, f.feed, f.file_name, f.parent, f.field, md5(string_agg(h.r || '=' || val, ';' ORDER BY h.r)) AS sig FROM added f JOIN held h USING (s, feed, file_name, parent, field) JOIN common q ON q.s = f.s AND q.feed = f.feed AND q.file_name = f.file_name AND q.r = h.r GROUP BY ALL),
+old AS (SELECT f.s, f.feed, f.file_name, f.parent, f.field, md5(string_agg(h.r || '=' || val, ';' ORDER BY h.r)) AS sig FROM removed f JOIN held h ON h.s = f.s AND h.feed = f.feed AND h.file_name = f.before AND h.parent = f.parent AND h.field = f.field JOIN common q ON q.s = f.s AND q.feed = f.feed AND q.file_name = f.file_name AND q.r = h.r GROUP BY ALL),
+renamed AS (SELECT n.s, n.feed, n.file_name, n.field, o.field AS old_name FROM new n JOIN old o USING (s, feed, file_name, parent, sig))
+SELECT DISTINCT file_name, field AS field_name, 'renamed' AS change_kind, old_name FROM renamed
+UNION SELECT file_name, field, 'added', '' FROM added a WHERE NOT EXISTS (SELECT 1 FROM renamed x WHERE x.s = a.s AND x.feed = a.feed AND x.file_name = a.file_name AND x.field = a.field)
+UNION SELECT file_name, field, 'removed', '' FROM removed a WHERE NOT EXISTS (SELECT 1 FROM renamed x WHERE x.s = a.s AND x.feed = a.feed AND x.file_name = a.file_name AND x.old_name = a.field)
+UNION SELECT p.file_name, k.field, 'retyped', '' FROM pairs p JOIN kinds k USING (s, feed, file_name) JOIN kinds o ON o.s = p.s AND o.feed = p.feed AND o.file_name = p.before AND o.field = k.field WHERE k.kinds <> o.kinds"""
 SQL = {
+    "p3_found": f"WITH {_CHANGES}",
     "p1_found": f"WITH {_NODES}",
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",
     "p2_report": f"WITH {_REFERENCES} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM p2 GROUP BY 1, 2, 3",
