@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cluemill.functions.text import word_list
 from cluemill.operators import corpus, lexicon, ordering
-from cluemill.session import table
+from cluemill.session import materialize, table
 
 DETERMINERS = ("a", "an", "the")
 
@@ -49,8 +49,8 @@ def lang_mix(spark, sf_dir):
 
 
 def _lexicon(spark, sf_dir):
-    """Words of 3 to 12 letters that stand in at least three documents."""
-    return corpus.word_counts(_docs(spark, sf_dir), "text").where("n_docs >= 3 AND length(word) BETWEEN 3 AND 12").select("word", "n")
+    """Words of 3 to 12 letters that stand in at least three documents; written once, for the queries match it with itself."""
+    return materialize(corpus.word_counts(_docs(spark, sf_dir), "text").where("n_docs >= 3 AND length(word) BETWEEN 3 AND 12").select("word", "n"))
 
 
 def anagram_groups(spark, sf_dir):
