@@ -21,10 +21,10 @@ def _latest(spark, sf_dir):
 
 
 def multiset_diff(spark, sf_dir):
-    """Entries whose answer's letters differ from their solution's: letters too many and letters missing."""
-    rows = _latest(spark, sf_dir).where("answer IS NOT NULL AND solution IS NOT NULL")
+    """Letters that the answer has more often than its definition, and those that it has less often."""
+    rows = _latest(spark, sf_dir).where("answer IS NOT NULL AND definition IS NOT NULL")
     letters = lambda c, name: rows.select("puzzle_id", "entry_id", F.explode(F.split(text.letters(F.col(c)), "")).alias("letter")).where("letter <> ''").groupBy("puzzle_id", "entry_id", "letter").agg(F.count(F.lit(1)).alias(name))
-    both = letters("answer", "a").join(letters("solution", "s"), ["puzzle_id", "entry_id", "letter"], "full").withColumn("d", F.coalesce("a", F.lit(0)) - F.coalesce("s", F.lit(0))).where("d <> 0")
+    both = letters("answer", "a").join(letters("definition", "s"), ["puzzle_id", "entry_id", "letter"], "full").withColumn("d", F.coalesce("a", F.lit(0)) - F.coalesce("s", F.lit(0))).where("d <> 0")
     joined = lambda positive: F.array_join(F.array_sort(F.flatten(F.collect_list(F.when((F.col("d") > 0) == positive, F.array_repeat("letter", F.abs("d").cast("int")))))), "")
     return both.groupBy("puzzle_id", "entry_id").agg(joined(F.lit(True)).alias("extra"), joined(F.lit(False)).alias("missing"))
 
@@ -165,7 +165,7 @@ _HOOKS = (
     ("R", 20, "SELECT word FROM w WHERE reverse(word) IN (SELECT word FROM w)"), ("D", 15, f"SELECT word FROM ({corpus_plans.SQL['edit_distance_one']})"), ("N", 10, f"SELECT word FROM ({corpus_plans.SQL['near_anagrams']})"),
 )
 SQL = {
-    "multiset_diff": f"WITH {_E}, q AS (SELECT puzzle_id, entry_id, {puzzles._LET('answer')} AS a, {puzzles._LET('solution')} AS s FROM e WHERE answer IS NOT NULL AND solution IS NOT NULL), l AS (SELECT puzzle_id, entry_id, unnest(string_split(a, '')) AS letter, 1 AS d FROM q UNION ALL SELECT puzzle_id, entry_id, unnest(string_split(s, '')), -1 FROM q), g AS (SELECT puzzle_id, entry_id, letter, sum(d) AS d FROM l WHERE letter <> '' GROUP BY 1, 2, 3 HAVING sum(d) <> 0) SELECT puzzle_id, entry_id, coalesce(string_agg(repeat(letter, CAST(d AS INTEGER)), '' ORDER BY letter) FILTER (d > 0), '') AS extra, coalesce(string_agg(repeat(letter, CAST(-d AS INTEGER)), '' ORDER BY letter) FILTER (d < 0), '') AS missing FROM g GROUP BY 1, 2",
+    "multiset_diff": f"WITH {_E}, q AS (SELECT puzzle_id, entry_id, {puzzles._LET('answer')} AS a, {puzzles._LET('definition')} AS s FROM e WHERE answer IS NOT NULL AND definition IS NOT NULL), l AS (SELECT puzzle_id, entry_id, unnest(string_split(a, '')) AS letter, 1 AS d FROM q UNION ALL SELECT puzzle_id, entry_id, unnest(string_split(s, '')), -1 FROM q), g AS (SELECT puzzle_id, entry_id, letter, sum(d) AS d FROM l WHERE letter <> '' GROUP BY 1, 2, 3 HAVING sum(d) <> 0) SELECT puzzle_id, entry_id, coalesce(string_agg(repeat(letter, CAST(d AS INTEGER)), '' ORDER BY letter) FILTER (d > 0), '') AS extra, coalesce(string_agg(repeat(letter, CAST(-d AS INTEGER)), '' ORDER BY letter) FILTER (d < 0), '') AS missing FROM g GROUP BY 1, 2",
     "definition_place": f"WITH {_E}, b AS (SELECT {_BARE} AS bare, definition FROM e WHERE clue IS NOT NULL AND definition <> '') SELECT CASE WHEN starts_with(bare, definition) THEN 'start' WHEN ends_with(bare, definition) THEN 'end' WHEN contains(bare, definition) THEN 'inside' ELSE 'absent' END AS place, count(*) AS n FROM b GROUP BY 1",
     "redacted_clues": f"WITH {_E} SELECT puzzle_id, entry_id, replace(clue, definition, '___') AS clue FROM e WHERE clue IS NOT NULL AND definition <> ''",
     "usable_clues": f"WITH {_E} SELECT clue_id FROM e WHERE length(clue) >= 12 AND answer IS NOT NULL AND {_ENUM} <> '' AND coalesce(list_sum(list_transform(regexp_extract_all({_ENUM}, '[0-9]+'), lambda x: CAST(x AS INTEGER))), 0) = length({puzzles._LET('answer')}) AND NOT regexp_matches(clue, '[{{}}\\[\\]<>]')",
