@@ -13,7 +13,10 @@ from cluemill.plans import puzzles
 from cluemill.session import table
 
 UNKNOWN_RANK = 60_000
-PATTERN = ("...", "...", "...")
+#: The reference's 11 x 11 grid: 20 entries of 4 to 10 letters, symmetric.
+PATTERN = (
+    "....#......", ".#.#.#.#.#.", ".....#.....", ".#.#.#.#.#.", ".........##", ".###.#.###.", "##.........", ".#.#.#.#.#.", ".....#.....", ".#.#.#.#.#.", "......#....",
+)
 
 
 def _latest(spark, sf_dir):
@@ -145,9 +148,15 @@ def month_weekday(spark, sf_dir):
 
 
 def grid_fill(spark, sf_dir):
-    """Fills of a small grid with three-letter words of the documents, scored by their counts' familiarity."""
-    words = corpus_plans.word_familiarity(spark, sf_dir).where("length(word) = 3").select("word", "familiarity").orderBy("rank").limit(2000).collect()  # a lexicon of bounded size
-    return filling.fills(spark, PATTERN, {r.word: r.familiarity for r in words}, seeds=8, max_nodes=20_000, seconds=5.0)
+    """Fills of an 11 x 11 grid with the documents' words of its entries' lengths, all of them, scored by their counts' familiarity.
+
+    A seed's search ends by its nodes alone, so its row does not depend on the load of the machine. The lexicon is as
+    large as the vocabulary; its order is fixed because the seeds' random numbers are dealt in it.
+    """
+    lengths = sorted({len(cells) for cells in filling.slots(PATTERN)})
+    words = corpus_plans.word_familiarity(spark, sf_dir).where(F.length("word").isin(lengths)).orderBy("rank").select("word", "familiarity").collect()
+    return filling.fills(spark, PATTERN, {r.word: r.familiarity for r in words}, seeds=8, seconds=float("inf"))
+
 
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
