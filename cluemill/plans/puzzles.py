@@ -107,10 +107,10 @@ def basis_use(spark, sf_dir):
 
 
 def perm_pvalue(spark, sf_dir):
-    """Permutation test of the monthly mean scores of two series: the samples are as many as months."""
+    """Permutation test of the scores of the puzzles of two series. Collected is a row per distinct score, and scores have three decimals."""
     rows = _index(spark, sf_dir).where("difficulty.score IS NOT NULL AND series IN ('cryptic', 'quiptic')")
-    months = rows.groupBy("series", F.date_format(F.timestamp_millis("published_ms"), "yyyy-MM").alias("m")).agg(F.avg("difficulty.score").alias("s")).orderBy("series", "m").collect()
-    return scoring.permutation_p(spark, [r.s for r in months if r.series == "cryptic"], [r.s for r in months if r.series == "quiptic"])
+    counts = rows.groupBy(F.col("difficulty.score").alias("s")).agg(F.count_if(F.col("series") == "cryptic").alias("a"), F.count_if(F.col("series") == "quiptic").alias("b")).orderBy("s").collect()
+    return scoring.permutation_p_of_counts(spark, [r.s for r in counts], [r.a for r in counts], [r.b for r in counts])
 
 
 def _cells(spark, sf_dir):

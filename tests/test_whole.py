@@ -2,8 +2,11 @@
 
 import itertools
 
-from cluemill.operators import filling
-from cluemill.plans import wordplay
+import numpy as np
+import pytest
+
+from cluemill.operators import filling, scoring
+from cluemill.plans import puzzles, wordplay
 
 
 def test_grid_fill_searches_all_words_and_not_by_the_clock(spark, data, monkeypatch):
@@ -16,3 +19,19 @@ def test_grid_fill_searches_all_words_and_not_by_the_clock(spark, data, monkeypa
     assert set(seen["words"]) == set(words)
     assert seen["seconds"] == float("inf") and "max_nodes" not in seen
     assert all(a == b[::-1] for a, b in zip(seen["pattern"], seen["pattern"][::-1]))
+
+
+def test_perm_pvalue_weighs_every_puzzle_alike(spark, data, monkeypatch):
+    month = 31 * 86_400_000
+    rows = [("cryptic", 0, (1.0,)), ("cryptic", 1, (1.0,)), ("cryptic", month, (4.0,)), ("quiptic", 0, (0.0,)), ("quiptic", 1, (3.0,)), ("quiptic", None, (3.0,)), ("cryptic", 2, None)]
+    index = spark.createDataFrame(rows, "series string, published_ms bigint, difficulty struct<score: double>")
+    monkeypatch.setattr(puzzles, "_index", lambda *_: index)
+    assert puzzles.perm_pvalue(spark, data).first().difference == pytest.approx(0.0)
+
+
+def test_permutation_of_counts_is_the_test_over_all_splits(spark):
+    a, b = [0.0, 1.0, 1.0, 3.0, 3.0], [1.0, 2.0, 4.0, 5.0]
+    every, seen = [*a, *b], abs(np.mean(a) - np.mean(b))
+    splits = [set(x) for x in itertools.combinations(range(9), 5)]
+    exact = np.mean([abs(np.mean([every[k] for k in x]) - np.mean([every[k] for k in range(9) if k not in x])) >= seen - 1e-12 for x in splits])
+    assert scoring.permutation_p(spark, a, b).first().p == pytest.approx(exact, abs=0.02)
