@@ -31,6 +31,21 @@ def charades(words: DataFrame, least: int) -> DataFrame:
     return splits.join(keys.withColumnRenamed("part", "left"), "left", "left_semi").join(keys.withColumnRenamed("part", "right"), "right", "left_semi").select("word", "left", "right")
 
 
+def piece_charades(words: DataFrame, least: int) -> DataFrame:
+    """(word, pieces): words made of two or three words of at least that many letters.
+
+    The second cut is made only behind a first piece that is a word.
+    """
+    keys = words.where(F.length("word") >= least).select("word")
+    known = lambda df, part: df.join(keys.withColumnRenamed("word", part), part, "left_semi")
+    cut = lambda rest: F.explode(F.sequence(F.lit(least), F.length(rest) - least)).alias("cut")
+    split = lambda rest, left, right: (F.expr(f"substring({rest}, 1, cut)").alias(left), F.expr(f"substring({rest}, cut + 1)").alias(right))
+    first = known(words.where(F.length("word") >= 2 * least).select("word", cut("word")).select("word", *split("word", "a", "rest")), "a")
+    two = known(first, "rest").select("word", F.array("a", "rest").alias("pieces"))
+    second = first.where(F.length("rest") >= 2 * least).select("word", "a", "rest", cut("rest")).select("word", "a", *split("rest", "b", "c"))
+    return two.unionByName(known(known(second, "b"), "c").select("word", F.array("a", "b", "c").alias("pieces")))
+
+
 def containers(words: DataFrame, inner_least: int, outer_least: int) -> DataFrame:
     """(word, outer, inner): words that are one word put inside another."""
     n = F.length("word")

@@ -48,9 +48,14 @@ def lang_mix(spark, sf_dir):
     return rows
 
 
-def _lexicon(spark, sf_dir):
+def _lexicon(spark, sf_dir, least=3, most=12):
     """Words of 3 to 12 letters that stand in at least three documents; written once, for the queries match it with itself."""
-    return materialize(corpus.word_counts(_docs(spark, sf_dir), "text").where("n_docs >= 3 AND length(word) BETWEEN 3 AND 12").select("word", "n"))
+    return materialize(corpus.word_counts(_docs(spark, sf_dir), "text").where((F.col("n_docs") >= 3) & F.length("word").between(least, most)).select("word", "n"))
+
+
+def _full_lexicon(spark, sf_dir):
+    """The same with the lengths of the reference's lexicon."""
+    return _lexicon(spark, sf_dir, 2, 15)
 
 
 def anagram_groups(spark, sf_dir):
@@ -93,9 +98,20 @@ def solution_words(spark, sf_dir):
     return found.join(corpus.word_counts(_docs(spark, sf_dir), "text"), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
+def full_charade_splits(spark, sf_dir):
+    """Charades of two or three words of the full lexicon."""
+    return lexicon.piece_charades(_full_lexicon(spark, sf_dir), 2)
+
+
+def full_container_splits(spark, sf_dir):
+    return lexicon.containers(_full_lexicon(spark, sf_dir), 2, 2)
+
+
 NAMES = """word_frequency stock_terms context_counts bigram_unattested length_median quantile_by_index lang_mix anagram_groups charade_splits
 container_splits reversed_words edit_distance_one near_anagrams trigram_share word_familiarity solution_words""".split()
-QUERIES = {name: globals()[name] for name in NAMES}
+#: The SQL of the lexicon queries takes words of 3 to 12 letters and pieces from 3; these take all words and pieces of the reference's lengths.
+FULL = {f.__name__: f for f in (full_charade_splits, full_container_splits)}
+QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _T = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, unnest(ws) AS word FROM t), c AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY 1)"
 _B = "b AS (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS bigram FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM t))"

@@ -135,6 +135,12 @@ def first_charades(spark, sf_dir):
     return top_k(rows, ["word"], [F.col("cut")], 1).select("word", "left", "right")
 
 
+def full_first_charades(spark, sf_dir):
+    """The first charade of each word over the full lexicon: two pieces before three, then by the places of the cuts."""
+    rows = corpus_plans.full_charade_splits(spark, sf_dir)
+    return top_k(rows, ["word"], [F.size("pieces"), F.length(F.get("pieces", F.lit(0))), F.length(F.get("pieces", F.lit(1)))], 1).select("word", "pieces")
+
+
 def hint_depth(spark, sf_dir):
     """Entries by the number of different rungs opened, and players among them who also used reveals."""
     rows = table(spark, sf_dir, "play_save").select("save_id", "reveals_used", F.explode("hints_shown").alias("entry_id", "rungs"))
@@ -161,7 +167,8 @@ def grid_fill(spark, sf_dir):
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
 obscurity clueability vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
-QUERIES = {name: globals()[name] for name in NAMES}
+FULL = {f.__name__: f for f in (full_first_charades,)}
+QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _E, _C, _L, _I = puzzles._E, puzzles._C, corpus_plans._L, puzzles._I
 _BARE = r"trim(regexp_replace(clue, '\s*\([0-9][0-9, -]*\)\s*$', ''), ' ')"

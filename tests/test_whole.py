@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from cluemill.operators import filling, scoring
+from cluemill.operators import filling, lexicon, scoring
 from cluemill.plans import puzzles, wordplay
 
 
@@ -35,3 +35,31 @@ def test_permutation_of_counts_is_the_test_over_all_splits(spark):
     splits = [set(x) for x in itertools.combinations(range(9), 5)]
     exact = np.mean([abs(np.mean([every[k] for k in x]) - np.mean([every[k] for k in range(9) if k not in x])) >= seen - 1e-12 for x in splits])
     assert scoring.permutation_p(spark, a, b).first().p == pytest.approx(exact, abs=0.02)
+
+
+WORDS = "to day today in side inside insides so on soon no net ten tent often of tin tint lived delivered so at oat boat bat tattoo too tat aint ordinary extra".split()
+
+
+@pytest.fixture
+def words(spark):
+    return spark.createDataFrame([(w,) for w in sorted(set(WORDS))], "word string")
+
+
+def test_charades_take_two_letters_and_three_pieces(words):
+    known = set(WORDS)
+    want = {(w, (w[:i], w[i:])) for w in known for i in range(2, len(w) - 1) if {w[:i], w[i:]} <= known}
+    want |= {(w, (w[:i], w[i:j], w[j:])) for w in known for i in range(2, len(w)) for j in range(i + 2, len(w) - 1) if {w[:i], w[i:j], w[j:]} <= known}
+    got = lexicon.piece_charades(words, 2).collect()
+    assert {(r.word, tuple(r.pieces)) for r in got} == want and len(got) == len(want)
+    assert {("today", ("to", "day")), ("inside", ("in", "side"))} <= want
+
+
+def test_three_pieces(spark):
+    df = spark.createDataFrame([(w,) for w in "sotoon so to on".split()], "word string")
+    assert [(r.word, r.pieces) for r in lexicon.piece_charades(df, 2).collect()] == [("sotoon", ["so", "to", "on"])]
+
+
+def test_containers_take_two_letters(words):
+    known = set(WORDS)
+    want = {(w, w[:i] + w[j:], w[i:j]) for w in known for i in range(1, len(w) - 1) for j in range(i + 2, len(w)) if {w[:i] + w[j:], w[i:j]} <= known}
+    assert {(r.word, r.outer, r.inner) for r in lexicon.containers(words, 2, 2).collect()} == want != set()
