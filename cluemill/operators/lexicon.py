@@ -62,6 +62,15 @@ def reversals(words: DataFrame, least: int) -> DataFrame:
     return turned.join(words.select(F.col("word").alias("turned")), "turned", "left_semi").select("word", "turned")
 
 
+def reversed_parts(words: DataFrame, least: int) -> DataFrame:
+    """(word, part, turned): parts of a word, of at least that many letters and short of the whole, that are another word backwards."""
+    size = F.explode(F.sequence(F.lit(least), F.length("word") - 1)).alias("size")
+    begun = words.where(F.length("word") > least).select("word", size)
+    parts = begun.select("word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("at")).select("word", F.expr("substring(word, at, size)").alias("part")).distinct()
+    turned = parts.withColumn("turned", F.reverse("part")).where("part <> turned")
+    return turned.join(words.select(F.col("word").alias("turned")), "turned", "left_semi").select("word", "part", "turned")
+
+
 def deletions(words: DataFrame) -> DataFrame:
     """(word, shorter): words that are another word with one letter left out."""
     at = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")
@@ -69,6 +78,31 @@ def deletions(words: DataFrame) -> DataFrame:
     return less.join(words.select(F.col("word").alias("shorter")), "shorter", "left_semi").select("word", "shorter").distinct()
 
 
+def neighbours(words: DataFrame) -> DataFrame:
+    """(word, other): words that differ by one letter put in or left out, from both sides."""
+    pairs = deletions(words).withColumnRenamed("shorter", "other")
+    return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
+
+
+def homophones(words: DataFrame) -> DataFrame:
+    """(phone, n, words): words (word, phone) that share a phone key."""
+    groups = words.where(F.col("phone") != "").groupBy("phone").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    return groups.where(F.size("words") > 1).select("phone", F.size("words").cast("bigint").alias("n"), F.array_join("words", ",").alias("words"))
+
+
+def abbreviation_anagrams(words: DataFrame, abbreviations: DataFrame, least: int = 3) -> DataFrame:
+    """(word, abbreviation, other): words whose letters are those of an abbreviation and of another word of at least that many letters.
+
+    abbreviations: (abbreviation) in lower case, a fixed table; the work is the lexicon times its rows.
+    """
+    keyed = words.select("word", letter_key(F.col("word")).alias("key"))
+    at = lambda rest, letter: F.position(letter, rest)
+    less = lambda rest, letter: F.when(at(rest, letter) > 0, F.concat(F.substring(rest, F.lit(1), at(rest, letter) - 1), F.substring(rest, at(rest, letter) + 1, F.length(rest))))
+    taken = F.aggregate(F.split("abbreviation", ""), F.col("key"), lambda rest, letter: F.when(letter == "", rest).otherwise(less(rest, letter)))
+    left = keyed.crossJoin(F.broadcast(abbreviations.select("abbreviation").distinct())).select("word", "abbreviation", taken.alias("key")).where(F.length("key") >= least)
+    return left.join(keyed.withColumnRenamed("word", "other"), "key").select("word", "abbreviation", "other")
+
+
 def near_anagrams(words: DataFrame) -> DataFrame:
     """(word, other): words whose letters are those of another word and one more; matched by the sorted letters less one."""
     keyed = words.select("word", letter_key(F.col("word")).alias("key"))

@@ -107,10 +107,18 @@ def full_container_splits(spark, sf_dir):
     return lexicon.containers(_full_lexicon(spark, sf_dir), 2, 2)
 
 
+def full_reversed_parts(spark, sf_dir):
+    return lexicon.reversed_parts(_full_lexicon(spark, sf_dir), 4)
+
+
+def full_neighbours(spark, sf_dir):
+    return lexicon.neighbours(_full_lexicon(spark, sf_dir))
+
+
 NAMES = """word_frequency stock_terms context_counts bigram_unattested length_median quantile_by_index lang_mix anagram_groups charade_splits
 container_splits reversed_words edit_distance_one near_anagrams trigram_share word_familiarity solution_words""".split()
 #: The SQL of the lexicon queries takes words of 3 to 12 letters and pieces from 3; these take all words and pieces of the reference's lengths.
-FULL = {f.__name__: f for f in (full_charade_splits, full_container_splits)}
+FULL = {f.__name__: f for f in (full_charade_splits, full_container_splits, full_reversed_parts, full_neighbours)}
 QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _T = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, unnest(ws) AS word FROM t), c AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY 1)"

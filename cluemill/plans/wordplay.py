@@ -108,21 +108,39 @@ def obscurity(spark, sf_dir):
     return rows.groupBy("puzzle_id").agg(F.round(F.avg(value), 6).alias("obscurity"))
 
 
-def clueability(spark, sf_dir):
-    """Score of each word of the lexicon by what can be done with its letters, 100 at most, and the codes of that."""
-    words = corpus_plans._lexicon(spark, sf_dir).select("word")
-    hooks = [
-        ("A", 30, lexicon.anagram_groups(words).select(F.explode(F.split("words", ",")).alias("word"))), ("C", 25, lexicon.charades(words, 3).select("word")), ("X", 20, lexicon.containers(words, 3, 3).select("word")),
-        ("R", 20, lexicon.reversals(words, 3).select("word")), ("D", 15, lexicon.deletions(words).select("word")), ("N", 10, lexicon.near_anagrams(words).select("word")),
-    ]
+def _scored(words, hooks):
+    """words with the sum of the points of the hooks (code, points, rows with the words that have it), 100 at most, and their codes."""
     found = None
     for n, (code, points, rows) in enumerate(hooks):
-        one = rows.distinct().select("word", F.lit(code).alias("code"), F.lit(points).alias("points"), F.lit(n).alias("n"))
+        one = rows.select("word").distinct().select("word", F.lit(code).alias("code"), F.lit(points).alias("points"), F.lit(n).alias("n"))
         found = one if found is None else found.unionByName(one)
     scored = found.groupBy("word").agg(F.least(F.lit(100), F.sum("points")).alias("score"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("n", "code"))), lambda x: x["code"]), "").alias("hooks"))
     return words.join(scored, "word", "left").select("word", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("hooks", F.lit("-")).alias("hooks"))
 
 
+def clueability(spark, sf_dir):
+    """Score of each word of the lexicon by what can be done with its letters, 100 at most, and the codes of that."""
+    words = corpus_plans._lexicon(spark, sf_dir).select("word")
+    return _scored(words, [
+        ("A", 30, lexicon.anagram_groups(words).select(F.explode(F.split("words", ",")).alias("word"))), ("C", 25, lexicon.charades(words, 3)), ("X", 20, lexicon.containers(words, 3, 3)),
+        ("R", 20, lexicon.reversals(words, 3)), ("D", 15, lexicon.deletions(words)), ("N", 10, lexicon.near_anagrams(words)),
+    ])
+
+
+def full_clueability(spark, sf_dir):
+    """The same over the full lexicon, with charades of two or three pieces from two letters on, containers round two, neighbours
+    on both sides and, as r with half of R's points, a word of four letters backwards inside a word that is none itself backwards.
+
+    Homophones and abbreviations are not scored: no table of the data has phone keys or abbreviations.
+    """
+    words = corpus_plans._full_lexicon(spark, sf_dir).select("word")
+    whole = lexicon.reversals(words, 2).where("word <> turned")
+    return _scored(words, [
+        ("A", 30, lexicon.anagram_groups(words).select(F.explode(F.split("words", ",")).alias("word"))), ("C", 25, lexicon.piece_charades(words, 2)), ("X", 20, lexicon.containers(words, 2, 2)),
+        ("R", 20, whole), ("r", 10, lexicon.reversed_parts(words, 4).join(whole, "word", "left_anti")), ("D", 15, lexicon.neighbours(words)), ("N", 10, lexicon.near_anagrams(words)),
+    ])
+
+
 def vetoed_words(spark, sf_dir):
     """Lexicon words that are no solution yet."""
     used = table(spark, sf_dir, "clue_entry").where("solution IS NOT NULL").select(F.lower("solution").alias("word"))
@@ -167,7 +185,7 @@ def grid_fill(spark, sf_dir):
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
 obscurity clueability vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
-FULL = {f.__name__: f for f in (full_first_charades,)}
+FULL = {f.__name__: f for f in (full_clueability, full_first_charades)}
 QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _E, _C, _L, _I = puzzles._E, puzzles._C, corpus_plans._L, puzzles._I

@@ -63,3 +63,20 @@ def test_containers_take_two_letters(words):
     known = set(WORDS)
     want = {(w, w[:i] + w[j:], w[i:j]) for w in known for i in range(1, len(w) - 1) for j in range(i + 2, len(w)) if {w[:i] + w[j:], w[i:j]} <= known}
     assert {(r.word, r.outer, r.inner) for r in lexicon.containers(words, 2, 2).collect()} == want != set()
+
+
+def test_neighbours_reversed_parts_and_phones(spark, words):
+    known = set(WORDS)
+    assert {("bat", "boat"), ("boat", "bat"), ("at", "oat"), ("oat", "at")} <= {tuple(r) for r in lexicon.neighbours(words).collect()}
+    parts = {(w, w[i:j], w[i:j][::-1]) for w in known for i in range(len(w)) for j in range(i + 4, len(w) + 1) if j - i < len(w) and w[i:j] != w[i:j][::-1] and w[i:j][::-1] in known}
+    assert {tuple(r) for r in lexicon.reversed_parts(words, 4).collect()} == parts
+    more = spark.createDataFrame([("undevilish",), ("lived",)], "word string")
+    assert {tuple(r) for r in lexicon.reversed_parts(more, 4).collect()} == {("undevilish", "devil", "lived")}
+    phones = spark.createDataFrame([("sea", "S IY"), ("see", "S IY"), ("tea", "T IY"), ("x", ""), ("y", ""), ("z", None)], "word string, phone string")
+    assert [tuple(r) for r in lexicon.homophones(phones).collect()] == [("S IY", 2, "sea,see")]
+
+
+def test_anagrams_with_an_abbreviation(spark):
+    df = spark.createDataFrame([(w,) for w in "earth rate tear hat teeth".split()], "word string")
+    short = spark.createDataFrame([("h",), ("he",), ("ee",), ("ray",)], "abbreviation string")
+    assert {tuple(r) for r in lexicon.abbreviation_anagrams(df, short).collect()} == {("earth", "h", "rate"), ("earth", "h", "tear")}
