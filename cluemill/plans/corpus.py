@@ -58,8 +58,8 @@ def _full_lexicon(spark, sf_dir):
     return _lexicon(spark, sf_dir, 2, 15)
 
 
-def anagram_groups(spark, sf_dir):
-    return lexicon.anagram_groups(_lexicon(spark, sf_dir))
+def anagram_groups(spark, sf_dir, words_of=_lexicon):
+    return lexicon.anagram_groups(words_of(spark, sf_dir))
 
 
 def charade_splits(spark, sf_dir):
@@ -70,24 +70,24 @@ def container_splits(spark, sf_dir):
     return lexicon.containers(_lexicon(spark, sf_dir), 3, 3)
 
 
-def reversed_words(spark, sf_dir):
-    return lexicon.reversals(_lexicon(spark, sf_dir), 3)
+def reversed_words(spark, sf_dir, words_of=_lexicon):
+    return lexicon.reversals(words_of(spark, sf_dir), 3)
 
 
-def edit_distance_one(spark, sf_dir):
-    return lexicon.deletions(_lexicon(spark, sf_dir))
+def edit_distance_one(spark, sf_dir, words_of=_lexicon):
+    return lexicon.deletions(words_of(spark, sf_dir))
 
 
-def near_anagrams(spark, sf_dir):
-    return lexicon.near_anagrams(_lexicon(spark, sf_dir))
+def near_anagrams(spark, sf_dir, words_of=_lexicon):
+    return lexicon.near_anagrams(words_of(spark, sf_dir))
 
 
-def trigram_share(spark, sf_dir):
-    return lexicon.trigram_share(_lexicon(spark, sf_dir), 5)
+def trigram_share(spark, sf_dir, words_of=_lexicon):
+    return lexicon.trigram_share(words_of(spark, sf_dir), 5)
 
 
-def word_familiarity(spark, sf_dir):
-    ranked = ordering.numbered(_lexicon(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank")
+def word_familiarity(spark, sf_dir, words_of=_lexicon):
+    ranked = ordering.numbered(words_of(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank")
     total = ranked.agg(F.max("rank").alias("t")).scalar()
     return ranked.select("word", "rank", lexicon.familiarity(F.col("rank"), total).alias("familiarity"))
 
@@ -115,10 +115,16 @@ def full_neighbours(spark, sf_dir):
     return lexicon.neighbours(_full_lexicon(spark, sf_dir))
 
 
+def _full(query):
+    return lambda spark, sf_dir: query(spark, sf_dir, _full_lexicon)
+
+
 NAMES = """word_frequency stock_terms context_counts bigram_unattested length_median quantile_by_index lang_mix anagram_groups charade_splits
 container_splits reversed_words edit_distance_one near_anagrams trigram_share word_familiarity solution_words""".split()
 #: The SQL of the lexicon queries takes words of 3 to 12 letters and pieces from 3; these take all words and pieces of the reference's lengths.
-FULL = {f.__name__: f for f in (full_charade_splits, full_container_splits, full_reversed_parts, full_neighbours)}
+FULL = {f"full_{query.__name__}": _full(query) for query in (anagram_groups, edit_distance_one, near_anagrams, trigram_share, word_familiarity)} | {
+    f.__name__: f for f in (full_charade_splits, full_container_splits, full_reversed_parts, full_neighbours)
+}
 QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _T = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, unnest(ws) AS word FROM t), c AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY 1)"

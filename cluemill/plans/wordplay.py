@@ -100,9 +100,9 @@ def slot_candidates(spark, sf_dir):
     return _latest(spark, sf_dir).where("solution IS NOT NULL").select("puzzle_id", "entry_id", mask("solution").alias("mask")).join(known, "mask")
 
 
-def obscurity(spark, sf_dir):
+def obscurity(spark, sf_dir, words_of=corpus_plans._lexicon):
     """Per puzzle the mean logarithm of the rank of its entries' solutions among the documents' words."""
-    ranks = ordering.numbered(corpus_plans._lexicon(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank").select("word", "rank")
+    ranks = ordering.numbered(words_of(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank").select("word", "rank")
     rows = _latest(spark, sf_dir).where("solution IS NOT NULL").select("puzzle_id", F.lower("solution").alias("word")).join(ranks, "word", "left")
     value = F.log10(F.greatest(F.coalesce("rank", F.lit(UNKNOWN_RANK)), F.lit(10)))
     return rows.groupBy("puzzle_id").agg(F.round(F.avg(value), 6).alias("obscurity"))
@@ -141,10 +141,10 @@ def full_clueability(spark, sf_dir):
     ])
 
 
-def vetoed_words(spark, sf_dir):
+def vetoed_words(spark, sf_dir, words_of=corpus_plans._lexicon):
     """Lexicon words that are no solution yet."""
     used = table(spark, sf_dir, "clue_entry").where("solution IS NOT NULL").select(F.lower("solution").alias("word"))
-    return corpus_plans._lexicon(spark, sf_dir).join(used, "word", "left_anti").select("word")
+    return words_of(spark, sf_dir).join(used, "word", "left_anti").select("word")
 
 
 def first_charades(spark, sf_dir):
@@ -185,7 +185,7 @@ def grid_fill(spark, sf_dir):
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
 obscurity clueability vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
-FULL = {f.__name__: f for f in (full_clueability, full_first_charades)}
+FULL = {f"full_{query.__name__}": corpus_plans._full(query) for query in (obscurity, vetoed_words)} | {f.__name__: f for f in (full_clueability, full_first_charades)}
 QUERIES = {name: globals()[name] for name in NAMES} | FULL
 
 _E, _C, _L, _I = puzzles._E, puzzles._C, corpus_plans._L, puzzles._I

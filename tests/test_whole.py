@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cluemill.operators import filling, lexicon, scoring
-from cluemill.plans import puzzles, wordplay
+from cluemill.plans import corpus, puzzles, wordplay
 
 
 def test_grid_fill_searches_all_words_and_not_by_the_clock(spark, data, monkeypatch):
@@ -80,3 +80,11 @@ def test_anagrams_with_an_abbreviation(spark):
     df = spark.createDataFrame([(w,) for w in "earth rate tear hat teeth".split()], "word string")
     short = spark.createDataFrame([("h",), ("he",), ("ee",), ("ray",)], "abbreviation string")
     assert {tuple(r) for r in lexicon.abbreviation_anagrams(df, short).collect()} == {("earth", "h", "rate"), ("earth", "h", "tear")}
+
+
+def test_full_lexicon_has_two_to_fifteen_letters(spark, tmp_path):
+    text = "to in into extraordinarily responsibility a antidisestablish characteristic"
+    spark.createDataFrame([(n, text, "en", len(text)) for n in range(3)], "doc_id int, text string, lang string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.word for r in corpus.FULL["full_word_familiarity"](spark, str(tmp_path)).collect()} == {"to", "in", "into", "extraordinarily", "responsibility", "characteristic"}
+    scores = {r.word: r.hooks for r in wordplay.full_clueability(spark, str(tmp_path)).collect()}
+    assert "C" in scores["into"] and len(scores) == 6
