@@ -59,6 +59,15 @@ def _canonical(value: object) -> str:
     return value.text if isinstance(value, _Number) else json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
+def _written(value: object) -> str:
+    """_canonical, with the numbers in lists and objects as they were written too."""
+    if isinstance(value, list):
+        return f"[{', '.join(map(_written, value))}]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_written(v)}" for k, v in sorted(value.items())) + "}"
+    return _canonical(value)
+
+
 Cell = tuple[str | None, str | None, str | None, int, str | None]
 
 
@@ -90,7 +99,7 @@ def line_cells(body: str) -> Iterator[Cell]:
 
 
 def allowance_cells(body: str) -> Iterator[Cell]:
-    """(puzzle, field, parent, kinds, count) of one allowance; a field's counts stand in an object or in a list of puzzle and count."""
+    """(puzzle, field, parent, kinds, count) of one allowance; a field's counts stand in an object or in a list of puzzle and count. What is neither is the value of the field without a puzzle."""
     document = json.loads(body, parse_int=_Number, parse_float=_Number)
     if not isinstance(document, dict):
         return
@@ -98,7 +107,8 @@ def allowance_cells(body: str) -> Iterator[Cell]:
     for name, value in document.items():
         if value is None or name.startswith("_"):
             continue
-        yield None, name, "", _kind(value), None
+        plain = None if isinstance(value, dict) or isinstance(value, list) and all(isinstance(x, dict) for x in value) else value
+        yield None, name, "", _kind(value), None if plain is None else _written([x for x in plain if not isinstance(x, dict)] if isinstance(plain, list) else plain)
         if isinstance(value, dict):
             counts = list(value.items())
         elif isinstance(value, list):
@@ -112,12 +122,14 @@ def allowance_cells(body: str) -> Iterator[Cell]:
 
 
 READERS: dict[str, Callable[[str], Iterator[Cell]]] = {"lines": line_cells, "allowances": allowance_cells}
+#: The keys of a record as JSON text.
+KEYS: dict[str, Callable[[str], str]] = {"lines": lambda record: json.dumps(dict(zip(("id", "entry"), json.loads(record)))), "allowances": lambda puzzle: json.dumps({"puzzle": puzzle})}
 
 
 def cells(files: DataFrame, series: str, reader: str, values: bool = False) -> DataFrame:
-    """Cells of files (feed, file_name, exported_at, body). values: also the values themselves, as JSON text."""
+    """Cells of files (feed, file_name, exported_at, body). values: also the values themselves, as JSON text, and in a record's cell without a field its keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        break_up = READERS[reader]
+        break_up, keys = READERS[reader], KEYS[reader]
         for batch in batches:
             bodies = batch.column(3)
             for start in range(0, batch.num_rows, 512):
@@ -137,7 +149,7 @@ def cells(files: DataFrame, series: str, reader: str, values: bool = False) -> D
                         joined = f"{key}\n{value}"
                         h1.append(0 if value is None else xxhash.xxh64_intdigest(joined))
                         h2.append(0 if value is None else xxhash.xxh64_intdigest(joined, 7))
-                        kept.append(value if values else None)
+                        kept.append(None if not values else keys(of) if name is None and of is not None else value)
                 if source:
                     take = batch.take(pa.array(source, pa.int64()))
                     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -270,23 +282,28 @@ def casts(change_rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def unified(cell_rows: DataFrame, change_rows: DataFrame) -> DataFrame:
-    """One row per file and record, with fields: a map from first name to value (JSON text).
-
-    Each file's values go through the rules of its version: rename to the first name, cast to text where the field's kind
-    changes anywhere in the series (text loses its quotes, other values keep how they are written), and the default,
-    null, for every field of the series that the record lacks. Where a record stands in a file again with another value,
-    the least value is kept.
+    """One row per file and record, with its keys (id and entry of a line, puzzle of an allowance's count) and fields: a map
+    from first name to value (JSON text).
+
+    A record without values has a row too. Values of an allowance that belong to no puzzle stand in a row of the file
+    with record 0 and no keys. Each file's values go through the rules of its version: rename to the first name, cast to
+    text where the field's kind changes anywhere in the series (text loses its quotes, other values keep how they are
+    written), and the default, null, for every field of the series that the record lacks. Where a record stands in a file
+    again with another value, the least value is kept.
     """
     pairs = file_chain(cell_rows).select(*FILE, "version")
     rules = materialize(migrations(change_rows))
-    named = cell_rows.where(F.col("field_name").isNotNull() & (F.col("record") != 0)).select(*FILE, "record", "field_name", "value").distinct().join(pairs, FILE)
+    # a record's cell without a field holds its keys, and goes through the same steps as its values under no name
+    named = cell_rows.where(F.col("value").isNotNull()).select(*FILE, "record", "field_name", "value").distinct().join(pairs, FILE)
     to_text = casts(change_rows, rules).withColumn("_cast", F.lit(True))
     bare = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
     ready = _first_names(named, rules).join(to_text, ["series", "feed", "first_name"], "left").withColumn("value", F.when(F.col("_cast"), bare).otherwise(F.col("value")))
     single = ready.groupBy(*FILE, "version", "record", "first_name").agg(F.min("value").alias("value"))
-    records = single.groupBy(*FILE, "version", "record").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("first_name").alias("k"), F.col("value").alias("v"))))).alias("held"))
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("first_name").isNotNull(), F.struct(F.col("first_name").alias("k"), F.col("value").alias("v"))))))
+    records = single.groupBy(*FILE, "version", "record").agg(held.alias("held"), F.max(F.when(F.col("first_name").isNull(), F.col("value"))).alias("keys"))
     # the names of a series are schema, not data: as many as its files have fields
     names = fingerprints(cell_rows).where(F.col("field_name").isNotNull()).join(pairs, FILE).select("series", "feed", "version", "field_name").distinct()
     vocabulary = _first_names(names, rules).groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
-    fields = F.map_from_entries(F.transform("names", lambda n: F.struct(n, F.col("held")[n])))
-    return records.join(vocabulary, ["series", "feed"]).select(*FILE, "version", "record", fields.alias("fields"))
+    fields = F.map_from_entries(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n, F.col("held")[n])))
+    keys = [F.get_json_object("keys", f"$.{name}").alias(name) for name in ("id", "entry", "puzzle")]
+    return records.join(vocabulary, ["series", "feed"], "left").select(*FILE, "version", "record", *keys, fields.alias("fields"))

@@ -1,11 +1,13 @@
 """Queries do the whole job: nothing of their input is left out."""
 
+import datetime as dt
 import itertools
+import json
 
 import numpy as np
 import pytest
 
-from cluemill.operators import filling, lexicon, scoring
+from cluemill.operators import drift, filling, lexicon, scoring
 from cluemill.plans import corpus, puzzles, wordplay
 
 
@@ -88,3 +90,25 @@ def test_full_lexicon_has_two_to_fifteen_letters(spark, tmp_path):
     assert {r.word for r in corpus.FULL["full_word_familiarity"](spark, str(tmp_path)).collect()} == {"to", "in", "into", "extraordinarily", "responsibility", "characteristic"}
     scores = {r.word: r.hooks for r in wordplay.full_clueability(spark, str(tmp_path)).collect()}
     assert "C" in scores["into"] and len(scores) == 6
+
+
+def table_of(spark, reader, *bodies):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("f", f"file{n}", at + n * dt.timedelta(days=1), body) for n, body in enumerate(bodies)]
+    cells = drift.cells(spark.createDataFrame(rows, "feed string, file_name string, exported_at timestamp_ntz, body string"), "s", reader, values=True)
+    return drift.unified(cells, drift.changes(cells.drop("value"))).collect()
+
+
+def test_p3_table_keeps_the_keys_of_lines_and_lines_without_values(spark):
+    rows = table_of(spark, "lines", json.dumps({"id": 'p "1', "entry": "1-down", "k": 3}), json.dumps({"id": 7, "entry": None, "k": None}), json.dumps({"entry": "é"}))
+    assert {(r.version, r.id, r.entry, r.puzzle, r.fields["k"]) for r in rows} == {(1, 'p "1', "1-down", None, "3"), (2, "7", None, None, None), (3, None, "é", None, None)}
+    assert len(rows) == 3
+    bare = table_of(spark, "lines", json.dumps({"id": "p", "entry": "e"}))
+    assert [(r.id, r.entry, r.fields) for r in bare] == [("p", "e", {})]
+
+
+def test_p3_table_keeps_puzzles_and_plain_values_of_allowances(spark):
+    rows = table_of(spark, "allowances", '{"a": {"p-1": 3, "p-2": null}, "b": 4.50, "c": [1, "x"], "d": [{"puzzle": "p-1", "count": 5}]}')
+    got = {(r.puzzle, r.id): r.fields for r in rows}
+    none = dict.fromkeys("abcd")
+    assert got == {("p-1", None): none | {"a": "3", "d": "5"}, ("p-2", None): none, (None, None): none | {"b": "4.50", "c": '[1, "x"]'}}
