@@ -65,11 +65,13 @@ REPEAT_WORDS, REPEAT_DISTINCT, LONG_WORD, REPEAT_LINES = 12, 3, 45, 8
 #: a document with at least this share of prose is prose
 PROSE_SHARE = 0.58
 
+#: a feature of list items: a line that begins like one but has this many characters is a paragraph with a number or dash before it
+BULLET_BELOW = 200
 BULLET = re.compile(r"\s*(?:[-*+•–—·▪◦‣>o]|\(?\d{1,4}[.):]|\(?[a-z][.)]|\[[ xX✓]?\])\s+\S")
 ITEM = re.compile(r"\s*(?:[^\W\d_]+ = [^\W_]{1,12}|[^\W\d_]+ \(\d[\d, -]*\)|\d{1,3} (?:across|down|ac|dn|Across|Down|Ac|Dn)\.? [^\W\d_]+|[^\W\d_]+: [^\W\d_]+ [^\W\d_]+\.?|\d{1,3} (?:across|down|ac|dn|Ac|Dn))\s*$")
 MARKUP = re.compile(r"\s*<[/a-zA-Z!][^>]*>")
 HEX = re.compile(r"\s*0x[0-9a-fA-F]+\b|\s*(?:[0-9a-fA-F]{2} ){6}")
-GRID = re.compile(r"\s*(?:[A-Z.#■□_*01-]\s?){5,}\s*$")
+GRID = re.compile(r"\s*+(?:[A-Z.#■□_*01-]\s?+){5,}+\s*+$")
 GRID_SIGN = re.compile("[.#■□_*-].*[.#■□_*-]")
 
 
@@ -253,18 +255,16 @@ def _observations(lines: list[str], sizes: np.ndarray, s: dict[str, np.ndarray])
     layout[(s["runs"] >= 4) & (per_item <= 5) & (share < 0.3)] = 3
     layout[(s["cells"] >= 2) & (per_item <= 12) | (s["tabs"] > 0) | (s["gaps"] > 0) & (s["words"] <= 6)] = 4
     for k, line in enumerate(lines):
-        head = line[:200]
-        if MARKUP.match(head):
+        if MARKUP.match(line):
             layout[k] = 6
-        elif HEX.match(head):
+        elif HEX.match(line):
             layout[k] = 7
-        elif len(line) < 200:
-            if GRID.match(line) and len(line.split()[0]) in (1, len(line.strip())) and (line.strip(" 01") == "" or not line.strip(" .#■□_*-ABCDEFGHIJKLMNOPQRSTUVWXYZ") and GRID_SIGN.search(line)):
-                layout[k] = 5
-            elif layout[k] != 4 and ITEM.match(line):
-                layout[k] = 2
-            elif layout[k] != 4 and BULLET.match(line):
-                layout[k] = 1
+        elif GRID.match(line) and len(line.split()[0]) in (1, len(line.strip())) and (line.strip(" 01") == "" or not line.strip(" .#■□_*-ABCDEFGHIJKLMNOPQRSTUVWXYZ") and GRID_SIGN.search(line)):
+            layout[k] = 5
+        elif layout[k] != 4 and ITEM.match(line):
+            layout[k] = 2
+        elif layout[k] != 4 and len(line) < BULLET_BELOW and BULLET.match(line):
+            layout[k] = 1
     layout[s["repeats"]] = 8
     end = 0
     for size in sizes.tolist():

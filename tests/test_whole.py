@@ -112,3 +112,12 @@ def test_p3_table_keeps_puzzles_and_plain_values_of_allowances(spark):
     got = {(r.puzzle, r.id): r.fields for r in rows}
     none = dict.fromkeys("abcd")
     assert got == {("p-1", None): none | {"a": "3", "d": "5"}, ("p-2", None): none, (None, None): none | {"b": "4.50", "c": '[1, "x"]'}}
+
+
+def test_p8_sees_the_layout_of_long_lines():
+    quality = pytest.importorskip("cluemill.llm.quality")
+    lines = ['<div data-x="' + "a b " * 80 + '">', ". # " * 80, "lemon" * 50 + " = river", "- " + "lemon and " * 30]
+    zeros = dict.fromkeys("common words runs cells tabs gaps ends_stop pairs plausible broken visible".split(), np.zeros(4, int))
+    got = quality._observations(lines, np.array([4]), zeros | {"repeats": np.zeros(4, bool)})
+    rest = got - np.log(quality.P_LAYOUT).T[[6, 5, 2, 0]]
+    assert np.allclose(rest, rest[0])
