@@ -179,12 +179,11 @@ class StreamEncoder:
         if self.inside is not None:
             out += self._continue()
         if self.inside is None and self.held:
-            spans = list(self.encoder.scan(self.held))
+            found = self.encoder.find(self.held)
             # the last two pieces wait for what follows: a sign may turn out to begin a contraction
-            for match in spans[:-2]:
-                out += self.encoder.pieces[match.group()]
-            if len(spans) > 2:
-                self.held = self.held[spans[-2].start() :]
+            out.extend(chain.from_iterable(map(self.encoder.pieces.__getitem__, found[:-2])))
+            if len(found) > 2:
+                self.held = "".join(found[-2:])
             if len(self.held) > self.encoder.window:
                 out += self._open_long()
         return out
@@ -237,6 +236,18 @@ class StreamEncoder:
         return out
 
 
+#: Characters that encode feeds to a text's encoder at a time.
+CHUNK = 16_384
+
+
+def stream_ids(encoder: Encoder, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
+    """Ids of a text that is fed to a StreamEncoder a chunk at a time."""
+    stream = StreamEncoder(encoder)
+    for at in range(0, len(text), chunk):
+        yield stream.feed(text[at : at + chunk])
+    yield stream.finish()
+
+
 class StreamDecoder:
     """Text of ids that arrive one by one: a state machine over bytes that gives a character once it is complete.
 
@@ -310,7 +321,8 @@ def encode(docs: DataFrame, key: str, text: str, name: str, folder: str | None =
             flat, ends = array("i"), np.zeros(len(texts) + 1, np.int32)
             for n, body in enumerate(texts):
                 if body:
-                    flat.extend(encoder.ids(body))
+                    for own in stream_ids(encoder, body):
+                        flat.extend(own)
                 ends[n + 1] = len(flat)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
