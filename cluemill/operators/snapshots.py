@@ -1,4 +1,4 @@
-"""Two versions of a keyed table: carry over, differences, anti joins both ways, appends of unseen keys."""
+"""Newest rows and two versions of a keyed table: carry over, differences, anti joins both ways, appends of unseen keys."""
 
 from __future__ import annotations
 
@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the greatest values of order, nulls counting as least.
+
+    A max over a struct combines on the map side, so a hot key sends one row per task; key values may be null
+    (null is a key of its own). Rows equal in all order columns: the greatest of the remaining columns that can be
+    ordered is not defined, so order must end in a unique column.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    packed = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*keys).agg(packed.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def carry_over(new: DataFrame, old: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """new with the old value of each column where there is one."""
     kept = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -1,4 +1,4 @@
-"""Queries of the general problems 1 to 4 on the project's tables."""
+"""Queries of the general problems 1 to 3 on the project's tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cluemill.functions.text import id_key
-from cluemill.operators import drift, frequency, nested, orphans
+from cluemill.operators import drift, nested, orphans
 from cluemill.session import materialize, table
 
 PUZZLE_MODEL = nested.DocumentModel(
@@ -133,25 +133,6 @@ def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(rows, drift.changes(rows.drop("value"))).withColumn("fields", F.to_json("fields"))
 
 
-RARE_BELOW = 3
-COMMON_PERCENT = 3
-
-
-def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "clue_entry").select("puzzle_id", "entry_id", "loaded_at", "clue_id", "clue_type", "indicators")
-    return frequency.latest_rows(rows, ["puzzle_id", "entry_id"], ["loaded_at", "clue_id"]).where(F.col("clue_type").isNotNull())
-
-
-def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = frequency.term_counts(_annotated(spark, sf_dir), {"indicators": F.col("indicators"), "clue_type": F.split("clue_type", r"\+")})
-    return frequency.mark_terms(counts, RARE_BELOW, COMMON_PERCENT)
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.array_compact(F.array(F.when(F.col("is_rare"), F.lit("rare")), F.when(F.col("is_common"), F.lit("common"))))
-    return p4_terms(spark, sf_dir).select("field_name", "term", F.explode(marks).alias("mark"))
-
-
 QUERIES = {
     "p1_found": p1_found,
     "p1_entries": p1_entries,
@@ -165,8 +146,6 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_fingerprints": p3_fingerprints,
     "p3_table": p3_table,
-    "p4_found": p4_found,
-    "p4_terms": p4_terms,
 }
 
 _KEY = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')".format
@@ -181,11 +160,6 @@ UNION ALL SELECT 'play_save', save_id, 'puzzle_id', puzzle_id, 'puzzle', {_KEY('
 j AS (SELECT table_name, row_key, field_name, ref_value, made, count(t.k) AS n, count(*) FILTER (t.a <= r.made) AS came, count(*) FILTER (t.a <= r.made AND (t.b IS NULL OR t.b > r.made)) AS alive
 FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 p2 AS (SELECT table_name, row_key, field_name, ref_value, CASE WHEN n = 0 THEN 'missing' WHEN came = 0 THEN 'late' ELSE 'deleted' END AS reason, strftime(made, '%Y-%m') AS period FROM j WHERE alive = 0)"""
-_TERMS = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id, entry_id ORDER BY loaded_at DESC, clue_id DESC) AS k FROM clue_entry) WHERE k = 1 AND clue_type IS NOT NULL),
-x AS (SELECT clue_id, 'indicators' AS field_name, unnest(indicators) AS raw FROM e UNION ALL SELECT clue_id, 'clue_type', unnest(string_split(clue_type, '+')) FROM e),
-y AS (SELECT clue_id, field_name, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS term FROM x),
-c AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT clue_id) AS records, (SELECT count(*) FROM e) AS all_records FROM y WHERE term <> '' GROUP BY 1, 2),
-m AS (SELECT *, records < 3 AS is_rare, records * 100 > all_records * 3 AS is_common FROM c)"""
 _NOTE = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END".format
 _ITEMS = " UNION ALL ".join(
     f"""SELECT raw_id, entry_id, '{f[:-1]}' AS node_kind, i - 1 AS item_no FROM (SELECT raw_id, entry_id, unnest(CAST(n -> '$.{f}' AS JSON[])) AS x, unnest(range(1, CAST(json_array_length(n, '$.{f}') AS BIGINT) + 1)) AS i FROM g WHERE json_type(n, '$.{f}') = 'ARRAY') WHERE json_type(x) <> 'NULL'
@@ -237,6 +211,4 @@ SQL = {
     "p1_found": f"WITH {_NODES}",
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",
     "p2_report": f"WITH {_REFERENCES} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM p2 GROUP BY 1, 2, 3",
-    "p4_found": f"WITH {_TERMS} SELECT field_name, term, 'rare' AS mark FROM m WHERE is_rare UNION ALL SELECT field_name, term, 'common' FROM m WHERE is_common",
-    "p4_terms": f"WITH {_TERMS} SELECT * FROM m",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cluemill.functions import text
 from cluemill.functions.text import id_key
-from cluemill.operators import activity, frequency, geometry, ordering, rules, scoring, snapshots
+from cluemill.operators import activity, geometry, ordering, rules, scoring, snapshots
 from cluemill.session import table
 
 #: Own dimension of series: kind and size class; a series not listed takes the row of the default.
@@ -17,7 +17,7 @@ GRID = 15
 
 def _latest(spark, sf_dir):
     """The entry as last loaded."""
-    return frequency.latest_rows(table(spark, sf_dir, "clue_entry"), ["puzzle_id", "entry_id"], ["loaded_at", "clue_id"])
+    return snapshots.latest_rows(table(spark, sf_dir, "clue_entry"), ["puzzle_id", "entry_id"], ["loaded_at", "clue_id"])
 
 
 def _first(spark, sf_dir):
@@ -27,7 +27,7 @@ def _first(spark, sf_dir):
 def _index(spark, sf_dir):
     """The index row of each puzzle as last loaded, with the default series."""
     rows = table(spark, sf_dir, "puzzle_index").withColumn("series", F.coalesce("series", F.lit(DEFAULT_SERIES)))
-    return frequency.latest_rows(rows, ["puzzle_id"], ["loaded_at", "content_stamp"])
+    return snapshots.latest_rows(rows, ["puzzle_id"], ["loaded_at", "content_stamp"])
 
 
 def _newest_first():
@@ -88,8 +88,8 @@ def stamp_changes(spark, sf_dir):
     """Index rows of 2025 and later against those before: content stamps added, removed, changed."""
     rows = table(spark, sf_dir, "puzzle_index")
     cut = F.lit("2025-01-01").cast("timestamp_ntz")
-    before = frequency.latest_rows(rows.where(F.col("loaded_at") < cut).select("puzzle_id", "loaded_at", "content_stamp"), ["puzzle_id"], ["loaded_at", "content_stamp"])
-    return snapshots.differences(before, frequency.latest_rows(rows.select("puzzle_id", "loaded_at", "content_stamp"), ["puzzle_id"], ["loaded_at", "content_stamp"]), ["puzzle_id"], "content_stamp")
+    before = snapshots.latest_rows(rows.where(F.col("loaded_at") < cut).select("puzzle_id", "loaded_at", "content_stamp"), ["puzzle_id"], ["loaded_at", "content_stamp"])
+    return snapshots.differences(before, snapshots.latest_rows(rows.select("puzzle_id", "loaded_at", "content_stamp"), ["puzzle_id"], ["loaded_at", "content_stamp"]), ["puzzle_id"], "content_stamp")
 
 
 def difficulty_percentile(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Plain Python answers to problems 1 to 4, to hold the Spark queries against."""
+"""Plain Python answers to problems 1 to 3, to hold the Spark queries against."""
 
 from __future__ import annotations
 
@@ -126,19 +126,3 @@ def p3(lines, allowances):
             out |= {(after[1], "".join(b), "removed", "") for b in old - {b for _, b in pairs}}
             out |= {(after[1], "".join(f), "retyped", "") for f in set(k0) & set(k1) if k0[f] != k1[f]}
     return out
-
-
-def p4(entries):
-    last = {}
-    for r in entries:
-        k = (r["puzzle_id"], r["entry_id"])
-        if k not in last or (r["loaded_at"], r["clue_id"]) > (last[k]["loaded_at"], last[k]["clue_id"]):
-            last[k] = r
-    rows = [r for r in last.values() if r["clue_type"] is not None]
-    seen = defaultdict(int)
-    for r in rows:
-        terms = {("clue_type", t) for t in r["clue_type"].split("+")} | {("indicators", t) for t in (r["indicators"] if r["indicators"] is not None else []) if t is not None}
-        for f, t in {(f, " ".join(t.lower().split())) for f, t in terms}:
-            if t:
-                seen[f, t] += 1
-    return {(f, t, "rare") for (f, t), n in seen.items() if n < 3} | {(f, t, "common") for (f, t), n in seen.items() if 100 * n > 3 * len(rows)}

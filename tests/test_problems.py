@@ -1,4 +1,4 @@
-"""Problems 1 to 4 against plain Python, on the smallest data and on literal rows."""
+"""Problems 1 to 3 against plain Python, on the smallest data and on literal rows."""
 
 import datetime as dt
 import json
@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from cluemill.operators import drift, frequency, nested, orphans
+from cluemill.operators import drift, nested, orphans, snapshots
 from cluemill.plans import problems
 
 
@@ -34,10 +34,6 @@ def test_p3_is_brute_force(spark, data):
     assert found(problems.p3_found(spark, data)) == brute.p3(rows(spark, data, "annotation_feed"), rows(spark, data, "backlog_file"))
 
 
-def test_p4_is_brute_force(spark, data):
-    assert found(problems.p4_found(spark, data)) == brute.p4(rows(spark, data, "clue_entry"))
-
-
 MODEL = problems.PUZZLE_MODEL
 
 
@@ -182,20 +178,13 @@ def test_p3_nothing_readable(spark):
     assert named(drift.changes(drifted(spark, ["{"], [None]))) == set()
 
 
-def test_p4_terms_and_bounds(spark):
-    data = [(n, [" In ", "in", None, "  "] if n < 4 else None, "a + b" if n % 2 else " A  b ") for n in range(10)]
-    counts = frequency.term_counts(spark.createDataFrame(data, "id int, i array<string>, t string"), {"i": F.col("i"), "t": F.split("t", r"\+")})
-    got = {(r.field_name, r.term): (r.occurrences, r.records, r.is_rare, r.is_common) for r in frequency.mark_terms(counts, 5, 45).collect()}
-    assert got == {("i", "in"): (8, 4, True, False), ("t", "a"): (5, 5, False, True), ("t", "b"): (5, 5, False, True), ("t", "a b"): (5, 5, False, True)}
-
-
-def test_p4_latest_row_wins_with_ties_and_clashing_names(spark):
+def test_latest_row_wins_with_ties_and_clashing_names(spark):
     data = [(1, "x", T, 1, "_row"), (1, "x", T, 2, "new"), (1, "x", None, 3, "old"), (None, "x", T, 4, "null")]
     df = spark.createDataFrame(data, "k int, e string, at timestamp_ntz, id int, `term` string")
-    got = {(r.k, r.term) for r in frequency.latest_rows(df, ["k", "e"], ["at", "id"]).collect()}
+    got = {(r.k, r.term) for r in snapshots.latest_rows(df, ["k", "e"], ["at", "id"]).collect()}
     assert got == {(1, "new"), (None, "null")}
 
 
-@pytest.mark.parametrize("name", ["p1_entries", "p1_blocks", "p1_pieces", "p1_annotations", "p2_cascade", "p2_report", "p3_table", "p3_fingerprints", "p4_terms"])
+@pytest.mark.parametrize("name", ["p1_entries", "p1_blocks", "p1_pieces", "p1_annotations", "p2_cascade", "p2_report", "p3_table", "p3_fingerprints"])
 def test_other_queries_run(spark, data, name):
     assert problems.QUERIES[name](spark, data).count() > 0

@@ -112,29 +112,3 @@ def test_p3_table_keeps_puzzles_and_plain_values_of_allowances(spark):
     got = {(r.puzzle, r.id): r.fields for r in rows}
     none = dict.fromkeys("abcd")
     assert got == {("p-1", None): none | {"a": "3", "d": "5"}, ("p-2", None): none, (None, None): none | {"b": "4.50", "c": '[1, "x"]'}}
-
-
-def test_p8_sees_the_layout_of_long_lines():
-    quality = pytest.importorskip("cluemill.llm.quality")
-    lines = ['<div data-x="' + "a b " * 80 + '">', ". # " * 80, "lemon" * 50 + " = river", "- " + "lemon and " * 30]
-    zeros = dict.fromkeys("common words runs cells tabs gaps ends_stop pairs plausible broken visible".split(), np.zeros(4, int))
-    got = quality._observations(lines, np.array([4]), zeros | {"repeats": np.zeros(4, bool)})
-    rest = got - np.log(quality.P_LAYOUT).T[[6, 5, 2, 0]]
-    assert np.allclose(rest, rest[0])
-
-
-def test_p6_encodes_in_chunks_of_bounded_size(spark, data):
-    tokens = pytest.importorskip("cluemill.llm.tokens")
-    with open(tokens.tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as file:
-        encoder = tokens.Encoder(file.read())
-    seen, find = [], encoder.find
-    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").where("text <> ''").collect()]
-    texts += ["it's " * 20_000, "qzx" * 30_000, "a " + "1" * 9_000 + "'ll  \n x" * 50, " " * 5_000 + "x"]
-    whole = [list(encoder.ids(text)) for text in texts]
-    encoder.find = lambda text: seen.append(len(text)) or find(text)
-    for chunk in (7, tokens.CHUNK):
-        for text, ids in zip(texts if chunk > 7 else [x[:3_000] for x in texts[::40]], whole if chunk > 7 else [list(encoder.ids(x[:3_000])) for x in texts[::40]]):
-            assert [i for own in tokens.stream_ids(encoder, text, chunk) for i in own] == ids
-    seen.clear()
-    list(tokens.stream_ids(encoder, "it's fun " * 50_000))
-    assert max(seen) < tokens.CHUNK + encoder.window + 1_000
