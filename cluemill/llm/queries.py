@@ -1,13 +1,30 @@
-"""Queries of the corpus problems 5 to 8."""
+"""Queries of the corpus problems 4 to 8."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cluemill.llm import counting, looks, packing, quality, tokens
+from cluemill.llm import counting, frequency, looks, packing, quality, tokens
+from cluemill.operators.snapshots import latest_rows
 from cluemill.session import table
 
+RARE_BELOW = 3
+COMMON_PERCENT = 3
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the newest row of each annotated entry, with their frequencies and marks."""
+    rows = table(spark, sf_dir, "clue_entry").select("puzzle_id", "entry_id", "loaded_at", "clue_id", "clue_type", "indicators")
+    annotated = latest_rows(rows, ["puzzle_id", "entry_id"], ["loaded_at", "clue_id"]).where(F.col("clue_type").isNotNull())
+    counts = frequency.term_counts(annotated, {"indicators": F.col("indicators"), "clue_type": F.split("clue_type", r"\+")})
+    return frequency.mark_terms(counts, RARE_BELOW, COMMON_PERCENT)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array_compact(F.array(F.when(F.col("is_rare"), F.lit("rare")), F.when(F.col("is_common"), F.lit("common"))))
+    return p4_terms(spark, sf_dir).select("field_name", "term", F.explode(marks).alias("mark"))
+
 
 def _clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "clue_entry").select("clue_id", "clue").unionByName(table(spark, sf_dir, "authored_clue").select("clue_id", "clue"))
@@ -82,13 +99,22 @@ def _look_sql(clue: str) -> str:
     return f"nfc_normalize(trim(regexp_replace({out}, '[{spaces}]+', ' ', 'g'), ' '))"
 
 
+_TERMS = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id, entry_id ORDER BY loaded_at DESC, clue_id DESC) AS k FROM clue_entry) WHERE k = 1 AND clue_type IS NOT NULL),
+x AS (SELECT clue_id, 'indicators' AS field_name, unnest(indicators) AS raw FROM e UNION ALL SELECT clue_id, 'clue_type', unnest(string_split(clue_type, '+')) FROM e),
+y AS (SELECT clue_id, field_name, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS term FROM x),
+c AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT clue_id) AS records, (SELECT count(*) FROM e) AS all_records FROM y WHERE term <> '' GROUP BY 1, 2),
+m AS (SELECT *, records < 3 AS is_rare, records * 100 > all_records * 3 AS is_common FROM c)"""
 #: Tokenizers, packing and the line model are not expressible in SQL.
 SQL = {
+    "p4_found": f"WITH {_TERMS} SELECT field_name, term, 'rare' AS mark FROM m WHERE is_rare UNION ALL SELECT field_name, term, 'common' FROM m WHERE is_common",
+    "p4_terms": f"WITH {_TERMS} SELECT * FROM m",
     "p5_found": f"""WITH c AS (SELECT clue_id, clue FROM clue_entry WHERE clue IS NOT NULL UNION ALL SELECT clue_id, clue FROM authored_clue WHERE clue IS NOT NULL),
 l AS (SELECT clue_id, clue, {_look_sql('clue')} AS look FROM c), f AS (SELECT look, min(clue_id) AS clue_id_a, arg_min(clue, clue_id) AS first FROM l WHERE look <> '' GROUP BY 1)
 SELECT clue_id_a, clue_id AS clue_id_b FROM l JOIN f USING (look) WHERE clue <> first""",
 }
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_ids": p6_ids,
