@@ -172,6 +172,7 @@ class StreamEncoder:
 
     #: What continues a long piece of each kind.
     KINDS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+"))
+    SPACE = regex.compile(r"\s+")
 
     def feed(self, chunk: str) -> list[int]:
         out: list[int] = []
@@ -197,9 +198,14 @@ class StreamEncoder:
                 return out
             out += self.encoder.pieces[match.group()]
             self.held = self.held[match.end() - match.start() :]
+        if len(self.held) <= self.encoder.window:
+            return out
+        if self.SPACE.fullmatch(self.held):
+            self.open, self.inside = b"", self.SPACE
+            return out + self._continue()
         kind = next((k for k in self.KINDS if k.match(self.held.lstrip(" ")[:1])), None)
-        if kind is None or len(self.held) <= self.encoder.window:
-            return out  # white space stays whole: its last character belongs to what follows
+        if kind is None:
+            return out
         lead = len(self.held) - len(self.held.lstrip(" "))
         self.open, self.inside, self.held = self.held[:lead].encode(), kind, self.held[lead:]
         return out + self._continue()
@@ -207,8 +213,10 @@ class StreamEncoder:
     def _continue(self) -> list[int]:
         match = self.inside.match(self.held)
         taken = match.end() if match else 0
-        self.open += self.held[:taken].encode()
         ended = taken < len(self.held)
+        if self.inside is self.SPACE:
+            taken = max(taken - 1, 0)  # the last white space may belong to what follows
+        self.open += self.held[:taken].encode()
         self.held = self.held[taken:]
         return self._stable(ended)
 
@@ -229,7 +237,10 @@ class StreamEncoder:
 
     def finish(self) -> list[int]:
         out = []
-        if self.inside is not None:
+        if self.inside is self.SPACE:
+            self.open, self.held = self.open + self.held.encode(), ""
+            out += self._stable(True)
+        elif self.inside is not None:
             out += self._continue() + self._stable(True)
         out += list(self.encoder.ids(self.held))
         self.held, self.inside = "", None

@@ -73,6 +73,22 @@ def test_memory_is_bounded(encoder):
     assert most < encoder.window + 1000
 
 
+def test_long_white_space(encoder, library):
+    for run in (" " * 4_000, "\n \t" * 1_500, " " * 3_999 + "\n"):
+        for text in (run, run + "x", "a" + run + "'ll b" + run, run + "1 " + run + "\n\n"):
+            for size in (1_000, 3_900, 5_000):
+                assert streamed(encoder, text, iter(lambda: size, None)) == library(text)
+
+
+def test_memory_does_not_grow_with_the_text(encoder):
+    stream, most = tokens.StreamEncoder(encoder), 0
+    for part in ("it's a clue, and " * 900, " " * 15_000, "\n\t " * 5_000, "qzx" * 5_000, "-=" * 8_000, "7" * 15_000, "é漢" * 4_000) * 25:
+        for at in range(0, len(part), 1_000):
+            stream.feed(part[at : at + 1_000])
+            most = max(most, len(stream.held) + len(stream.open))
+    assert most < 2 * encoder.window
+
+
 def test_decoder_is_the_way_back(encoder, odd):
     table = [b""] * (max(encoder.ranks.values()) + 1)
     for token, rank in encoder.ranks.items():
