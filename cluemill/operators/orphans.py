@@ -4,9 +4,9 @@ A reference is a row (table_name, row_key, field_name, ref_value, target, ref_ke
 of target by ref_key at the time at. A target row is (target, ref_key, loaded_at, removed_at); a target row whose
 loaded_at is null was always there, one whose removed_at is null is there for good.
 
-``direct_orphans`` is the first step of the cascade: each reference that did not lead to a record at its time, with
-the reason. ``cascade`` then goes down the foreign-key graph to the fixpoint: rows that refer to a record that has an
-orphaned row are inherited orphans of the next depth, until a step finds none.
+``cascade`` goes down the foreign-key graph to the fixpoint. Its step 0, ``direct_orphans``, finds each reference that
+did not lead to a record at its time, with the reason. Every further step takes the references to records that have a
+row orphaned in the step before: their rows are inherited orphans of the next depth, until a step finds none.
 
 Defined results: a null or blank ref_key is no reference, and a target row without a key is no target. A reference without a time can be missing only. A null
 loaded_at of the target counts as always there.
@@ -17,10 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cluemill.session import ensure_checkpoint_dir, materialize
-
-#: Into how many parts each key's references are split for the lookup; the target side has one row per key and part.
-SALTS = 8
+from cluemill.operators.skew import all_salts, heavy_keys, salt
+from cluemill.session import materialize
 
 REFERENCE_COLUMNS = ["table_name", "row_key", "field_name", "ref_value", "target", "ref_key", "at"]
 
@@ -37,17 +35,19 @@ def presence(targets: DataFrame) -> DataFrame:
     )
 
 
-def direct_orphans(references: DataFrame, targets: DataFrame, salts: int = SALTS) -> DataFrame:
+def direct_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
     """References that led nowhere at their time, with reason missing, late or deleted.
 
-    The lookup joins on (target, key, salt): references of one key spread over salts parts, and each record stands
-    once per part, so a key with a third of all rows is no single task. Only references made after the first and
+    The lookup joins on (target, key, salt): the references of a key that holds a large share of them are spread over
+    parts, and its record stands once per part; other keys have one part. Only references made after the first and
     before the last stay of their record meet the single stays, in an anti join.
     """
-    split = F.pmod(F.xxhash64("row_key", "ref_value"), F.lit(salts)).cast("int")
-    refs = references.where(F.col("ref_key").isNotNull()).withColumn("salt", split)
-    there = presence(targets).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    looked = refs.join(there, ["target", "ref_key", "salt"], "left")
+    key = ["target", "ref_key"]
+    refs = references.where(F.col("ref_key").isNotNull())
+    heavy = heavy_keys(refs, *key)
+    refs = refs.withColumn("salt", salt(heavy, key, ["row_key", "ref_value"]))
+    there = presence(targets).withColumn("salt", F.explode(all_salts(heavy, key)))
+    looked = refs.join(there, [*key, "salt"], "left")
     reason = (
         F.when(F.col("first_there").isNull(), "missing")
         .when(F.col("first_there") > F.col("at"), "late")
@@ -56,39 +56,44 @@ def direct_orphans(references: DataFrame, targets: DataFrame, salts: int = SALTS
     )
     suspects = looked.select(*REFERENCE_COLUMNS, "salt", reason.alias("reason")).where(F.col("reason").isNotNull())
     stays = targets.where(F.col("removed_at").isNotNull()).select(
-        F.col("target").alias("_t"), F.col("ref_key").alias("_k"),
-        F.coalesce("loaded_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("_from"), F.col("removed_at").alias("_to"),
-    ).where(F.col("_from") < F.col("_to")).distinct().withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        *key, F.coalesce("loaded_at", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).alias("_from"), F.col("removed_at").alias("_to"),
+    ).where(F.col("_from") < F.col("_to")).distinct().withColumn("_s", F.explode(all_salts(heavy, key))).withColumnsRenamed({"target": "_t", "ref_key": "_k"})
     alive = (F.col("target") == F.col("_t")) & (F.col("ref_key") == F.col("_k")) & (F.col("salt") == F.col("_s")) & (F.col("reason") == "deleted") & (F.col("_from") <= F.col("at")) & (F.col("_to") > F.col("at"))
     return suspects.join(stays, alive, "left_anti").select(*REFERENCE_COLUMNS, "reason")
 
 
 def cascade(references: DataFrame, targets: DataFrame, rows: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(table_name, row_key, depth): 0 for rows with a direct orphan reference, n for orphans inherited in step n.
+    """REFERENCE_COLUMNS, reason and depth of every orphan reference: of depth 0 for direct ones, of depth n and reason
+    inherited for those of rows first orphaned in step n, to the records orphaned in the step before.
 
     rows: (table_name, row_key, target, own_key) of the rows that are themselves records others refer to. A row's
-    reference to its own key passes nothing on. Each step is a semi-join of the references with the distinct keys that
-    the step before orphaned, less the rows found already; its result is checkpointed, so the plan stays short. It
-    ends when a step finds nothing; every row is found once, so it ends. max_depth stops earlier.
+    reference to its own key passes nothing on. Only references to such records can pass anything on; they are written
+    once. Each step is a semi-join of them with the distinct keys that the step before orphaned, less the rows found
+    before; the steps' results are written apart and put together once. It ends when a step finds nothing; every row
+    is found in one step, so it ends. max_depth stops earlier.
     """
-    spark = references.sparkSession
-    ensure_checkpoint_dir(spark)
-    links = references.where(F.col("ref_key").isNotNull()).select("table_name", "row_key", "target", "ref_key").distinct()
-    own = rows.select("table_name", "row_key", F.col("target").alias("own_target"), "own_key")
-    passing = materialize(links.join(own, ["table_name", "row_key"], "left").where(
-        F.col("own_key").isNull() | (F.col("own_key") != F.col("ref_key")) | (F.col("own_target") != F.col("target"))
-    ).select("table_name", "row_key", "target", "ref_key"))
-    found = direct_orphans(references, targets).select("table_name", "row_key").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier, depth = found, 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        keys = frontier.join(rows, ["table_name", "row_key"]).select("target", F.col("own_key").alias("ref_key")).distinct()
-        frontier = (
-            passing.join(keys, ["target", "ref_key"], "left_semi").select("table_name", "row_key").distinct()
-            .join(found, ["table_name", "row_key"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        )
-        found = found.unionByName(frontier).checkpoint()
-    return found
+    row, key = ["table_name", "row_key"], ["target", "ref_key"]
+    columns = [*REFERENCE_COLUMNS, "reason", "depth"]
+    own = rows.select(*row, F.col("target").alias("own_target"), "own_key")
+    records = rows.select("target", F.col("own_key").alias("ref_key")).distinct()
+    steps = [materialize(direct_orphans(references, targets).withColumn("depth", F.lit(0)).select(*columns))]
+    if max_depth == 0:
+        return steps[0]
+    passing = references.where(F.col("ref_key").isNotNull()).join(own, row).where((F.col("own_key").isNull()) | (F.col("own_key") != F.col("ref_key")) | (F.col("own_target") != F.col("target")))
+    passing = materialize(passing.select(*REFERENCE_COLUMNS).join(records, key, "left_semi").select(*REFERENCE_COLUMNS))
+    heavy = heavy_keys(passing, *key)
+    links = passing.withColumn("salt", salt(heavy, key, row))
+    while (max_depth is None or len(steps) <= max_depth) and not steps[-1].isEmpty():
+        found = steps[0].select(*row)
+        for step in steps[1:]:
+            found = found.unionByName(step.select(*row))
+        keys = steps[-1].select(*row).distinct().join(rows, row).select("target", F.col("own_key").alias("ref_key")).distinct().withColumn("salt", F.explode(all_salts(heavy, key)))
+        new = links.join(keys, [*key, "salt"], "left_semi").join(found.distinct(), row, "left_anti")
+        steps.append(materialize(new.withColumn("reason", F.lit("inherited")).withColumn("depth", F.lit(len(steps))).select(*columns)))
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out
 
 
 def month(at: Column) -> Column:

@@ -96,21 +96,22 @@ def _entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "clue_entry").select(F.lit("clue_entry").alias("table_name"), F.col("clue_id").alias("row_key"), F.lit("entry").alias("target"), _entry_key().alias("own_key"))
 
 
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.cascade(_references(spark, sf_dir), _targets(spark, sf_dir), _entry_rows(spark, sf_dir)).withColumn("period", orphans.month(F.col("at")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = orphans.direct_orphans(_references(spark, sf_dir), _targets(spark, sf_dir))
-    return found.select("table_name", "row_key", "field_name", "ref_value", "reason", orphans.month(F.col("at")).alias("period"))
+    return _cascade(spark, sf_dir).where("depth = 0").select("table_name", "row_key", "field_name", "ref_value", "reason", "period")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_found(spark, sf_dir).groupBy("table_name", "period", "reason").agg(F.count(F.lit(1)).alias("n_references"), F.count_distinct("row_key").alias("n_rows"))
+    """Orphan references and their rows per table, month and reason; those with reason inherited are not direct."""
+    return _cascade(spark, sf_dir).groupBy("table_name", "period", "reason").agg(F.count(F.lit(1)).alias("n_references"), F.count_distinct("row_key").alias("n_rows"))
 
 
 def p2_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by table, month and depth: direct orphans and those that inherit from them."""
-    references, targets, rows = _references(spark, sf_dir), _targets(spark, sf_dir), _entry_rows(spark, sf_dir)
-    times = references.groupBy("table_name", "row_key").agg(F.max("at").alias("at"))
-    found = orphans.cascade(references, targets, rows).join(times, ["table_name", "row_key"])
-    return found.groupBy("table_name", orphans.month(F.col("at")).alias("period"), "depth").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("inherited", F.col("depth") > 0)
+    return _cascade(spark, sf_dir).groupBy("table_name", "period", "depth").agg(F.count_distinct("row_key").alias("n_rows")).withColumn("inherited", F.col("depth") > 0)
 
 
 def _cells(spark: SparkSession, sf_dir: str, values: bool = False) -> DataFrame:
@@ -160,6 +161,14 @@ UNION ALL SELECT 'play_save', save_id, 'puzzle_id', puzzle_id, 'puzzle', {_KEY('
 j AS (SELECT table_name, row_key, field_name, ref_value, made, count(t.k) AS n, count(*) FILTER (t.a <= r.made) AS came, count(*) FILTER (t.a <= r.made AND (t.b IS NULL OR t.b > r.made)) AS alive
 FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 p2 AS (SELECT table_name, row_key, field_name, ref_value, CASE WHEN n = 0 THEN 'missing' WHEN came = 0 THEN 'late' ELSE 'deleted' END AS reason, strftime(made, '%Y-%m') AS period FROM j WHERE alive = 0)"""
+#: Rows found at each depth: the shortest way from a direct orphan; ways are cut at 40 steps, longer than any chain of entries in a puzzle's groups.
+_INHERITED = f"""own AS (SELECT clue_id, {_KEY('puzzle_id')} || chr(1) || {_KEY('entry_id')} AS own_key FROM clue_entry),
+links AS (SELECT r.*, strftime(made, '%Y-%m') AS period FROM r JOIN own ON own.clue_id = r.row_key WHERE r.table_name = 'clue_entry' AND target = 'entry' AND k IS NOT NULL AND own_key IS DISTINCT FROM k),
+way(row_key, depth) AS (SELECT DISTINCT row_key, 0 FROM p2 WHERE table_name = 'clue_entry' UNION SELECT links.row_key, depth + 1 FROM way JOIN own ON own.clue_id = way.row_key JOIN links ON links.k = own.own_key WHERE depth < 40),
+least AS (SELECT row_key, min(depth) AS depth FROM way GROUP BY 1),
+o AS (SELECT table_name, row_key, field_name, ref_value, reason, period, 0 AS depth FROM p2
+UNION ALL SELECT links.table_name, links.row_key, field_name, ref_value, 'inherited', period, least.depth FROM links JOIN least USING (row_key)
+WHERE least.depth > 0 AND EXISTS (SELECT 1 FROM own JOIN least b ON b.row_key = own.clue_id WHERE own.own_key = links.k AND b.depth = least.depth - 1))"""
 _NOTE = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END".format
 _ITEMS = " UNION ALL ".join(
     f"""SELECT raw_id, entry_id, '{f[:-1]}' AS node_kind, i - 1 AS item_no FROM (SELECT raw_id, entry_id, unnest(CAST(n -> '$.{f}' AS JSON[])) AS x, unnest(range(1, CAST(json_array_length(n, '$.{f}') AS BIGINT) + 1)) AS i FROM g WHERE json_type(n, '$.{f}') = 'ARRAY') WHERE json_type(x) <> 'NULL'
@@ -210,5 +219,6 @@ SQL = {
     "p3_found": f"WITH {_CHANGES}",
     "p1_found": f"WITH {_NODES}",
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",
-    "p2_report": f"WITH {_REFERENCES} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM p2 GROUP BY 1, 2, 3",
+    "p2_report": f"WITH RECURSIVE {_REFERENCES}, {_INHERITED} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM o GROUP BY 1, 2, 3",
+    "p2_cascade": f"WITH RECURSIVE {_REFERENCES}, {_INHERITED} SELECT table_name, period, depth, count(DISTINCT row_key) AS n_rows, depth > 0 AS inherited FROM o GROUP BY 1, 2, 3",
 }

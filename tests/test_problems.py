@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from cluemill.operators import drift, nested, orphans, snapshots
+from cluemill.operators import drift, nested, orphans, skew, snapshots
 from cluemill.plans import problems
 
 
@@ -105,16 +105,28 @@ def test_p2_reasons(spark):
 
 def test_p2_null_keys_and_hot_key(spark):
     refs = spark.createDataFrame([("t", n, "f", None if n % 3 else "hot", "p", None if n % 3 else "hot", T) for n in range(300)], REFS)
+    assert len(skew.heavy_keys(refs.where("ref_key is not null"), "target", "ref_key")) == 1
     got = orphans.direct_orphans(refs, spark.createDataFrame([("p", "other", T, None)], TARGETS))
     assert got.count() == 100
+    assert orphans.direct_orphans(refs, spark.createDataFrame([("p", "hot", T, None), ("p", "hot", T - DAY, None)], TARGETS)).count() == 0
+    assert orphans.direct_orphans(refs, spark.createDataFrame([("p", "hot", T - DAY, T)], TARGETS)).where("reason = 'deleted'").count() == 100
+    assert skew.heavy_keys(refs.limit(0), "target", "ref_key") == []
 
 
 def test_p2_cascade_goes_to_the_fixpoint(spark):
     refs = spark.createDataFrame([("e", n, "link", f"k{n - 1}", "entry", f"k{n - 1}", T) for n in range(6)] + [("e", 5, "self", "k5", "entry", "k5", T), ("e", 9, "link", "k9", "entry", "k9", T)], REFS)
     own = spark.createDataFrame([("e", n, "entry", f"k{n}") for n in (*range(6), 9)], "table_name string, row_key bigint, target string, own_key string")
     targets = spark.createDataFrame([("entry", f"k{n}", T, None) for n in (*range(6), 9)], TARGETS)
-    got = {(r.row_key, r.depth) for r in orphans.cascade(refs, targets, own).collect()}
-    assert got == {(n, n) for n in range(6)}
+    got = {(r.row_key, r.depth, r.reason) for r in orphans.cascade(refs, targets, own).collect()}
+    assert got == {(n, n, "inherited" if n else "missing") for n in range(6)}
+    assert {r.row_key for r in orphans.cascade(refs, targets, own, 2).collect()} == {0, 1, 2}
+
+
+def test_p2_cascade_ends_in_a_circle(spark):
+    refs = spark.createDataFrame([("e", 0, "link", "gone", "entry", "gone", T), *[("e", n, "link", f"k{(n + 1) % 3}", "entry", f"k{(n + 1) % 3}", T) for n in range(3)]], REFS)
+    own = spark.createDataFrame([("e", n, "entry", f"k{n}") for n in range(3)], "table_name string, row_key bigint, target string, own_key string")
+    got = {(r.row_key, r.depth) for r in orphans.cascade(refs, spark.createDataFrame([("entry", f"k{n}", T, None) for n in range(3)], TARGETS), own).collect()}
+    assert got == {(0, 0), (2, 1), (1, 2)}
 
 
 def line(n, annotation, **fields):
