@@ -16,15 +16,35 @@ PUZZLE_MODEL = nested.DocumentModel(
     records=frozenset({"entries", "annotation"}),
     keys={"entries": ("id", "@key", "{number}-{direction}")},
     references={"annotations": "entries"},
+    wrappers=frozenset({"puzzle"}),
     markers=("/*JSON-START*/", "/*JSON-END*/"),
 )
 NODE_KINDS = {"entries": "entry", "annotation": "annotation", "blocks": "block", "pieces": "piece"}
 
 
+#: Columns that the tables have in any case, whatever the documents at hand hold; others come from the element graph.
+DECLARED = {
+    "document": {"id": "string", "number": "string", "series": "string", "name": "string", "setter": "string", "date": "bigint", "dimensions.rows": "bigint", "dimensions.cols": "bigint", "sourceUrl": "string", "v": "bigint"} | {
+        f"solutionSource.{c}": "string" for c in ("check", "date", "kind", "model")
+    },
+    "entries": {"id": "string", "number": "bigint", "direction": "string", "position.x": "bigint", "position.y": "bigint", "length": "bigint", "clue": "string", "solution": "string"},
+    "annotation": dict.fromkeys(("type", "answer", "definition", "walkthrough", "definitionFit", "definitionNote", "linkedTo", "anagram.fodder"), "string"),
+    "blocks": dict.fromkeys(("clueFragment", "gives", "note", "soundsLike"), "string"),
+    "pieces": dict.fromkeys(("value", "text", "from"), "string"),
+    "group": {"value": "string"}, "separatorLocations": {"value": "string"}, "clueItalics": {"value": "string"},
+    "indicators": {"value": "string"}, "linkWords": {"value": "string"}, "indicatorNotes": {"value": "string"},
+    "subAnagrams": {"fodder": "string", "gives": "string"}, "subReversals": {"from": "string", "to": "string"},
+}
+#: Tables of the documents, by the query that gives each.
+TABLES = {
+    "p1_documents": "document", "p1_entries": "entries", "p1_annotations": "annotation", "p1_blocks": "blocks", "p1_pieces": "pieces", "p1_groups": "group", "p1_separators": "separatorLocations",
+    "p1_italics": "clueItalics", "p1_indicators": "indicators", "p1_link_words": "linkWords", "p1_indicator_notes": "indicatorNotes", "p1_sub_anagrams": "subAnagrams", "p1_sub_reversals": "subReversals",
+}
+
+
 def _puzzle_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, nested.InlinePlan]:
     docs = table(spark, sf_dir, "puzzle_file")
-    graph = nested.schema_graph(docs, "body", PUZZLE_MODEL).collect()  # bounded by the element names
-    return docs, nested.inline_plan([(r.parent, r.child, r.repeated) for r in graph], PUZZLE_MODEL, NODE_KINDS)
+    return docs, nested.inline_plan(nested.element_graph(docs, "body", PUZZLE_MODEL), PUZZLE_MODEL, DECLARED)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,19 +59,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _flat(element: str, columns: tuple[str, ...]):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs, plan = _puzzle_plan(spark, sf_dir)
-        rows = nested.shred(docs, "raw_id", "body", PUZZLE_MODEL, plan, [element])
-        return nested.flat_table(rows, "raw_id", element, columns, ["entries"])
+def puzzle_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every table of the plan by its element, those of elements not declared included."""
+    docs, plan = _puzzle_plan(spark, sf_dir)
+    return {element: _flat(docs, plan, element) for element in sorted(plan.tables)}
 
-    return query
 
+def _flat(docs: DataFrame, plan: nested.InlinePlan, element: str) -> DataFrame:
+    rows = nested.shred(docs, "raw_id", "body", PUZZLE_MODEL, plan, [element]).where((F.col("element") != "annotation") | F.col("has_fields"))
+    keys = [] if element == nested.ROOT else ["entries"]
+    return nested.flat_table(rows, "raw_id", element, plan.columns[element] | DECLARED.get(element, {}), keys)
 
-p1_entries = _flat("entries", ("number", "direction", "position.x", "position.y", "length", "clue", "solution"))
-p1_annotations = _flat("annotation", ("type", "answer", "definition", "walkthrough", "definitionFit", "definitionNote", "linkedTo", "anagram.fodder"))
-p1_blocks = _flat("blocks", ("clueFragment", "gives", "note", "soundsLike"))
-p1_pieces = _flat("pieces", ("value", "text", "from"))
+
+def _table_query(element: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _flat(*_puzzle_plan(spark, sf_dir), element)
+
+    return query
 
 
 def p1_schema_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +160,7 @@ def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
-    "p1_entries": p1_entries,
-    "p1_annotations": p1_annotations,
-    "p1_blocks": p1_blocks,
-    "p1_pieces": p1_pieces,
+    **{name: _table_query(element) for name, element in TABLES.items()},
     "p1_schema_graph": p1_schema_graph,
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -170,22 +191,43 @@ o AS (SELECT table_name, row_key, field_name, ref_value, reason, period, 0 AS de
 UNION ALL SELECT links.table_name, links.row_key, field_name, ref_value, 'inherited', period, least.depth FROM links JOIN least USING (row_key)
 WHERE least.depth > 0 AND EXISTS (SELECT 1 FROM own JOIN least b ON b.row_key = own.clue_id WHERE own.own_key = links.k AND b.depth = least.depth - 1))"""
 _NOTE = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END".format
-_ITEMS = " UNION ALL ".join(
-    f"""SELECT raw_id, entry_id, '{f[:-1]}' AS node_kind, i - 1 AS item_no FROM (SELECT raw_id, entry_id, unnest(CAST(n -> '$.{f}' AS JSON[])) AS x, unnest(range(1, CAST(json_array_length(n, '$.{f}') AS BIGINT) + 1)) AS i FROM g WHERE json_type(n, '$.{f}') = 'ARRAY') WHERE json_type(x) <> 'NULL'
-UNION ALL SELECT raw_id, entry_id, '{f[:-1]}', 0 FROM g WHERE json_type(n, '$.{f}') NOT IN ('ARRAY', 'NULL')"""
-    for f in ("blocks", "pieces")
-)
-_NODES = f"""b AS (SELECT raw_id, ltrim(CASE WHEN contains(body, '/*JSON-START*/') THEN regexp_extract(body, '(?s)/\\*JSON-START\\*/(.*)/\\*JSON-END\\*/', 1) ELSE body END, chr(65279)) AS t FROM puzzle_file),
+_NODES = rf"""b AS (SELECT raw_id, ltrim(CASE WHEN contains(body, '/*JSON-START*/') THEN regexp_extract(body, '(?s)/\*JSON-START\*/(.*)/\*JSON-END\*/', 1) ELSE body END, chr(65279)) AS t FROM puzzle_file),
 d AS MATERIALIZED (SELECT raw_id, CAST(t AS JSON) AS j FROM b WHERE json_valid(t)),
-p AS (SELECT raw_id, CASE WHEN json_type(j, '$.puzzle') = 'OBJECT' THEN j -> '$.puzzle' ELSE j END AS p, j FROM d WHERE json_type(j) = 'OBJECT'),
-o AS (SELECT raw_id, p -> '$.entries' AS es, unnest(json_keys(p, '$.entries')) AS k FROM p WHERE json_type(p, '$.entries') = 'OBJECT'),
-e AS (SELECT raw_id, CAST(NULL AS VARCHAR) AS k, unnest(CAST(p -> '$.entries' AS JSON[])) AS e FROM p WHERE json_type(p, '$.entries') = 'ARRAY' UNION ALL SELECT raw_id, k, json_extract(es, '$."' || k || '"') FROM o),
-s AS (SELECT raw_id, coalesce(nullif(e ->> '$.id', ''), k, concat(e ->> '$.number', '-', e ->> '$.direction')) AS entry_id, e -> '$.annotation' AS a FROM e WHERE json_type(e) = 'OBJECT'),
-h AS (SELECT raw_id, j -> '$.annotations' AS m FROM p UNION SELECT raw_id, p -> '$.annotations' FROM p),
-q AS (SELECT raw_id, m, unnest(json_keys(m)) AS k FROM h WHERE json_type(m) = 'OBJECT'),
-a AS (SELECT raw_id, entry_id, {_NOTE('a')} AS n FROM s UNION ALL SELECT raw_id, k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q),
-g AS MATERIALIZED (SELECT * FROM a WHERE json_type(n) = 'OBJECT' AND len(json_keys(n)) > 0)
-SELECT DISTINCT raw_id, entry_id, node_kind, CAST(item_no AS INTEGER) AS item_no FROM (SELECT raw_id, entry_id, 'entry' AS node_kind, 0 AS item_no FROM s UNION ALL SELECT raw_id, entry_id, 'annotation', 0 FROM g UNION ALL {_ITEMS})"""
+p AS (SELECT raw_id, coalesce(json_type(j, '$.puzzle') = 'OBJECT', false) AS w, CASE WHEN json_type(j, '$.puzzle') = 'OBJECT' THEN j -> '$.puzzle' ELSE j END AS p, j FROM d WHERE json_type(j) = 'OBJECT'),
+o AS (SELECT raw_id, w, p -> '$.entries' AS es, unnest(json_keys(p, '$.entries')) AS k FROM p WHERE json_type(p, '$.entries') = 'OBJECT'),
+e AS (SELECT raw_id, w, CAST(NULL AS VARCHAR) AS k, unnest(CAST(p -> '$.entries' AS JSON[])) AS e, unnest(range(CAST(json_array_length(p, '$.entries') AS BIGINT))) AS i FROM p WHERE json_type(p, '$.entries') = 'ARRAY'
+UNION ALL SELECT raw_id, w, k, json_extract(es, '$."' || k || '"'), 0 FROM o),
+s AS MATERIALIZED (SELECT raw_id, coalesce(nullif(e ->> '$.id', ''), k, concat(e ->> '$.number', '-', e ->> '$.direction')) AS entry_id, concat('/entries[', coalesce(k, CAST(i AS VARCHAR)), ']') AS node_id, i, k, e, e -> '$.annotation' AS a FROM e WHERE json_type(e) = 'OBJECT'),
+h AS (SELECT raw_id, '/annotations[' AS prefix, j -> '$.annotations' AS m FROM p UNION ALL SELECT raw_id, '/annotations[', p -> '$.annotations' FROM p WHERE w),
+q AS (SELECT raw_id, prefix, m, unnest(json_keys(m)) AS k FROM h WHERE json_type(m) = 'OBJECT'),
+a AS (SELECT raw_id, entry_id, node_id || '/annotation[0]' AS node_id, 'entries' AS parent_element, node_id AS parent_id, CAST(NULL AS VARCHAR) AS item_key, {_NOTE('a')} AS n FROM s
+UNION ALL SELECT raw_id, k, prefix || k || ']', 'document', '', k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q WHERE EXISTS (SELECT 1 FROM s WHERE s.raw_id = q.raw_id AND s.entry_id = k)),
+g AS MATERIALIZED (SELECT * FROM a WHERE json_type(n) = 'OBJECT' AND len(json_keys(n)) > 0),
+items AS (SELECT raw_id, entry_id, 'entries' AS parent_element, node_id AS parent_id, f, e -> ('$.' || f) AS v FROM s, (VALUES ('group'), ('separatorLocations'), ('clueItalics')) t(f)
+UNION ALL SELECT raw_id, entry_id, 'annotation', node_id, f, n -> ('$.' || f) FROM g, (VALUES ('blocks'), ('pieces'), ('indicators'), ('linkWords'), ('indicatorNotes'), ('subAnagrams'), ('subReversals')) t(f)),
+mapped AS (SELECT *, unnest(json_keys(v)) AS k, unnest(range(CAST(len(json_keys(v)) AS BIGINT))) AS i FROM items WHERE json_type(v) = 'OBJECT' AND f IN ('separatorLocations', 'indicatorNotes')),
+listed AS (SELECT *, unnest(CAST(v AS JSON[])) AS x, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM items WHERE json_type(v) = 'ARRAY'),
+every AS (SELECT raw_id, entry_id, parent_element, parent_id, f, x, CAST(NULL AS VARCHAR) AS item_key, i FROM listed
+UNION ALL SELECT raw_id, entry_id, parent_element, parent_id, f, v, NULL, 0 FROM items WHERE json_type(v) <> 'ARRAY' AND NOT (json_type(v) = 'OBJECT' AND f IN ('separatorLocations', 'indicatorNotes'))
+UNION ALL SELECT raw_id, entry_id, parent_element, parent_id, f, json_extract(v, '$.' || chr(34) || k || chr(34)), k, i FROM mapped),
+c AS (SELECT *, concat(parent_id, '/', f, '[', coalesce(item_key, CAST(i AS VARCHAR)), ']') AS node_id FROM every WHERE json_type(x) <> 'NULL')"""
+_FOUND = """SELECT DISTINCT raw_id, entry_id, node_kind, CAST(item_no AS INTEGER) AS item_no FROM (SELECT raw_id, entry_id, 'entry' AS node_kind, 0 AS item_no FROM s
+UNION ALL SELECT raw_id, entry_id, 'annotation', 0 FROM g UNION ALL SELECT raw_id, entry_id, f[:-2], i FROM c WHERE f IN ('blocks', 'pieces'))"""
+
+
+def _table_sql(element: str) -> str:
+    """A table of the documents in SQL, over the nodes of _NODES."""
+    source, item, place = {"document": ("p", "p", "CAST(NULL AS VARCHAR) AS parent_element, CAST(NULL AS VARCHAR) AS parent_id, 0 AS item_no, CAST(NULL AS VARCHAR) AS item_key, '' AS node_id"),
+                           "entries": ("s", "e", "'document' AS parent_element, '' AS parent_id, CAST(i AS INTEGER) AS item_no, k AS item_key, node_id"),
+                           "annotation": ("g", "n", "parent_element, parent_id, 0 AS item_no, item_key, node_id")}.get(element, ("c", "x", "parent_element, parent_id, CAST(i AS INTEGER) AS item_no, item_key, node_id"))
+    value = "CASE json_type(x) WHEN 'VARCHAR' THEN x ->> '$' WHEN 'OBJECT' THEN NULL ELSE regexp_replace(CAST(x AS VARCHAR), ',', ', ', 'g') END"
+    sql_type = {"string": "VARCHAR"}
+    columns = [f"{value} AS value" if path == "value" else f"CAST({'j' if path == 'v' else item} ->> '$.{path}' AS {sql_type.get(t, t)}) AS \"{path.replace('.', '_')}\"" for path, t in DECLARED[element].items()]
+    key = [] if element == "document" else ["entry_id AS entries_key"]
+    where = f"f = '{element}'" if source == "c" else "true"
+    return f"WITH {_NODES} SELECT raw_id, {', '.join([place, *key, *columns])} FROM {source} WHERE {where}"
+
+
 _AT = "json_extract({0}, '$.' || chr(34) || {1} || chr(34))".format
 _KIND = "CASE json_type({0}) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END".format
 _CHANGES = f"""l AS MATERIALIZED (SELECT feed, file_name, exported_at, CAST(body AS JSON) AS j FROM annotation_feed WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
@@ -217,7 +259,8 @@ UNION SELECT file_name, field, 'removed', '' FROM removed a WHERE NOT EXISTS (SE
 UNION SELECT p.file_name, k.field, 'retyped', '' FROM pairs p JOIN kinds k USING (s, feed, file_name) JOIN kinds o ON o.s = p.s AND o.feed = p.feed AND o.file_name = p.before AND o.field = k.field WHERE k.kinds <> o.kinds"""
 SQL = {
     "p3_found": f"WITH {_CHANGES}",
-    "p1_found": f"WITH {_NODES}",
+    "p1_found": f"WITH {_NODES} {_FOUND}",
+    **{name: _table_sql(element) for name, element in TABLES.items()},
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",
     "p2_report": f"WITH RECURSIVE {_REFERENCES}, {_INHERITED} SELECT table_name, period, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM o GROUP BY 1, 2, 3",
     "p2_cascade": f"WITH RECURSIVE {_REFERENCES}, {_INHERITED} SELECT table_name, period, depth, count(DISTINCT row_key) AS n_rows, depth > 0 AS inherited FROM o GROUP BY 1, 2, 3",

@@ -31,8 +31,9 @@ def p1(rows):
             eid = entry.get("id") or key or f"{entry.get('number', '')}-{entry.get('direction', '')}"
             out.add((raw_id, eid, "entry", 0))
             notes.append((eid, entry.get("annotation")))
+        known = {eid for eid, _ in notes}
         for holder in (doc, puzzle):
-            notes += list((holder.get("annotations") or {}).items())
+            notes += [(eid, note) for eid, note in (holder.get("annotations") or {}).items() if eid in known]
         for eid, note in notes:
             note = json.loads(note) if isinstance(note, str) else note
             if not note:

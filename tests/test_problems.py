@@ -39,8 +39,7 @@ MODEL = problems.PUZZLE_MODEL
 
 def shredded(spark, *bodies, wanted=("entries", "annotation")):
     docs = spark.createDataFrame(list(enumerate(bodies)), "raw_id bigint, body string")
-    graph = nested.schema_graph(docs, "body", MODEL).collect()
-    plan = nested.inline_plan([(r.parent, r.child, r.repeated) for r in graph], MODEL, wanted)
+    plan = nested.inline_plan(nested.element_graph(docs, "body", MODEL), MODEL, wanted)
     return nested.shred(docs, "raw_id", "body", MODEL, plan), plan
 
 
@@ -52,21 +51,26 @@ def test_p1_shapes_and_gaps(spark):
         "x /*JSON-START*/ " + json.dumps({"puzzle": {"entries": {"2-down": {"annotation": json.dumps({"blocks": block})}}}}) + " /*JSON-END*/ y",
         "﻿" + json.dumps({"entries": [{"number": 3, "direction": "down", "annotation": {}}], "annotations": {"3-down": {"type": "x"}}}),
         "/*JSON-START*/ {}",
+        json.dumps({"entries": [], "annotations": {"3-down": {"type": "x", "blocks": [block]}}}), '{"entries": [{"id": "1-across", "length": NaN}]}',
+        json.dumps({"annotations": {"4-down": {"type": "x"}}, "entries": [{"id": "4-down"}]}),
     ]
     got, _ = shredded(spark, *bodies, wanted=("entries", "annotation", "blocks", "pieces"))
     seen = {(r.raw_id, r.element, r["keys"].get("entries"), r.item_no) for r in got.collect() if r.element in problems.NODE_KINDS and (r.element != "annotation" or r.has_fields)}
     assert seen == {
         (7, "entries", "1-across", 1), (7, "annotation", "1-across", 0), (7, "blocks", "1-across", 1), (7, "pieces", "1-across", 0),
         (8, "entries", "2-down", 0), (8, "annotation", "2-down", 0), (8, "blocks", "2-down", 0),
-        (9, "entries", "3-down", 0), (9, "annotation", "3-down", 0),
+        (9, "entries", "3-down", 0), (9, "annotation", "3-down", 0), (13, "entries", "4-down", 0), (13, "annotation", "4-down", 0),
     }
 
 
 def test_p1_inlining_rules():
-    edges = [("document", "a", False), ("a", "b", False), ("document", "c", True), ("c", "s", False), ("a", "s", False), ("c", "r", False), ("r", "r", False)]
+    at = nested.OBJECT
+    edges = [("document", "a", False, at), ("a", "b", False, at), ("document", "c", True, nested.LIST), ("c", "s", False, at), ("a", "s", False, at), ("c", "r", False, at), ("r", "r", False, at)]
+    edges += [("b", "k", False, nested.WHOLE), ("a", "k", False, nested.WHOLE | nested.FLOAT), ("c", "k", False, nested.TEXT | nested.WHOLE), ("r", "k", False, nested.BOOLEAN)]
     plan = nested.inline_plan(edges, nested.DocumentModel(), ["w"])
     assert plan.reasons == {"document": "root", "c": "repeated", "s": "shared", "r": "shared", "w": "wanted"}
-    assert nested.inline_plan([("document", "r", False), ("r", "q", False), ("q", "r", False)], nested.DocumentModel()).reasons["q"] == "recursive"
+    assert plan.columns["document"] == {"a.b.k": "bigint", "a.k": "double"} and plan.columns["c"] == {"k": "string"} and plan.columns["r"] == {"k": "boolean"}
+    assert nested.inline_plan([("document", "r", False, at), ("r", "q", False, at), ("q", "r", False, at)], nested.DocumentModel()).reasons["q"] == "recursive"
 
 
 def test_p1_children_keep_their_parents(spark):
@@ -77,6 +81,21 @@ def test_p1_children_keep_their_parents(spark):
     assert next(r for r in by_id.values() if r.element == "entries").attributes["position.x"] == "1"
 
 
+def test_p1_names_that_are_data_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MAX_EDGES", 20)
+    with pytest.raises(ValueError, match="edges"):
+        shredded(spark, json.dumps({f"k{n}": n for n in range(30)}))
+
+
+def test_p1_every_table_of_the_plan(spark, data):
+    tables = problems.puzzle_tables(spark, data)
+    assert set(problems.DECLARED) <= set(tables)
+    entries = tables["entries"]
+    assert dict(entries.dtypes)["number"] == "bigint" and entries.where("number IS NULL OR clue IS NULL").count() == 0
+    blocks = tables["blocks"].join(tables["annotation"].withColumnRenamed("node_id", "a"), (F.col("a") == tables["blocks"].parent_id) & (tables["annotation"].raw_id == tables["blocks"].raw_id), "left_anti")
+    assert blocks.count() == 0
+
+
 def test_p1_empty_table(spark):
     assert shredded(spark)[0].count() == 0
 
@@ -197,6 +216,6 @@ def test_latest_row_wins_with_ties_and_clashing_names(spark):
     assert got == {(1, "new"), (None, "null")}
 
 
-@pytest.mark.parametrize("name", ["p1_entries", "p1_blocks", "p1_pieces", "p1_annotations", "p2_cascade", "p2_report", "p3_table", "p3_fingerprints"])
+@pytest.mark.parametrize("name", ["p1_schema_graph", "p3_table", "p3_fingerprints"])
 def test_other_queries_run(spark, data, name):
     assert problems.QUERIES[name](spark, data).count() > 0
