@@ -1,17 +1,22 @@
 """Schemas that drift between files (problem 3).
 
-Files come in series (table and feed) and are ordered by their export time. ``line_cells`` and ``allowance_cells``
-break a file's records into cells (file, record, field, kinds, value hashes); everything after that is relational:
+Files come in series (table and feed) and are ordered by their export time. ``records`` parses each body once and gives
+a row per record: its shape (fields with the kinds of their values) and a hash of each value. Everything after that is
+relational:
 
-* ``fingerprints``: the versioned schema of each file, a row per field with the set of its kinds;
+* ``fingerprints``: the versioned schema of each file, a row per field with the set of its kinds, from its few shapes;
 * ``changes``: each file's fingerprint against that of the file before it. Renames are found without comparing fields
   in pairs: the values that the records common to both files hold under a field are folded into two 64-bit
-  exclusive-ors and a count, and a removed and an added field with the same parent and the same fold are one field;
-* ``migrations``: the chained rename rules of each series, from the name in a file to the name it had first;
+  exclusive-ors and a count, and a removed and an added field with the same parent and the same fold are one field.
+  Only files between which one field went and another came are looked at again, and only those fields of theirs;
+* ``field_rules``: for each file and field the name the field had first in its series, through the chained renames, and
+  whether its values become text;
 * ``unified``: every record routed through its file's rules, with all values under first names.
 
-Defined results: torn lines and documents are ignored, and so are rows without feed, file name, export time or body. A null value is no value. A file delivered again adds nothing.
-The first file of a series has no changes. Where a removed field matches several added ones, each match comes out.
+Defined results: torn lines and documents are ignored, and so are rows without feed, file name, export time or body. A
+null value is no value. A file delivered again adds nothing. The first file of a series has no changes. Where a removed
+field matches several added ones, each match comes out. A record that stands in a file with several values of a field
+is compared by the least and the greatest hash of them.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cluemill.session import materialize
@@ -31,7 +36,8 @@ from cluemill.session import materialize
 KINDS = {"string": 1, "number": 2, "boolean": 4, "list": 8, "object": 16}
 COUNT_SHIFT = 5
 FILE = ["series", "feed", "file_name", "exported_at"]
-CELLS_SCHEMA = "series string, feed string, file_name string, exported_at timestamp_ntz, record bigint, field_name string, parent string, kinds int, h1 bigint, h2 bigint, value string"
+RECORDS_SCHEMA = "series string, feed string, file_name string, exported_at timestamp_ntz, record bigint, keys string, shape string, hashes array<bigint>, values array<string>"
+SHAPE = "array<struct<f: string, p: string, k: int>>"
 
 
 def _kind(value: object) -> int:
@@ -68,103 +74,110 @@ def _written(value: object) -> str:
     return _canonical(value)
 
 
-Cell = tuple[str | None, str | None, str | None, int, str | None]
+#: (key, fields) of a record: its key as text, None for what belongs to no record; a field is (name, parent, kinds, value).
+Record = tuple[str | None, list[tuple[str, str, int, object]]]
 
 
-def line_cells(body: str) -> Iterator[Cell]:
-    """(record, field, parent, kinds, value) of one line with id, entry, fields and an annotation."""
+def line_records(body: str) -> Iterator[Record]:
+    """The record of one line with id, entry, fields and an annotation."""
     line = json.loads(body)
     if not isinstance(line, dict):
         return
-    record = json.dumps([line.get("id"), line.get("entry")])
-    yield record, None, None, 0, None
+    fields = [(name, "", _kind(value), value) for name, value in line.items() if value is not None and name not in ("id", "entry", "annotation")]
     annotation = line.get("annotation")
-    for name, value in line.items():
-        if value is not None and name not in ("id", "entry", "annotation"):
-            yield record, name, "", _kind(value), _canonical(value)
-    if not isinstance(annotation, dict):
-        return
-    for name, value in annotation.items():
-        if value is not None and name != "blocks":
-            yield record, f"annotation.{name}", "annotation", _kind(value), _canonical(value)
-    blocks = annotation.get("blocks")
-    blocks = [b for b in (blocks if isinstance(blocks, list) else [blocks]) if isinstance(b, dict)]
-    for name in dict.fromkeys(n for b in blocks for n in b):
-        values = [b.get(name) for b in blocks]
-        kinds = 0
-        for value in values:
-            kinds |= 0 if value is None else _kind(value)
-        if kinds:
-            yield record, f"annotation.blocks.{name}", "annotation.blocks", kinds, _canonical(values)
-
-
-def allowance_cells(body: str) -> Iterator[Cell]:
-    """(puzzle, field, parent, kinds, count) of one allowance; a field's counts stand in an object or in a list of puzzle and count. What is neither is the value of the field without a puzzle."""
+    if isinstance(annotation, dict):
+        fields += [(f"annotation.{name}", "annotation", _kind(value), value) for name, value in annotation.items() if value is not None and name != "blocks"]
+        blocks = annotation.get("blocks")
+        blocks = [b for b in (blocks if isinstance(blocks, list) else [blocks]) if isinstance(b, dict)]
+        for name in dict.fromkeys(n for b in blocks for n in b):
+            values = [b.get(name) for b in blocks]
+            kinds = 0
+            for value in values:
+                kinds |= 0 if value is None else _kind(value)
+            if kinds:
+                fields.append((f"annotation.blocks.{name}", "annotation.blocks", kinds, values))
+    yield json.dumps({"id": line.get("id"), "entry": line.get("entry")}), fields
+
+
+def allowance_records(body: str) -> Iterator[Record]:
+    """The records of one allowance: each puzzle with its counts; a field's counts stand in an object or in a list of
+    puzzle and count. The fields themselves, and values that are neither, belong to no puzzle."""
     document = json.loads(body, parse_int=_Number, parse_float=_Number)
     if not isinstance(document, dict):
         return
-    yield None, None, None, 0, None
+    own: list[tuple[str, str, int, object]] = []
+    puzzles: dict[str, list[tuple[str, str, int, object]]] = {}
     for name, value in document.items():
         if value is None or name.startswith("_"):
             continue
-        plain = None if isinstance(value, dict) or isinstance(value, list) and all(isinstance(x, dict) for x in value) else value
-        yield None, name, "", _kind(value), None if plain is None else _written([x for x in plain if not isinstance(x, dict)] if isinstance(plain, list) else plain)
-        if isinstance(value, dict):
-            counts = list(value.items())
-        elif isinstance(value, list):
-            counts = [(str(x.get("puzzle")), x.get("count")) for x in value if isinstance(x, dict)]
-        else:
-            counts = []
+        counts = list(value.items()) if isinstance(value, dict) else [(str(x.get("puzzle")), x.get("count")) for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+        plain = None if isinstance(value, dict) else [x for x in value if not isinstance(x, dict)] or None if isinstance(value, list) and counts else value
+        own.append((name, "", _kind(value), plain))
         for puzzle, count in counts:
-            yield puzzle, None, None, 0, None
+            fields = puzzles.setdefault(puzzle, [])
             if count is not None:
-                yield puzzle, name, "", _kind(count) << COUNT_SHIFT, _canonical(count)
+                fields.append((name, "", _kind(count) << COUNT_SHIFT, count))
+    yield None, own
+    for puzzle, fields in puzzles.items():
+        yield json.dumps({"puzzle": puzzle}), fields
+
 
+READERS: dict[str, Callable[[str], Iterator[Record]]] = {"lines": line_records, "allowances": allowance_records}
 
-READERS: dict[str, Callable[[str], Iterator[Cell]]] = {"lines": line_cells, "allowances": allowance_cells}
-#: The keys of a record as JSON text.
-KEYS: dict[str, Callable[[str], str]] = {"lines": lambda record: json.dumps(dict(zip(("id", "entry"), json.loads(record)))), "allowances": lambda puzzle: json.dumps({"puzzle": puzzle})}
 
+def records(files: DataFrame, series: str, reader: str, values: bool = False) -> DataFrame:
+    """Records of files (feed, file_name, exported_at, body). values: also their keys and values, as JSON text."""
+    names = ["series", "feed", "file_name", "exported_at", "record", "keys", "shape", "hashes", "values"]
 
-def cells(files: DataFrame, series: str, reader: str, values: bool = False) -> DataFrame:
-    """Cells of files (feed, file_name, exported_at, body). values: also the values themselves, as JSON text, and in a record's cell without a field its keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        break_up, keys = READERS[reader], KEYS[reader]
+        break_up, digest = READERS[reader], xxhash.xxh64_intdigest
+        shapes: dict[tuple, str] = {}
         for batch in batches:
-            bodies = batch.column(3)
             for start in range(0, batch.num_rows, 512):
-                source, record, field, parent, kinds, h1, h2, kept = [], [], [], [], [], [], [], []
-                for n, body in enumerate(bodies.slice(start, 512).to_pylist(), start):
+                source, record, keys, shape, ends, hashes, kept = [], [], [], [], [0], [], []
+                for n, body in enumerate(batch.column(3).slice(start, 512).to_pylist(), start):
                     try:
                         found = list(break_up(body)) if body else []
                     except (ValueError, RecursionError):
                         continue
-                    for of, name, above, kind, value in found:
-                        key = of if of is None else xxhash.xxh64_intdigest(of)
+                    for key, fields in found:
                         source.append(n)
-                        record.append(0 if key is None else key)
-                        field.append(name)
-                        parent.append(above)
-                        kinds.append(kind)
-                        joined = f"{key}\n{value}"
-                        h1.append(0 if value is None else xxhash.xxh64_intdigest(joined))
-                        h2.append(0 if value is None else xxhash.xxh64_intdigest(joined, 7))
-                        kept.append(None if not values else keys(of) if name is None and of is not None else value)
+                        record.append(None if key is None else digest(key))
+                        keys.append(key if values else None)
+                        form = tuple(f[:3] for f in fields)
+                        text = shapes.get(form)
+                        if text is None:
+                            if len(shapes) > 10_000:
+                                shapes.clear()
+                            text = shapes[form] = json.dumps([{"f": f, "p": p, "k": k} for f, p, k in form], ensure_ascii=False)
+                        shape.append(text)
+                        for _, _, _, value in fields:
+                            hashes.append(0 if value is None else digest('"' + value if isinstance(value, str) else _canonical(value)))
+                        if values:
+                            kept += [None if f[3] is None else _written(f[3]) for f in fields]
+                        ends.append(len(hashes))
                 if source:
                     take = batch.take(pa.array(source, pa.int64()))
-                    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([series] * len(source)), take.column(0), take.column(1), take.column(2), signed(record), pa.array(field, pa.string()), pa.array(parent, pa.string()), pa.array(kinds, pa.int32()), signed(h1), signed(h2), pa.array(kept, pa.string())],
-                        names=[*FILE, "record", "field_name", "parent", "kinds", "h1", "h2", "value"],
-                    )
+                    offsets, signed = pa.array(ends, pa.int32()), np.array(hashes, np.uint64).view(np.int64)
+                    absent = np.array([r is None for r in record])
+                    number = pa.array(np.array([r or 0 for r in record], np.uint64).view(np.int64), mask=absent)
+                    texts = pa.ListArray.from_arrays(offsets, pa.array(kept, pa.string())) if values else pa.nulls(len(source), pa.list_(pa.string()))
+                    columns = [pa.array([series] * len(source)), take.column(0), take.column(1), take.column(2), number, pa.array(keys, pa.string()), pa.array(shape, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(signed)), texts]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     named = files.select("feed", "file_name", "exported_at", "body").dropna(subset=["feed", "file_name", "exported_at", "body"])
-    return named.mapInArrow(run, CELLS_SCHEMA)
+    return named.mapInArrow(run, RECORDS_SCHEMA)
+
+
+def file_shapes(rows: DataFrame) -> DataFrame:
+    """(FILE, shape): the distinct shapes of each file's records, combined on the map side."""
+    return rows.select(*FILE, "shape").distinct()
 
 
-def fingerprints(cell_rows: DataFrame) -> DataFrame:
-    """A row per file and field with its kinds; a file without fields has one row with a null field."""
-    return cell_rows.groupBy(*FILE, "field_name", "parent").agg(F.bit_or("kinds").alias("kinds"))
+def fingerprints(shapes: DataFrame) -> DataFrame:
+    """A row per file and field with its kinds, from file_shapes; a file without fields has one row with a null field."""
+    fields = shapes.select(*FILE, F.explode_outer(F.from_json("shape", SHAPE)).alias("x"))
+    return fields.groupBy(*FILE, F.col("x.f").alias("field_name"), F.col("x.p").alias("parent")).agg(F.bit_or("x.k").alias("kinds"))
 
 
 def file_chain(prints: DataFrame) -> DataFrame:
@@ -177,57 +190,29 @@ def file_chain(prints: DataFrame) -> DataFrame:
     return prints.select(*FILE).distinct().select(*FILE, *names, F.row_number().over(order).alias("version"))
 
 
-def _file_id(*name: str) -> Column:
-    """64 bits for a file, in place of three strings, where many rows are shuffled."""
-    return F.xxhash64(*name)
-
-
-def _both_roles(rows: DataFrame, chain: DataFrame, on: list[str]) -> DataFrame:
-    """Each row once as part of its own file's pair (is_new) and once as part of the pair of the file after it."""
-    roles = F.array(
-        F.struct(F.col("file_name").alias("pair"), F.lit(True).alias("is_new"), F.col("before_name").isNotNull().alias("real")),
-        F.struct(F.col("after_name").alias("pair"), F.lit(False).alias("is_new"), F.col("after_name").isNotNull().alias("real")),
-    )
-    return rows.join(chain, on).withColumn("role", F.explode(F.filter(roles, lambda r: r["real"]))).select("*", "role.pair", "role.is_new").drop("role")
-
-
-def changes(cell_rows: DataFrame) -> DataFrame:
+def changes(rows: DataFrame) -> DataFrame:
     """(series, feed, file_name, exported_at, version, field_name, change_kind, old_name): each change of a file against the one before.
 
-    Fingerprints and the fields that only one file of a pair has are small and written once; of the cells only those of
-    such fields are folded, and they are shuffled with a number for their file instead of its names.
+    rows: records, which are read twice: for their shapes and, where a field went and another came, for the hashes of
+    those fields. Shapes, fingerprints and the fields that only one file of a pair has are file metadata, written once.
     """
-    prints = materialize(fingerprints(cell_rows))
+    shapes = materialize(file_shapes(rows))
+    prints = materialize(fingerprints(shapes))
     chain = materialize(file_chain(prints))
     key = ["series", "feed", "pair"]
+    roles = F.array(
+        F.struct(F.col("file_name").alias("pair"), F.lit(True).alias("is_new"), F.col("before_name").isNotNull().alias("real")),
+        F.struct(F.col("after_name").alias("pair"), F.lit(False).alias("is_new"), F.col("after_name").isNotNull().alias("real")),
+    )
+    # each fingerprint once as part of its own file's pair and once as part of the pair of the file after it
+    both = prints.where(F.col("field_name").isNotNull()).join(chain, FILE).withColumn("role", F.explode(F.filter(roles, lambda r: r["real"]))).select(*FILE, "field_name", "parent", "kinds", "role.pair", "role.is_new")
     sides = materialize(
-        _both_roles(prints.where(F.col("field_name").isNotNull()), chain, FILE).groupBy(*key, "field_name", "parent")
+        both.groupBy(*key, "field_name", "parent")
         .agg(F.max(F.when(F.col("is_new"), F.col("kinds"))).alias("new_kinds"), F.max(F.when(~F.col("is_new"), F.col("kinds"))).alias("old_kinds"))
         .where(~F.col("new_kinds").eqNullSafe(F.col("old_kinds")))
     )
     single = sides.where(F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).select(*key, "field_name", "parent", F.col("old_kinds").isNull().alias("is_new"))
-
-    # only a pair in which one field went and another came can hold a rename
-    open_pairs = single.groupBy(*key, "parent").agg(F.count_if("is_new").alias("_new"), F.count_if(~F.col("is_new")).alias("_old")).where("_new > 0 AND _old > 0").select(*key, "parent")
-    before = chain.select("series", "feed", F.col("file_name").alias("pair"), "before_name")
-    holder = F.when(F.col("is_new"), F.col("pair")).otherwise(F.col("before_name"))
-    wanted = single.join(open_pairs, [*key, "parent"], "left_semi").join(before, key).select(
-        _file_id("series", "feed", "pair").alias("pair_id"), F.xxhash64("series", "feed", holder).alias("file_id"), "is_new", "field_name", "parent"
-    )
-    numbers = chain.select(_file_id("series", "feed", "file_name").alias("file_id"), F.xxhash64("series", "feed", "file_name").alias("file_name"), F.when(F.col("before_name").isNotNull(), F.xxhash64("series", "feed", "before_name")).alias("before_name"), F.when(F.col("after_name").isNotNull(), F.xxhash64("series", "feed", "after_name")).alias("after_name"))
-
-    # records of both files of a pair, and what they hold under the fields that only one of them has
-    records = cell_rows.where((F.col("record") != 0) & F.col("field_name").isNull()).select(_file_id("series", "feed", "file_name").alias("file_id"), "record").distinct()
-    in_both = _both_roles(records, numbers, ["file_id"]).groupBy(F.col("pair").alias("pair_id"), "record").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select("pair_id", "record")
-    held = (
-        cell_rows.where((F.col("record") != 0) & F.col("field_name").isNotNull()).select(_file_id("series", "feed", "file_name").alias("file_id"), "field_name", "record", "h1", "h2")
-        .join(wanted, ["file_id", "field_name"]).select("pair_id", "is_new", "field_name", "parent", "record", "h1", "h2").distinct()
-        .join(in_both, ["pair_id", "record"], "left_semi")
-    )
-    folds = materialize(held.groupBy("pair_id", "is_new", "field_name", "parent").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count(F.lit(1)).alias("n")))
-    fold = ["pair_id", "parent", "x1", "x2", "n"]
-    renamed = folds.where("is_new").select(*fold, "field_name").join(folds.where("not is_new").select(*fold, F.col("field_name").alias("old_name")), fold)
-    renamed = renamed.join(chain.select("series", "feed", F.col("file_name").alias("pair"), _file_id("series", "feed", "file_name").alias("pair_id")), "pair_id").select(*key, "field_name", "old_name")
+    renamed = _renames(rows, shapes, single, chain, key)
 
     gone = renamed.select(*key, "field_name", F.lit(True).alias("is_new")).union(renamed.select(*key, "old_name", F.lit(False))).distinct()
     plain = single.join(gone, [*key, "field_name", "is_new"], "left_anti").select(*key, "field_name", F.when(F.col("is_new"), "added").otherwise("removed").alias("change_kind"), F.lit("").alias("old_name"))
@@ -236,6 +221,42 @@ def changes(cell_rows: DataFrame) -> DataFrame:
     return every.withColumnRenamed("pair", "file_name").join(chain.select(*FILE, "version"), ["series", "feed", "file_name"])
 
 
+def _renames(rows: DataFrame, shapes: DataFrame, single: DataFrame, chain: DataFrame, key: list[str]) -> DataFrame:
+    """(key, field_name, old_name): fields of single whose values on the records of both files of a pair are the same.
+
+    Per pair, record and field the hashes of the values come down to a least and a greatest one before anything else, so
+    a repeated record travels once per task; then a pair's records that stand in both files fold into one row a field.
+    """
+    names = ["series", "feed"]
+    open_parents = single.groupBy(*key, "parent").agg(F.count_if("is_new").alias("_new"), F.count_if(~F.col("is_new")).alias("_old")).where("_new > 0 AND _old > 0").select(*key, "parent")
+    before = chain.select(*names, F.col("file_name").alias("pair"), "before_name")
+    holder = F.when(F.col("is_new"), F.col("pair")).otherwise(F.col("before_name")).alias("file_name")
+    pair_id = F.xxhash64(*key).alias("pair_id")
+    wanted = single.join(open_parents, [*key, "parent"], "left_semi").join(before, key).select(*names, holder, pair_id, "is_new", F.struct("field_name", "parent").alias("field"))
+    # by file: its one or two pairs with the fields wanted for each; by file and shape: at which places of the shape they stand
+    by_file = wanted.groupBy(*names, "file_name", "pair_id", "is_new").agg(F.collect_list("field").alias("fields"))
+    at = F.filter(
+        F.transform(F.from_json("shape", SHAPE), lambda x, n: F.struct(n.alias("at"), F.get(F.filter("fields", lambda f: f["field_name"] == x["f"]), F.lit(0)).alias("field"))),
+        lambda x: x["field"].isNotNull(),
+    )
+    places = materialize(shapes.join(by_file, [*names, "file_name"]).select(*FILE, F.xxhash64("shape").alias("shape_id"), "pair_id", "is_new", at.alias("places")).groupBy(*FILE, "shape_id").agg(F.collect_list(F.struct("pair_id", "is_new", "places")).alias("roles")))
+    touched = rows.where(F.col("record").isNotNull()).select(*FILE, "record", F.xxhash64("shape").alias("shape_id"), "hashes").join(places, [*FILE, "shape_id"])
+    # a record counts as there even where it holds none of the fields
+    nothing = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("struct<field_name: string, parent: string>").alias("field")))
+    held = touched.select("record", "hashes", F.explode("roles").alias("r")).select("record", "hashes", "r.pair_id", "r.is_new", F.explode(F.concat(nothing, "r.places")).alias("x"))
+    held = held.select("pair_id", "is_new", "record", "x.field", F.get("hashes", F.col("x.at")).alias("h"))
+    least = held.groupBy("pair_id", "record", "is_new", "field").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # a record's rows are as many as the wanted fields of two files
+    common = least.groupBy("pair_id", "record").agg(F.count_distinct("is_new").alias("sides"), F.collect_list(F.struct("is_new", "field", "lo", "hi")).alias("held")).where("sides = 2")
+    cells = common.select("pair_id", "record", F.explode("held").alias("c")).select("pair_id", "record", "c.*").where(F.col("field").isNotNull())
+    fold = [F.bit_xor(F.xxhash64("record", "lo", "hi")).alias("x1"), F.bit_xor(F.xxhash64("hi", "lo", "record", F.lit(7))).alias("x2"), F.count(F.lit(1)).alias("n")]
+    folds = materialize(cells.groupBy("pair_id", "is_new", "field").agg(*fold).select("pair_id", "is_new", "field.field_name", "field.parent", "x1", "x2", "n"))
+    same = ["pair_id", "parent", "x1", "x2", "n"]
+    pairs = folds.where("is_new").select(*same, "field_name").join(folds.where("NOT is_new").select(*same, F.col("field_name").alias("old_name")), same)
+    numbered = chain.select(*names, F.col("file_name").alias("pair")).select(*key, pair_id)
+    return pairs.join(numbered, "pair_id").select(*key, "field_name", "old_name")
+
+
 def migrations(change_rows: DataFrame) -> DataFrame:
     """(series, feed, from_version, field_name, first_name): from this version of the series on, the field is the one first called first_name.
 
@@ -266,44 +287,61 @@ def migrations(change_rows: DataFrame) -> DataFrame:
     return steps.groupBy("series", "feed").applyInPandas(chain, "series string, feed string, from_version int, field_name string, first_name string")
 
 
-def _first_names(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (with series, feed, version, field_name) with first_name, by the newest rename rule that holds for their version."""
-    columns = rows.columns
-    ruled = rows.join(rules, ["series", "feed", "field_name"], "left")
+def field_rules(shapes: DataFrame, change_rows: DataFrame) -> DataFrame:
+    """(FILE, version, field_name, first_name, as_text): the rules of every file and field; a row with a null field for a
+    file without fields. File metadata: a row per file and field.
+
+    as_text: the field's kind changes somewhere in its series, so all its values become text.
+    """
+    columns = [*FILE, "version", "field_name", "kinds"]
+    prints = fingerprints(shapes)
+    fields = prints.join(file_chain(prints).select(*FILE, "version"), FILE).select(*columns)
+    ruled = fields.join(materialize(migrations(change_rows)), ["series", "feed", "field_name"], "left")
     holds = F.col("from_version") <= F.col("version")
     chosen = F.max_by(F.when(holds, F.col("first_name")), F.when(holds, F.col("from_version")))
-    return ruled.groupBy(*columns).agg(chosen.alias("_first")).select(*columns, F.coalesce("_first", "field_name").alias("first_name"))
-
+    named = materialize(ruled.groupBy(*columns).agg(chosen.alias("_first")).select(*columns, F.coalesce("_first", "field_name").alias("first_name")))
+    retyped = change_rows.where("change_kind = 'retyped'").select("series", "feed", "version", "field_name")
+    texts = named.join(retyped, ["series", "feed", "version", "field_name"], "left_semi").select("series", "feed", "first_name").distinct().withColumn("_text", F.lit(True))
+    return named.join(texts, ["series", "feed", "first_name"], "left").select(*FILE, "version", "field_name", "first_name", F.coalesce("_text", F.lit(False)).alias("as_text"))
 
-def casts(change_rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """(series, feed, first_name): fields that changed their kind somewhere in the series; all their values become text."""
-    retyped = change_rows.where("change_kind = 'retyped'").select("series", "feed", "version", "field_name").distinct()
-    return _first_names(retyped, rules).select("series", "feed", "first_name").distinct()
 
-
-def unified(cell_rows: DataFrame, change_rows: DataFrame) -> DataFrame:
+def unified(rows: DataFrame, change_rows: DataFrame) -> DataFrame:
     """One row per file and record, with its keys (id and entry of a line, puzzle of an allowance's count) and fields: a map
-    from first name to value (JSON text).
+    from first name to value (JSON text), and conflicts: how many fields have several values in the record's repetitions.
+
+    rows: records with values. A record without values has a row too. Values of an allowance that belong to no puzzle
+    stand in a row of the file without keys. Each file's values go through the rules of its version: rename to the first
+    name, cast to text where the field's kind changes anywhere in the series (text loses its quotes, other values keep
+    how they are written), and the default, null, for every field of the series that the record lacks. Of several
+    values of a field in a record's repetitions the least is kept.
 
-    A record without values has a row too. Values of an allowance that belong to no puzzle stand in a row of the file
-    with record 0 and no keys. Each file's values go through the rules of its version: rename to the first name, cast to
-    text where the field's kind changes anywhere in the series (text loses its quotes, other values keep how they are
-    written), and the default, null, for every field of the series that the record lacks. Where a record stands in a file
-    again with another value, the least value is kept.
+    A file's rules are carried to its records, whose values are renamed where they stand; they are shuffled once, to
+    bring a record's repetitions together. Only records whose repetitions differ are broken into fields.
     """
-    pairs = file_chain(cell_rows).select(*FILE, "version")
-    rules = materialize(migrations(change_rows))
-    # a record's cell without a field holds its keys, and goes through the same steps as its values under no name
-    named = cell_rows.where(F.col("value").isNotNull()).select(*FILE, "record", "field_name", "value").distinct().join(pairs, FILE)
-    to_text = casts(change_rows, rules).withColumn("_cast", F.lit(True))
-    bare = F.when(F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
-    ready = _first_names(named, rules).join(to_text, ["series", "feed", "first_name"], "left").withColumn("value", F.when(F.col("_cast"), bare).otherwise(F.col("value")))
-    single = ready.groupBy(*FILE, "version", "record", "first_name").agg(F.min("value").alias("value"))
-    held = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("first_name").isNotNull(), F.struct(F.col("first_name").alias("k"), F.col("value").alias("v"))))))
-    records = single.groupBy(*FILE, "version", "record").agg(held.alias("held"), F.max(F.when(F.col("first_name").isNull(), F.col("value"))).alias("keys"))
-    # the names of a series are schema, not data: as many as its files have fields
-    names = fingerprints(cell_rows).where(F.col("field_name").isNotNull()).join(pairs, FILE).select("series", "feed", "version", "field_name").distinct()
-    vocabulary = _first_names(names, rules).groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
-    fields = F.map_from_entries(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n, F.col("held")[n])))
+    rules = field_rules(file_shapes(rows), change_rows)
+    vocabulary = rules.where("first_name IS NOT NULL").groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
+    by_field = F.map_from_entries(F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct("field_name", F.struct("first_name", "as_text")))))
+    by_file = materialize(rules.groupBy(*FILE, "version").agg(by_field.alias("rules")).join(vocabulary, ["series", "feed"], "left"))
+    record = [*FILE, "record"]
+    bare = lambda v: F.when(F.startswith(v, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
+    paired = F.zip_with(F.from_json("shape", SHAPE), "values", lambda x, v: F.struct(x["f"].alias("f"), v.alias("v")))
+    named = F.transform(F.filter(paired, lambda x: x["v"].isNotNull()), lambda x: F.struct(F.col("rules")[x["f"]]["first_name"].alias("f"), F.when(F.col("rules")[x["f"]]["as_text"], bare(x["v"])).otherwise(x["v"]).alias("v")))
+    ready = rows.join(by_file.select(*FILE, "rules"), FILE).select(*record, "keys", named.alias("cells"))
+    whole = F.xxhash64("cells")
+    seen = materialize(ready.groupBy(*record).agg(F.first("keys").alias("keys"), F.first("cells").alias("cells"), F.min(whole).alias("_lo"), F.max(whole).alias("_hi"), F.max(F.size(F.array_distinct("cells.f")) < F.size("cells")).alias("_twice")))
+    differ = (F.col("_lo") != F.col("_hi")) | F.col("_twice")
+    mine = None
+    for c in record:
+        same = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        mine = same if mine is None else mine & same
+    doubtful = seen.where(differ).select(*[F.col(c).alias(f"_{c}") for c in record])
+    fields = ready.join(doubtful, mine, "left_semi").select(*record, "keys", F.explode_outer("cells").alias("c")).groupBy(*record, "c.f").agg(F.first("keys").alias("keys"), F.min("c.v").alias("v"), (F.min("c.v") != F.max("c.v")).alias("several"))
+    mended = fields.groupBy(*record).agg(
+        F.first("keys").alias("keys"), F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "v"))).alias("cells"), F.count_if("several").alias("conflicts")
+    )
+    every = seen.where(~differ).select(*record, "keys", "cells", F.lit(0).cast("bigint").alias("conflicts")).unionByName(mended)
+    held = F.map_from_entries("cells")
+    values = F.map_from_entries(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n, F.col("held")[n])))
     keys = [F.get_json_object("keys", f"$.{name}").alias(name) for name in ("id", "entry", "puzzle")]
-    return records.join(vocabulary, ["series", "feed"], "left").select(*FILE, "version", "record", *keys, fields.alias("fields"))
+    out = every.join(by_file.select(*FILE, "version", "names"), FILE).withColumn("held", held)
+    return out.select(*FILE, "version", "record", *keys, values.alias("fields"), "conflicts")

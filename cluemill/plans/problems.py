@@ -138,24 +138,46 @@ def p2_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cascade(spark, sf_dir).groupBy("table_name", "period", "depth").agg(F.count_distinct("row_key").alias("n_rows")).withColumn("inherited", F.col("depth") > 0)
 
 
-def _cells(spark: SparkSession, sf_dir: str, values: bool = False) -> DataFrame:
-    """Cells of both tables, parsed once and written to the shared folder: several branches of the plans read them."""
-    lines = drift.cells(table(spark, sf_dir, "annotation_feed"), "annotation_feed", "lines", values)
-    return materialize(lines.unionByName(drift.cells(table(spark, sf_dir, "backlog_file"), "backlog_file", "allowances", values)))
+FEEDS = {"annotation_feed": "lines", "backlog_file": "allowances"}
+
+
+def _records(spark: SparkSession, sf_dir: str, *names: str, values: bool = False) -> DataFrame:
+    """Records of the named tables, parsed once and written to the shared folder: two branches of the plans read them."""
+    parts = [drift.records(table(spark, sf_dir, name), name, FEEDS[name], values) for name in names]
+    return materialize(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(_cells(spark, sf_dir)).select("file_name", "field_name", "change_kind", "old_name").distinct()
+    return drift.changes(_records(spark, sf_dir, *FEEDS)).select("file_name", "field_name", "change_kind", "old_name").distinct()
 
 
 def p3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.fingerprints(_cells(spark, sf_dir)).where(F.col("field_name").isNotNull())
+    """The schema of each file: its version in its feed, and its fields with their kinds."""
+    prints = drift.fingerprints(materialize(drift.file_shapes(_records(spark, sf_dir, *FEEDS))))
+    rows = prints.join(drift.file_chain(prints), drift.FILE).where(F.col("field_name").isNotNull())
+    return rows.select("series", "feed", "file_name", "version", "field_name", "kinds")
+
+
+def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By file and field: the name the field had first in its feed, and whether its values become text."""
+    rows = _records(spark, sf_dir, *FEEDS)
+    rules = drift.field_rules(materialize(drift.file_shapes(rows)), materialize(drift.changes(rows)))
+    return rules.where(F.col("field_name").isNotNull()).select("series", "feed", "file_name", "version", "field_name", "first_name", "as_text")
+
+
+def _unified(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    rows = _records(spark, sf_dir, name, values=True)
+    return drift.unified(rows, materialize(drift.changes(rows))).select("feed", "file_name", "exported_at", "version", *keys, F.to_json("fields").alias("fields"), "conflicts")
+
+
+def p3_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table of annotations: every entry of every file with its values under first names."""
+    return _unified(spark, sf_dir, "annotation_feed", "id", "entry")
 
 
-def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent table: every record of every file with its values under first names."""
-    rows = _cells(spark, sf_dir, values=True)
-    return drift.unified(rows, drift.changes(rows.drop("value"))).withColumn("fields", F.to_json("fields"))
+def p3_allowances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table of allowances: every puzzle of every file with its counts under first names, and a row for what belongs to no puzzle."""
+    return _unified(spark, sf_dir, "backlog_file", "puzzle")
 
 
 QUERIES = {
@@ -167,7 +189,9 @@ QUERIES = {
     "p2_cascade": p2_cascade,
     "p3_found": p3_found,
     "p3_fingerprints": p3_fingerprints,
-    "p3_table": p3_table,
+    "p3_rules": p3_rules,
+    "p3_annotations": p3_annotations,
+    "p3_allowances": p3_allowances,
 }
 
 _KEY = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')".format
@@ -252,13 +276,26 @@ removed AS (SELECT p.s, p.feed, p.file_name, p.before, k.parent, k.field FROM pa
 common AS (SELECT p.s, p.feed, p.file_name, a.r FROM pairs p JOIN records a USING (s, feed, file_name) JOIN records z ON z.s = p.s AND z.feed = p.feed AND z.file_name = p.before AND z.r = a.r),
 new AS (SELECT f.s, f.feed, f.file_name, f.parent, f.field, md5(string_agg(h.r || '=' || val, ';' ORDER BY h.r)) AS sig FROM added f JOIN held h USING (s, feed, file_name, parent, field) JOIN common q ON q.s = f.s AND q.feed = f.feed AND q.file_name = f.file_name AND q.r = h.r GROUP BY ALL),
 old AS (SELECT f.s, f.feed, f.file_name, f.parent, f.field, md5(string_agg(h.r || '=' || val, ';' ORDER BY h.r)) AS sig FROM removed f JOIN held h ON h.s = f.s AND h.feed = f.feed AND h.file_name = f.before AND h.parent = f.parent AND h.field = f.field JOIN common q ON q.s = f.s AND q.feed = f.feed AND q.file_name = f.file_name AND q.r = h.r GROUP BY ALL),
-renamed AS (SELECT n.s, n.feed, n.file_name, n.field, o.field AS old_name FROM new n JOIN old o USING (s, feed, file_name, parent, sig))
-SELECT DISTINCT file_name, field AS field_name, 'renamed' AS change_kind, old_name FROM renamed
+renamed AS (SELECT n.s, n.feed, n.file_name, n.field, o.field AS old_name FROM new n JOIN old o USING (s, feed, file_name, parent, sig)),
+retyped AS (SELECT p.s, p.feed, p.file_name, k.field FROM pairs p JOIN kinds k USING (s, feed, file_name) JOIN kinds o ON o.s = p.s AND o.feed = p.feed AND o.file_name = p.before AND o.field = k.field WHERE k.kinds <> o.kinds),
+versions AS (SELECT s, feed, file_name, CAST(row_number() OVER (PARTITION BY s, feed ORDER BY exported_at, file_name) AS INTEGER) AS version FROM files)"""
+_FOUND_CHANGES = """SELECT DISTINCT file_name, field AS field_name, 'renamed' AS change_kind, old_name FROM renamed
 UNION SELECT file_name, field, 'added', '' FROM added a WHERE NOT EXISTS (SELECT 1 FROM renamed x WHERE x.s = a.s AND x.feed = a.feed AND x.file_name = a.file_name AND x.field = a.field)
 UNION SELECT file_name, field, 'removed', '' FROM removed a WHERE NOT EXISTS (SELECT 1 FROM renamed x WHERE x.s = a.s AND x.feed = a.feed AND x.file_name = a.file_name AND x.old_name = a.field)
-UNION SELECT p.file_name, k.field, 'retyped', '' FROM pairs p JOIN kinds k USING (s, feed, file_name) JOIN kinds o ON o.s = p.s AND o.feed = p.feed AND o.file_name = p.before AND o.field = k.field WHERE k.kinds <> o.kinds"""
+UNION SELECT file_name, field, 'retyped', '' FROM retyped"""
+_SERIES = "CASE s WHEN 'a' THEN 'annotation_feed' ELSE 'backlog_file' END AS series"
+_BITS = "CAST(list_sum(list_transform(kinds, lambda k: CASE split_part(k, ' ', -1) WHEN 'string' THEN 1 WHEN 'number' THEN 2 WHEN 'boolean' THEN 4 WHEN 'list' THEN 8 ELSE 16 END * CASE WHEN starts_with(k, 'count ') THEN 32 ELSE 1 END)) AS INTEGER) AS kinds"
+#: Field names of each file by those of the file before it: renamed, carried on, or new; a new field whose name is another's first name is numbered.
+_CHAINED = """x AS (SELECT s, feed, version, field, max(old_name) AS old_name FROM renamed JOIN versions USING (s, feed, file_name) GROUP BY ALL),
+here AS (SELECT s, feed, version, field, coalesce(old_name, field) AS source FROM kinds JOIN versions USING (s, feed, file_name) LEFT JOIN x USING (s, feed, version, field)),
+r(s, feed, version, field, first) AS (SELECT s, feed, version, field, field FROM here WHERE version = 1
+UNION ALL SELECT s, feed, version, field, CASE WHEN carried IS NOT NULL THEN carried WHEN list_contains(list(carried) OVER (PARTITION BY s, feed), field) THEN field || '#' || version ELSE field END
+FROM (SELECT h.s, h.feed, h.version, h.field, max(r.first) FILTER (r.field = h.source) AS carried FROM r JOIN here h ON h.s = r.s AND h.feed = r.feed AND h.version = r.version + 1 GROUP BY ALL)),
+t AS (SELECT DISTINCT s, feed, first FROM retyped JOIN versions USING (s, feed, file_name) JOIN r USING (s, feed, version, field))"""
 SQL = {
-    "p3_found": f"WITH {_CHANGES}",
+    "p3_found": f"WITH {_CHANGES} {_FOUND_CHANGES}",
+    "p3_fingerprints": f"WITH {_CHANGES} SELECT {_SERIES}, feed, file_name, version, field AS field_name, {_BITS} FROM kinds JOIN versions USING (s, feed, file_name)",
+    "p3_rules": f"WITH RECURSIVE {_CHANGES}, {_CHAINED} SELECT {_SERIES}, r.feed, file_name, r.version, field AS field_name, r.first AS first_name, t.first IS NOT NULL AS as_text FROM r JOIN versions USING (s, feed, version) LEFT JOIN t USING (s, feed, first)",
     "p1_found": f"WITH {_NODES} {_FOUND}",
     **{name: _table_sql(element) for name, element in TABLES.items()},
     "p2_found": f"WITH {_REFERENCES} SELECT * FROM p2",

@@ -155,7 +155,7 @@ def line(n, annotation, **fields):
 def drifted(spark, *files, reader="lines"):
     data = [("f", f"file{n}", T + n * DAY, body) for n, bodies in enumerate(files) for body in bodies]
     df = spark.createDataFrame(data, "feed string, file_name string, exported_at timestamp_ntz, body string")
-    return drift.cells(df, "s", reader, values=True)
+    return drift.records(df, "s", reader, values=True)
 
 
 def named(df):
@@ -177,20 +177,27 @@ def test_p3_kinds_of_change(spark):
 
 def test_p3_chained_renames_reach_the_first_name(spark):
     cells = drifted(spark, [line(1, {"a": "x"})], [line(1, {"b": "x"})], [line(1, {"c": "x"}), line(2, {"c": "y"}), line(2, {"c": "z"})])
-    table = drift.unified(cells, drift.changes(cells.drop("value"))).collect()
+    table = drift.unified(cells, drift.changes(cells)).collect()
     assert {f for r in table for f in r.fields} == {"annotation.a"} and {r.version for r in table} == {1, 2, 3}
     assert sorted(r.fields["annotation.a"] for r in table) == ['"x"', '"x"', '"x"', '"y"']
 
 
 def test_p3_casts_and_defaults(spark):
     cells = drifted(spark, [line(1, {"a": 3}, more=1), line(2, {"a": 4})], [line(1, {"b": 3}), line(2, {"b": 4})], [line(1, {"b": '3 "x'}, k="s")])
-    table = {(r.version, r.fields["annotation.a"], r.fields["more"], r.fields["k"]) for r in drift.unified(cells, drift.changes(cells.drop("value"))).collect()}
+    table = {(r.version, r.fields["annotation.a"], r.fields["more"], r.fields["k"]) for r in drift.unified(cells, drift.changes(cells)).collect()}
     assert table == {(1, "3", "1", None), (1, "4", None, None), (2, "3", None, None), (2, "4", None, None), (3, '3 "x', None, '"s"')}
 
 
+def test_p3_conflicts_are_counted(spark):
+    cells = drifted(spark, [line(1, {"a": "y", "c": 1}), line(1, {"a": "x", "c": 1}), line(1, {"b": "z"}), *[line(2, {"a": "x"})] * 3])
+    table = {r.entry: r for r in drift.unified(cells, drift.changes(cells)).collect()}
+    assert table["1-down"].conflicts == 1 and table["1-down"].fields == {"annotation.a": '"x"', "annotation.b": '"z"', "annotation.c": "1"}
+    assert table["2-down"].conflicts == 0 and table["2-down"].fields["annotation.a"] == '"x"' and len(table) == 2
+
+
 def test_p3_a_name_that_comes_back_is_another_field(spark):
     cells = drifted(spark, [line(1, {"a": "x"})], [line(1, {"b": "x"})], [line(1, {"b": "x", "a": "y"})])
-    table = {r.version: r.fields for r in drift.unified(cells, drift.changes(cells.drop("value"))).collect()}
+    table = {r.version: r.fields for r in drift.unified(cells, drift.changes(cells)).collect()}
     assert table[3]["annotation.a"] == '"x"' and table[3]["annotation.a#3"] == '"y"' and table[1]["annotation.a#3"] is None
 
 
@@ -202,7 +209,7 @@ def test_p3_allowances(spark):
 def test_p3_unnamed_files_are_ignored(spark):
     rows = [("f", None, T, line(1, {"a": 1})), (None, "x", T, line(1, {"b": 1})), ("f", "y", None, line(1, {"c": 1})), ("f", "z", T, None)]
     df = spark.createDataFrame(rows, "feed string, file_name string, exported_at timestamp_ntz, body string")
-    assert drift.cells(df, "s", "lines").count() == 0
+    assert drift.records(df, "s", "lines").count() == 0
 
 
 def test_p3_nothing_readable(spark):
@@ -216,6 +223,6 @@ def test_latest_row_wins_with_ties_and_clashing_names(spark):
     assert got == {(1, "new"), (None, "null")}
 
 
-@pytest.mark.parametrize("name", ["p1_schema_graph", "p3_table", "p3_fingerprints"])
+@pytest.mark.parametrize("name", ["p1_schema_graph", "p3_annotations", "p3_allowances", "p3_fingerprints", "p3_rules"])
 def test_other_queries_run(spark, data, name):
     assert problems.QUERIES[name](spark, data).count() > 0

@@ -95,11 +95,11 @@ def test_full_lexicon_has_two_to_fifteen_letters(spark, tmp_path):
 def table_of(spark, reader, *bodies):
     at = dt.datetime(2024, 1, 1)
     rows = [("f", f"file{n}", at + n * dt.timedelta(days=1), body) for n, body in enumerate(bodies)]
-    cells = drift.cells(spark.createDataFrame(rows, "feed string, file_name string, exported_at timestamp_ntz, body string"), "s", reader, values=True)
-    return drift.unified(cells, drift.changes(cells.drop("value"))).collect()
+    cells = drift.records(spark.createDataFrame(rows, "feed string, file_name string, exported_at timestamp_ntz, body string"), "s", reader, values=True)
+    return drift.unified(cells, drift.changes(cells)).collect()
 
 
-def test_p3_table_keeps_the_keys_of_lines_and_lines_without_values(spark):
+def test_p3_tables_keep_the_keys_of_lines_and_lines_without_values(spark):
     rows = table_of(spark, "lines", json.dumps({"id": 'p "1', "entry": "1-down", "k": 3}), json.dumps({"id": 7, "entry": None, "k": None}), json.dumps({"entry": "é"}))
     assert {(r.version, r.id, r.entry, r.puzzle, r.fields["k"]) for r in rows} == {(1, 'p "1', "1-down", None, "3"), (2, "7", None, None, None), (3, None, "é", None, None)}
     assert len(rows) == 3
@@ -107,7 +107,7 @@ def test_p3_table_keeps_the_keys_of_lines_and_lines_without_values(spark):
     assert [(r.id, r.entry, r.fields) for r in bare] == [("p", "e", {})]
 
 
-def test_p3_table_keeps_puzzles_and_plain_values_of_allowances(spark):
+def test_p3_tables_keep_puzzles_and_plain_values_of_allowances(spark):
     rows = table_of(spark, "allowances", '{"a": {"p-1": 3, "p-2": null}, "b": 4.50, "c": [1, "x"], "d": [{"puzzle": "p-1", "count": 5}]}')
     got = {(r.puzzle, r.id): r.fields for r in rows}
     none = dict.fromkeys("abcd")
