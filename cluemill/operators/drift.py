@@ -1,10 +1,10 @@
 """Schemas that drift between files (problem 3).
 
 Files come in series (table and feed) and are ordered by their export time. ``records`` parses each body once and gives
-a row per record: its shape (fields with the kinds of their values) and a hash of each value. Everything after that is
-relational:
+a row per record: its fields and values as hashes, and, where a task meets a field or kind in a file for the first
+time, its name and kinds. Everything after that is relational:
 
-* ``fingerprints``: the versioned schema of each file, a row per field with the set of its kinds, from its few shapes;
+* ``fingerprints``: the versioned schema of each file, a row per field with the set of its kinds;
 * ``changes``: each file's fingerprint against that of the file before it. Renames are found without comparing fields
   in pairs: the values that the records common to both files hold under a field are folded into two 64-bit
   exclusive-ors and a count, and a removed and an added field with the same parent and the same fold are one field.
@@ -36,8 +36,11 @@ from cluemill.session import materialize
 KINDS = {"string": 1, "number": 2, "boolean": 4, "list": 8, "object": 16}
 COUNT_SHIFT = 5
 FILE = ["series", "feed", "file_name", "exported_at"]
-RECORDS_SCHEMA = "series string, feed string, file_name string, exported_at timestamp_ntz, record bigint, keys string, shape string, hashes array<bigint>, values array<string>"
-SHAPE = "array<struct<f: string, p: string, k: int>>"
+RECORDS_SCHEMA = "series string, feed string, file_name string, exported_at timestamp_ntz, record bigint, keys string, fields array<bigint>, hashes array<bigint>, values array<string>, fresh array<struct<f: string, p: string, k: int>>"
+#: Fixed value: the seed of Spark's xxhash64, for which a field's name has the same hash in both.
+FIELD_SEED = 42
+#: Fields and kinds by file that a task remembers as met; when full, it starts anew.
+REMEMBERED = 200_000
 
 
 def _kind(value: object) -> int:
@@ -126,57 +129,72 @@ READERS: dict[str, Callable[[str], Iterator[Record]]] = {"lines": line_records,
 
 
 def records(files: DataFrame, series: str, reader: str, values: bool = False) -> DataFrame:
-    """Records of files (feed, file_name, exported_at, body). values: also their keys and values, as JSON text."""
-    names = ["series", "feed", "file_name", "exported_at", "record", "keys", "shape", "hashes", "values"]
+    """Records of files (feed, file_name, exported_at, body): fields holds the hashes of their fields' names, hashes those
+    of the values, fresh what the task had not met in the file before. values: also their keys and values, as JSON text."""
+    names = [x.split()[0] for x in RECORDS_SCHEMA.replace("struct<f: string, p: string, k: int>", "x").split(", ")]
+    fresh_type = pa.list_(pa.struct([("f", pa.string()), ("p", pa.string()), ("k", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         break_up, digest = READERS[reader], xxhash.xxh64_intdigest
-        shapes: dict[tuple, str] = {}
+        ids: dict[str, int] = {}
+        met: dict[tuple, set[tuple[str, str, int]]] = {}
+        remembered = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                source, record, keys, shape, ends, hashes, kept = [], [], [], [], [0], [], []
-                for n, body in enumerate(batch.column(3).slice(start, 512).to_pylist(), start):
+                own = batch.slice(start, 512)
+                source, record, keys, fields, hashes, ends, kept, fresh = [], [], [], [], [], [0], [], []
+                for n, body in enumerate(own.column(3).to_pylist()):
                     try:
                         found = list(break_up(body)) if body else []
                     except (ValueError, RecursionError):
                         continue
-                    for key, fields in found:
+                    if remembered > REMEMBERED:
+                        met.clear()
+                        remembered = 0
+                    file = tuple(own.column(k)[n].as_py() for k in range(3)) if found else None
+                    for key, cells in found:
+                        known, new = met.get(file), []
+                        if known is None:
+                            known = met[file] = set()
+                        first = not known
+                        for name, parent, kinds, value in cells:
+                            if (name, parent, kinds) not in known:
+                                known.add((name, parent, kinds))
+                                new.append({"f": name, "p": parent, "k": kinds})
+                            number = ids.get(name)
+                            if number is None:
+                                number = ids[name] = digest(name, FIELD_SEED)
+                            fields.append(number)
+                            hashes.append(0 if value is None else digest('"' + value if isinstance(value, str) else _canonical(value)))
+                        if values:
+                            kept += [None if c[3] is None else _written(c[3]) for c in cells]
+                        remembered += len(new)
                         source.append(n)
                         record.append(None if key is None else digest(key))
                         keys.append(key if values else None)
-                        form = tuple(f[:3] for f in fields)
-                        text = shapes.get(form)
-                        if text is None:
-                            if len(shapes) > 10_000:
-                                shapes.clear()
-                            text = shapes[form] = json.dumps([{"f": f, "p": p, "k": k} for f, p, k in form], ensure_ascii=False)
-                        shape.append(text)
-                        for _, _, _, value in fields:
-                            hashes.append(0 if value is None else digest('"' + value if isinstance(value, str) else _canonical(value)))
-                        if values:
-                            kept += [None if f[3] is None else _written(f[3]) for f in fields]
                         ends.append(len(hashes))
+                        fresh.append(new if new or first else None)
                 if source:
-                    take = batch.take(pa.array(source, pa.int64()))
-                    offsets, signed = pa.array(ends, pa.int32()), np.array(hashes, np.uint64).view(np.int64)
-                    absent = np.array([r is None for r in record])
-                    number = pa.array(np.array([r or 0 for r in record], np.uint64).view(np.int64), mask=absent)
+                    take = own.take(pa.array(source, pa.int64()))
+                    offsets = pa.array(ends, pa.int32())
+                    signed = lambda x, **o: pa.array(np.array(x, np.uint64).view(np.int64), **o)
+                    lists = [pa.ListArray.from_arrays(offsets, signed(x)) for x in (fields, hashes)]
                     texts = pa.ListArray.from_arrays(offsets, pa.array(kept, pa.string())) if values else pa.nulls(len(source), pa.list_(pa.string()))
-                    columns = [pa.array([series] * len(source)), take.column(0), take.column(1), take.column(2), number, pa.array(keys, pa.string()), pa.array(shape, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(signed)), texts]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    number = signed([r or 0 for r in record], mask=np.array([r is None for r in record]))
+                    yield pa.RecordBatch.from_arrays([pa.array([series] * len(source)), take.column(0), take.column(1), take.column(2), number, pa.array(keys, pa.string()), *lists, texts, pa.array(fresh, fresh_type)], names=names)
 
     named = files.select("feed", "file_name", "exported_at", "body").dropna(subset=["feed", "file_name", "exported_at", "body"])
     return named.mapInArrow(run, RECORDS_SCHEMA)
 
 
-def file_shapes(rows: DataFrame) -> DataFrame:
-    """(FILE, shape): the distinct shapes of each file's records, combined on the map side."""
-    return rows.select(*FILE, "shape").distinct()
+def field_id(name: Column) -> Column:
+    """The hash that stands for a field's name in records."""
+    return F.xxhash64(name)
 
 
-def fingerprints(shapes: DataFrame) -> DataFrame:
-    """A row per file and field with its kinds, from file_shapes; a file without fields has one row with a null field."""
-    fields = shapes.select(*FILE, F.explode_outer(F.from_json("shape", SHAPE)).alias("x"))
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """A row per file and field with its kinds; a file without fields has one row with a null field."""
+    fields = rows.where(F.col("fresh").isNotNull()).select(*FILE, F.explode_outer("fresh").alias("x"))
     return fields.groupBy(*FILE, F.col("x.f").alias("field_name"), F.col("x.p").alias("parent")).agg(F.bit_or("x.k").alias("kinds"))
 
 
@@ -193,11 +211,10 @@ def file_chain(prints: DataFrame) -> DataFrame:
 def changes(rows: DataFrame) -> DataFrame:
     """(series, feed, file_name, exported_at, version, field_name, change_kind, old_name): each change of a file against the one before.
 
-    rows: records, which are read twice: for their shapes and, where a field went and another came, for the hashes of
-    those fields. Shapes, fingerprints and the fields that only one file of a pair has are file metadata, written once.
+    rows: records, which are read twice: for the fingerprints and, where a field went and another came, for the hashes of
+    those fields. Fingerprints and the fields that only one file of a pair has are file metadata, written once.
     """
-    shapes = materialize(file_shapes(rows))
-    prints = materialize(fingerprints(shapes))
+    prints = materialize(fingerprints(rows))
     chain = materialize(file_chain(prints))
     key = ["series", "feed", "pair"]
     roles = F.array(
@@ -212,7 +229,7 @@ def changes(rows: DataFrame) -> DataFrame:
         .where(~F.col("new_kinds").eqNullSafe(F.col("old_kinds")))
     )
     single = sides.where(F.col("new_kinds").isNull() | F.col("old_kinds").isNull()).select(*key, "field_name", "parent", F.col("old_kinds").isNull().alias("is_new"))
-    renamed = _renames(rows, shapes, single, chain, key)
+    renamed = _renames(rows, single, chain, key)
 
     gone = renamed.select(*key, "field_name", F.lit(True).alias("is_new")).union(renamed.select(*key, "old_name", F.lit(False))).distinct()
     plain = single.join(gone, [*key, "field_name", "is_new"], "left_anti").select(*key, "field_name", F.when(F.col("is_new"), "added").otherwise("removed").alias("change_kind"), F.lit("").alias("old_name"))
@@ -221,7 +238,7 @@ def changes(rows: DataFrame) -> DataFrame:
     return every.withColumnRenamed("pair", "file_name").join(chain.select(*FILE, "version"), ["series", "feed", "file_name"])
 
 
-def _renames(rows: DataFrame, shapes: DataFrame, single: DataFrame, chain: DataFrame, key: list[str]) -> DataFrame:
+def _renames(rows: DataFrame, single: DataFrame, chain: DataFrame, key: list[str]) -> DataFrame:
     """(key, field_name, old_name): fields of single whose values on the records of both files of a pair are the same.
 
     Per pair, record and field the hashes of the values come down to a least and a greatest one before anything else, so
@@ -233,18 +250,17 @@ def _renames(rows: DataFrame, shapes: DataFrame, single: DataFrame, chain: DataF
     holder = F.when(F.col("is_new"), F.col("pair")).otherwise(F.col("before_name")).alias("file_name")
     pair_id = F.xxhash64(*key).alias("pair_id")
     wanted = single.join(open_parents, [*key, "parent"], "left_semi").join(before, key).select(*names, holder, pair_id, "is_new", F.struct("field_name", "parent").alias("field"))
-    # by file: its one or two pairs with the fields wanted for each; by file and shape: at which places of the shape they stand
-    by_file = wanted.groupBy(*names, "file_name", "pair_id", "is_new").agg(F.collect_list("field").alias("fields"))
-    at = F.filter(
-        F.transform(F.from_json("shape", SHAPE), lambda x, n: F.struct(n.alias("at"), F.get(F.filter("fields", lambda f: f["field_name"] == x["f"]), F.lit(0)).alias("field"))),
-        lambda x: x["field"].isNotNull(),
+    # by file: its one or two pairs with the fields wanted for each
+    by_file = materialize(
+        wanted.groupBy(*names, "file_name", "pair_id", "is_new").agg(F.collect_list(F.struct(field_id(F.col("field.field_name")).alias("id"), "field")).alias("fields"))
+        .groupBy(*names, "file_name").agg(F.collect_list(F.struct("pair_id", "is_new", "fields")).alias("roles")).join(chain.select(*FILE), [*names, "file_name"])
     )
-    places = materialize(shapes.join(by_file, [*names, "file_name"]).select(*FILE, F.xxhash64("shape").alias("shape_id"), "pair_id", "is_new", at.alias("places")).groupBy(*FILE, "shape_id").agg(F.collect_list(F.struct("pair_id", "is_new", "places")).alias("roles")))
-    touched = rows.where(F.col("record").isNotNull()).select(*FILE, "record", F.xxhash64("shape").alias("shape_id"), "hashes").join(places, [*FILE, "shape_id"])
+    touched = rows.where(F.col("record").isNotNull()).select(*FILE, "record", F.col("fields").alias("ids"), "hashes").join(by_file, FILE)
     # a record counts as there even where it holds none of the fields
-    nothing = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("struct<field_name: string, parent: string>").alias("field")))
-    held = touched.select("record", "hashes", F.explode("roles").alias("r")).select("record", "hashes", "r.pair_id", "r.is_new", F.explode(F.concat(nothing, "r.places")).alias("x"))
-    held = held.select("pair_id", "is_new", "record", "x.field", F.get("hashes", F.col("x.at")).alias("h"))
+    nothing = F.array(F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("struct<field_name: string, parent: string>").alias("field")))
+    held = touched.select("record", "ids", "hashes", F.explode("roles").alias("r")).select("record", "ids", "hashes", "r.pair_id", "r.is_new", F.explode(F.concat(nothing, "r.fields")).alias("x"))
+    place = F.array_position("ids", F.col("x.id"))
+    held = held.where(F.col("x.id").isNull() | (place > 0)).select("pair_id", "is_new", "record", "x.field", F.when(F.col("x.id").isNotNull(), F.get("hashes", (place - 1).cast("int"))).alias("h"))
     least = held.groupBy("pair_id", "record", "is_new", "field").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # a record's rows are as many as the wanted fields of two files
     common = least.groupBy("pair_id", "record").agg(F.count_distinct("is_new").alias("sides"), F.collect_list(F.struct("is_new", "field", "lo", "hi")).alias("held")).where("sides = 2")
@@ -287,14 +303,13 @@ def migrations(change_rows: DataFrame) -> DataFrame:
     return steps.groupBy("series", "feed").applyInPandas(chain, "series string, feed string, from_version int, field_name string, first_name string")
 
 
-def field_rules(shapes: DataFrame, change_rows: DataFrame) -> DataFrame:
+def field_rules(prints: DataFrame, change_rows: DataFrame) -> DataFrame:
     """(FILE, version, field_name, first_name, as_text): the rules of every file and field; a row with a null field for a
     file without fields. File metadata: a row per file and field.
 
     as_text: the field's kind changes somewhere in its series, so all its values become text.
     """
     columns = [*FILE, "version", "field_name", "kinds"]
-    prints = fingerprints(shapes)
     fields = prints.join(file_chain(prints).select(*FILE, "version"), FILE).select(*columns)
     ruled = fields.join(materialize(migrations(change_rows)), ["series", "feed", "field_name"], "left")
     holds = F.col("from_version") <= F.col("version")
@@ -318,15 +333,15 @@ def unified(rows: DataFrame, change_rows: DataFrame) -> DataFrame:
     A file's rules are carried to its records, whose values are renamed where they stand; they are shuffled once, to
     bring a record's repetitions together. Only records whose repetitions differ are broken into fields.
     """
-    rules = field_rules(file_shapes(rows), change_rows)
+    rules = field_rules(materialize(fingerprints(rows)), change_rows)
     vocabulary = rules.where("first_name IS NOT NULL").groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
-    by_field = F.map_from_entries(F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct("field_name", F.struct("first_name", "as_text")))))
+    by_field = F.map_from_entries(F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct(field_id(F.col("field_name")), F.struct("first_name", "as_text")))))
     by_file = materialize(rules.groupBy(*FILE, "version").agg(by_field.alias("rules")).join(vocabulary, ["series", "feed"], "left"))
     record = [*FILE, "record"]
     bare = lambda v: F.when(F.startswith(v, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
-    paired = F.zip_with(F.from_json("shape", SHAPE), "values", lambda x, v: F.struct(x["f"].alias("f"), v.alias("v")))
-    named = F.transform(F.filter(paired, lambda x: x["v"].isNotNull()), lambda x: F.struct(F.col("rules")[x["f"]]["first_name"].alias("f"), F.when(F.col("rules")[x["f"]]["as_text"], bare(x["v"])).otherwise(x["v"]).alias("v")))
-    ready = rows.join(by_file.select(*FILE, "rules"), FILE).select(*record, "keys", named.alias("cells"))
+    paired = F.filter(F.zip_with("ids", "values", lambda x, v: F.struct(x.alias("id"), v.alias("v"))), lambda x: x["v"].isNotNull())
+    named = F.transform(paired, lambda x: F.struct(F.col("rules")[x["id"]]["first_name"].alias("f"), F.when(F.col("rules")[x["id"]]["as_text"], bare(x["v"])).otherwise(x["v"]).alias("v")))
+    ready = rows.withColumnRenamed("fields", "ids").join(by_file.select(*FILE, "rules"), FILE).select(*record, "keys", named.alias("cells"))
     whole = F.xxhash64("cells")
     seen = materialize(ready.groupBy(*record).agg(F.first("keys").alias("keys"), F.first("cells").alias("cells"), F.min(whole).alias("_lo"), F.max(whole).alias("_hi"), F.max(F.size(F.array_distinct("cells.f")) < F.size("cells")).alias("_twice")))
     differ = (F.col("_lo") != F.col("_hi")) | F.col("_twice")

@@ -153,7 +153,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema of each file: its version in its feed, and its fields with their kinds."""
-    prints = drift.fingerprints(materialize(drift.file_shapes(_records(spark, sf_dir, *FEEDS))))
+    prints = materialize(drift.fingerprints(_records(spark, sf_dir, *FEEDS)))
     rows = prints.join(drift.file_chain(prints), drift.FILE).where(F.col("field_name").isNotNull())
     return rows.select("series", "feed", "file_name", "version", "field_name", "kinds")
 
@@ -161,7 +161,7 @@ def p3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By file and field: the name the field had first in its feed, and whether its values become text."""
     rows = _records(spark, sf_dir, *FEEDS)
-    rules = drift.field_rules(materialize(drift.file_shapes(rows)), materialize(drift.changes(rows)))
+    rules = drift.field_rules(materialize(drift.fingerprints(rows)), materialize(drift.changes(rows)))
     return rules.where(F.col("field_name").isNotNull()).select("series", "feed", "file_name", "version", "field_name", "first_name", "as_text")
 
 
