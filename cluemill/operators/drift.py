@@ -143,6 +143,7 @@ def records(files: DataFrame, series: str, reader: str, values: bool = False) ->
             for start in range(0, batch.num_rows, 512):
                 own = batch.slice(start, 512)
                 source, record, keys, fields, hashes, ends, kept, fresh = [], [], [], [], [], [0], [], []
+                of_file = list(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), own.column(2).cast(pa.int64()).to_pylist()))
                 for n, body in enumerate(own.column(3).to_pylist()):
                     try:
                         found = list(break_up(body)) if body else []
@@ -151,7 +152,7 @@ def records(files: DataFrame, series: str, reader: str, values: bool = False) ->
                     if remembered > REMEMBERED:
                         met.clear()
                         remembered = 0
-                    file = tuple(own.column(k)[n].as_py() for k in range(3)) if found else None
+                    file = of_file[n]
                     for key, cells in found:
                         known, new = met.get(file), []
                         if known is None:
