@@ -60,3 +60,58 @@ def enumeration_breaks(sizes: Column) -> Column:
 def split_id_tail(c: Column) -> tuple[Column, Column]:
     """(head, tail) of an id at its last hyphen."""
     return F.regexp_extract(c, r"^(.*)-([^-]+)$", 1), F.regexp_extract(c, r"^(.*)-([^-]+)$", 2)
+
+
+def tidy_words(c: Column) -> Column:
+    """Runs of ASCII letters, lower case, of text without tags and without what stands in round brackets; null gives null."""
+    return word_list(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\([^)]*\)", " "))
+
+
+def straight_quotes(c: Column) -> Column:
+    """Curly single quotes as straight ones."""
+    return F.translate(c, "’‘", "''")
+
+
+def without_enumeration(c: Column) -> Column:
+    """Text with straight quotes and without a closing bracket of digits, outer spaces dropped."""
+    return F.trim(F.regexp_replace(straight_quotes(c), r"\s*\([\d,\-\s/]+\)\s*$", ""))
+
+
+def clue_words(c: Column) -> Column:
+    """Words in lower case without the enumeration; a contraction's end ('s, 're, 'll, 've, 'd, n't) is a word of its own, n't as 't."""
+    words = F.regexp_extract_all(F.lower(without_enumeration(c)), F.lit("[a-z']+"), F.lit(0))
+    end = lambda w: F.regexp_extract(w, "^(.+?)('s|'re|'ll|'ve|'d|n't)$", 2)
+    split = lambda w: F.array(F.regexp_extract(w, "^(.+?)('s|'re|'ll|'ve|'d|n't)$", 1), F.when(end(w) == "n't", "'t").otherwise(end(w)))
+    return F.flatten(F.transform(words, lambda w: F.when(end(w) != "", split(w)).otherwise(F.array(w))))
+
+
+def base_forms(word: Column) -> Column:
+    """Words that may be the base of one ending in -s: without s, without es, and with y for ies. None for fewer than four letters."""
+    without = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    forms = F.array(without(1), F.when(word.endswith("es"), without(2)), F.when(word.endswith("ies"), F.concat(without(3), F.lit("y"))))
+    return F.when(word.endswith("s") & (F.length(word) >= 4), F.array_compact(forms)).otherwise(F.array().cast("array<string>"))
+
+
+def anchor(c: Column) -> Column:
+    """Lower case, every run of other signs than letters and digits as one hyphen, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def placed_tokens(c: Column) -> Column:
+    """Array of (at, text): runs of visible signs with their place (from 0) in the text, without a closing bracket."""
+    body = F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")
+    parts = F.split(body, r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")
+    ends = F.transform(parts, lambda x, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y)))
+    spans = F.zip_with(ends, parts, lambda at, text: F.struct(at.alias("at"), text.alias("text")))
+    return F.filter(spans, lambda x: F.trim(x["text"]).rlike(r"\S"))
+
+
+def letter_places(c: Column) -> Column:
+    """Places (from 0) of the letters of a text, in order."""
+    return F.filter(F.transform(F.split(c, ""), lambda x, n: F.when(x.rlike(r"\p{L}"), n)), lambda n: n.isNotNull())
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """Places (from 0) at which part stands in text, overlapping ones included; none for an empty part."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(part), F.lit(0)))
+    return F.when(F.length(part) > 0, F.filter(starts, lambda n: F.substring(text, n + 1, F.length(part)) == part)).otherwise(F.array().cast("array<int>"))
