@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 #: A key with more than one in SHARE of all rows is heavy; so there are fewer than SHARE of them.
 SHARE = 1000
+#: Fewer rows than these are no load for one task.
+LEAST_ROWS = 50_000
 #: Into how many parts a heavy key's rows are split.
 SALTS = 32
 
 
-def heavy_keys(rows: DataFrame, *key: str) -> list[int]:
-    """Hashes of the keys with more than one in SHARE of all rows, fewer than SHARE of them.
+def heavy_keys(rows: DataFrame, *key: str, least: int = LEAST_ROWS) -> list[int]:
+    """Hashes of the keys with more than one in SHARE of all rows and more than least rows, fewer than SHARE of them.
 
     One pass with a sketch of fixed size in each task and no shuffle of keys. The sketch may miss a key or take in one
     that is none: that changes how rows are spread, never a result.
     """
     hashed = rows.select(F.xxhash64(*key).alias("k"))
     found = hashed.agg(F.expr(f"approx_top_k(k, {SHARE}, {20 * SHARE})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    return [x["item"] for x in found["top"] or [] if x["count"] * SHARE > found["n"]]
+    return [x["item"] for x in found["top"] or [] if x["count"] > max(found["n"] / SHARE, least)]
 
 
 def _is_heavy(heavy: list[int], *key: str) -> Column:

@@ -87,20 +87,20 @@ SEP = "\u0001"
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of clue_entry and play_save."""
-    entries = table(spark, sf_dir, "clue_entry").select("clue_id", "puzzle_id", "group_ids", "linked_to", "loaded_at")
+    entries = table(spark, sf_dir, "clue_entry").select("clue_id", "puzzle_id", "entry_id", "group_ids", "linked_to", "loaded_at")
     ref = lambda field, value, target: F.struct(F.lit(field).alias("field_name"), value.alias("ref_value"), F.lit(target).alias("target"))
     group = F.transform(F.array_distinct(F.coalesce("group_ids", F.array().cast("array<string>"))), lambda g: ref("group_ids", g, "entry"))
     in_entries = entries.select(
-        F.lit("clue_entry").alias("table_name"), F.col("clue_id").alias("row_key"), "puzzle_id", F.col("loaded_at").alias("at"),
+        F.lit("clue_entry").alias("table_name"), F.col("clue_id").alias("row_key"), "puzzle_id", F.col("loaded_at").alias("at"), _entry_key().alias("own_key"),
         F.explode(F.concat(F.array(ref("puzzle_id", F.col("puzzle_id"), "puzzle"), ref("linked_to", F.col("linked_to"), "entry")), group)).alias("r"),
-    ).select("table_name", "row_key", "puzzle_id", "at", "r.*")
+    ).select("table_name", "row_key", "puzzle_id", "at", "own_key", "r.*")
     saves = table(spark, sf_dir, "play_save").select(
-        F.lit("play_save").alias("table_name"), F.col("save_id").alias("row_key"), "puzzle_id", F.col("received_at").alias("at"),
+        F.lit("play_save").alias("table_name"), F.col("save_id").alias("row_key"), "puzzle_id", F.col("received_at").alias("at"), F.lit(None).cast("string").alias("own_key"),
         F.lit("puzzle_id").alias("field_name"), F.col("puzzle_id").alias("ref_value"), F.lit("puzzle").alias("target"),
     )
     inside = F.concat(F.coalesce(id_key(F.col("puzzle_id")), F.lit("")), F.lit(SEP), id_key(F.col("ref_value")))
     key = F.when(F.col("target") == "puzzle", id_key(F.col("ref_value"))).otherwise(inside)
-    return in_entries.unionByName(saves).withColumn("ref_key", key).select(*orphans.REFERENCE_COLUMNS)
+    return in_entries.unionByName(saves).withColumn("ref_key", key).withColumn("own_target", F.when(F.col("own_key").isNotNull(), "entry")).select(*orphans.REFERENCE_COLUMNS, *orphans.OWN_COLUMNS)
 
 
 def _entry_key() -> Column:
@@ -116,12 +116,8 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puzzles.unionByName(own).unionByName(entries)
 
 
-def _entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "clue_entry").select(F.lit("clue_entry").alias("table_name"), F.col("clue_id").alias("row_key"), F.lit("entry").alias("target"), _entry_key().alias("own_key"))
-
-
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.cascade(_references(spark, sf_dir), _targets(spark, sf_dir), _entry_rows(spark, sf_dir)).withColumn("period", orphans.month(F.col("at")))
+    return orphans.cascade(_references(spark, sf_dir), _targets(spark, sf_dir), ["entry"]).withColumn("period", orphans.month(F.col("at")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,8 +122,9 @@ def test_p2_reasons(spark):
     assert reasons(spark, [(None, None)], times) == {}
 
 
-def test_p2_null_keys_and_hot_key(spark):
+def test_p2_null_keys_and_hot_key(spark, monkeypatch):
     refs = spark.createDataFrame([("t", n, "f", None if n % 3 else "hot", "p", None if n % 3 else "hot", T) for n in range(300)], REFS)
+    monkeypatch.setattr(skew.heavy_keys, "__kwdefaults__", {"least": 10})
     assert len(skew.heavy_keys(refs.where("ref_key is not null"), "target", "ref_key")) == 1
     got = orphans.direct_orphans(refs, spark.createDataFrame([("p", "other", T, None)], TARGETS))
     assert got.count() == 100
@@ -132,19 +133,25 @@ def test_p2_null_keys_and_hot_key(spark):
     assert skew.heavy_keys(refs.limit(0), "target", "ref_key") == []
 
 
+OWN = REFS + ", own_target string, own_key string"
+
+
+def linked(spark, *pairs):
+    """References of the rows n to the keys k, of entries that are themselves k{n}."""
+    return spark.createDataFrame([("e", n, "link", k, "entry", k, T, "entry", f"k{n}") for n, k in pairs], OWN)
+
+
 def test_p2_cascade_goes_to_the_fixpoint(spark):
-    refs = spark.createDataFrame([("e", n, "link", f"k{n - 1}", "entry", f"k{n - 1}", T) for n in range(6)] + [("e", 5, "self", "k5", "entry", "k5", T), ("e", 9, "link", "k9", "entry", "k9", T)], REFS)
-    own = spark.createDataFrame([("e", n, "entry", f"k{n}") for n in (*range(6), 9)], "table_name string, row_key bigint, target string, own_key string")
+    refs = linked(spark, *[(n, f"k{n - 1}") for n in range(6)], (5, "k5"), (9, "k9"))
     targets = spark.createDataFrame([("entry", f"k{n}", T, None) for n in (*range(6), 9)], TARGETS)
-    got = {(r.row_key, r.depth, r.reason) for r in orphans.cascade(refs, targets, own).collect()}
+    got = {(r.row_key, r.depth, r.reason) for r in orphans.cascade(refs, targets, ["entry"]).collect()}
     assert got == {(n, n, "inherited" if n else "missing") for n in range(6)}
-    assert {r.row_key for r in orphans.cascade(refs, targets, own, 2).collect()} == {0, 1, 2}
+    assert {r.row_key for r in orphans.cascade(refs, targets, ["entry"], 2).collect()} == {0, 1, 2}
 
 
 def test_p2_cascade_ends_in_a_circle(spark):
-    refs = spark.createDataFrame([("e", 0, "link", "gone", "entry", "gone", T), *[("e", n, "link", f"k{(n + 1) % 3}", "entry", f"k{(n + 1) % 3}", T) for n in range(3)]], REFS)
-    own = spark.createDataFrame([("e", n, "entry", f"k{n}") for n in range(3)], "table_name string, row_key bigint, target string, own_key string")
-    got = {(r.row_key, r.depth) for r in orphans.cascade(refs, spark.createDataFrame([("entry", f"k{n}", T, None) for n in range(3)], TARGETS), own).collect()}
+    refs = linked(spark, (0, "gone"), *[(n, f"k{(n + 1) % 3}") for n in range(3)])
+    got = {(r.row_key, r.depth) for r in orphans.cascade(refs, spark.createDataFrame([("entry", f"k{n}", T, None) for n in range(3)], TARGETS), ["entry"]).collect()}
     assert got == {(0, 0), (2, 1), (1, 2)}
 
 
