@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cluemill.operators.skew import all_salts, heavy_keys, salt
 from cluemill.session import materialize
 
 #: Default-ignorable code points of the Unicode standard.
@@ -119,23 +120,18 @@ def with_forms(texts: DataFrame, text: str, forms: tuple[str, ...] = ("look", "f
     return texts.mapInArrow(run, schema)
 
 
-#: Into how many parts the rows of one text, or the texts of one look, are spread in a join.
-SALTS = 8
-
-
-def same_looks(rows: DataFrame, key: str, text: str, salts: int = SALTS) -> DataFrame:
+def same_looks(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(first_key, key) of each row whose text looks like that of the row with the smallest key, but differs from it.
 
     Works on distinct texts: each with its smallest key (a minimum combines before the shuffle), normalised once and
-    written; each look with its smallest key; and only then the rows of texts that differ from their look's first text. Both joins are against one
-    row per key and part, so neither a text nor a look with a third of all rows is a single task. Keys are unique; rows
-    without a key or a text are left out.
+    written; each look with its smallest key; and only then the rows of texts that differ from their look's first text.
+    Both joins are against one row per key; the rows of a text, and the texts of a look, that are a large share of all
+    are spread over parts. Keys are unique; rows without a key or a text are left out.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    spread = F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int")
     rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna()
     texts = rows.groupBy("_text").agg(F.min("_key").alias("_key"))
     looks = materialize(with_forms(texts, "_text", ("look",)).where("look <> ''"))
-    firsts = looks.groupBy("look").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("look", "_first", parts.alias("_part"))
-    variants = looks.withColumn("_part", spread).join(firsts, ["look", "_part"]).where("_key <> _first").select("_text", "_first", parts.alias("_part"))
-    return rows.withColumn("_part", spread).join(variants, ["_text", "_part"]).select(F.col("_first").alias("first_key"), F.col("_key").alias("key"))
+    alike, often = heavy_keys(looks, "look"), heavy_keys(rows, "_text")
+    firsts = looks.groupBy("look").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("look", "_first", F.explode(all_salts(alike, ["look"])).alias("_part"))
+    variants = looks.withColumn("_part", salt(alike, ["look"], ["_key"])).join(firsts, ["look", "_part"]).where("_key <> _first").select("_text", "_first", F.explode(all_salts(often, ["_text"])).alias("_part"))
+    return rows.withColumn("_part", salt(often, ["_text"], ["_key"])).join(variants, ["_text", "_part"]).select(F.col("_first").alias("first_key"), F.col("_key").alias("key"))
