@@ -23,14 +23,6 @@ def anagram_groups(words: DataFrame) -> DataFrame:
     return groups.where(F.size("words") > 1).select("letters", F.size("words").cast("bigint").alias("n"), F.array_join("words", ",").alias("words"))
 
 
-def charades(words: DataFrame, least: int) -> DataFrame:
-    """(word, left, right): words made of two words of at least that many letters."""
-    cut = F.explode(F.sequence(F.lit(least), F.length("word") - least)).alias("cut")
-    splits = words.where(F.length("word") >= 2 * least).select("word", cut).select("word", F.substring("word", F.lit(1), F.col("cut")).alias("left"), F.expr("substring(word, cut + 1)").alias("right"))
-    keys = words.select(F.col("word").alias("part"))
-    return splits.join(keys.withColumnRenamed("part", "left"), "left", "left_semi").join(keys.withColumnRenamed("part", "right"), "right", "left_semi").select("word", "left", "right")
-
-
 def piece_charades(words: DataFrame, least: int) -> DataFrame:
     """(word, pieces): words made of two or three words of at least that many letters.
 
@@ -84,22 +76,46 @@ def neighbours(words: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
 
+#: Spellings and the sign that stands for their sound, applied in order.
+SOUNDS = (
+    ("^(kn|gn|pn)", "n"), ("^wr", "r"), ("^ps", "s"), ("^wh", "w"), ("ph", "f"), ("gh", ""), ("ck|q|x", "k"), ("sch|sh|ch", "S"), ("th", "T"), ("c([eiy])", "s$1"), ("c", "k"), ("dg", "j"), ("g([eiy])", "j$1"),
+    ("mb$", "m"), ("[aeiouy]+", "A"), ("e$", ""), ("([^A])\\1+", "$1"), ("[hw]", ""), ("z", "s"),
+)
+
+
+def phone_key(word: Column) -> Column:
+    """A rough key of how an English word sounds, by rules of spelling; for lexicons without phone keys of their own."""
+    for pattern, sign in SOUNDS:
+        word = F.regexp_replace(word, pattern, sign)
+    return word
+
+
 def homophones(words: DataFrame) -> DataFrame:
     """(phone, n, words): words (word, phone) that share a phone key."""
     groups = words.where(F.col("phone") != "").groupBy("phone").agg(F.array_sort(F.collect_set("word")).alias("words"))
     return groups.where(F.size("words") > 1).select("phone", F.size("words").cast("bigint").alias("n"), F.array_join("words", ",").alias("words"))
 
 
+#: Most letters of an abbreviation that is looked for in anagrams.
+ABBREVIATION_LETTERS = 3
+
+
 def abbreviation_anagrams(words: DataFrame, abbreviations: DataFrame, least: int = 3) -> DataFrame:
     """(word, abbreviation, other): words whose letters are those of an abbreviation and of another word of at least that many letters.
 
-    abbreviations: (abbreviation) in lower case, a fixed table; the work is the lexicon times its rows.
+    abbreviations: (abbreviation) in lower case, of ABBREVIATION_LETTERS at most; longer ones fail. Every way to take so
+    many letters out of a word is matched by the letters taken, so the work does not grow with the abbreviations.
     """
+    short = abbreviations.select("abbreviation", letter_key(F.col("abbreviation")).alias("taken")).where("abbreviation <> ''").distinct()
+    short = short.withColumn("taken", F.when(F.length("abbreviation") <= ABBREVIATION_LETTERS, F.col("taken")).otherwise(F.raise_error(F.lit("abbreviation too long"))))
     keyed = words.select("word", letter_key(F.col("word")).alias("key"))
-    at = lambda rest, letter: F.position(letter, rest)
-    less = lambda rest, letter: F.when(at(rest, letter) > 0, F.concat(F.substring(rest, F.lit(1), at(rest, letter) - 1), F.substring(rest, at(rest, letter) + 1, F.length(rest))))
-    taken = F.aggregate(F.split("abbreviation", ""), F.col("key"), lambda rest, letter: F.when(letter == "", rest).otherwise(less(rest, letter)))
-    left = keyed.crossJoin(F.broadcast(abbreviations.select("abbreviation").distinct())).select("word", "abbreviation", taken.alias("key")).where(F.length("key") >= least)
+    rest = keyed.select("word", F.lit("").alias("taken"), F.col("key").alias("rest"), F.lit(1).alias("from"))
+    found = None
+    for _ in range(ABBREVIATION_LETTERS):
+        at = F.explode(F.when(F.length("rest") >= F.col("from"), F.sequence(F.col("from"), F.length("rest")))).alias("at")
+        rest = rest.select("word", "taken", "rest", at).select("word", F.expr("concat(taken, substring(rest, at, 1))").alias("taken"), F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + 1))").alias("rest"), F.col("at").alias("from")).distinct()
+        found = rest if found is None else found.unionByName(rest)
+    left = found.where(F.length("rest") >= least).select("word", "taken", F.col("rest").alias("key")).distinct().join(short, "taken")
     return left.join(keyed.withColumnRenamed("word", "other"), "key").select("word", "abbreviation", "other")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cluemill.operators import annotations as notes
-from cluemill.operators import geometry, nested, ordering, scoring
+from cluemill.operators import geometry, nested, scoring
 from cluemill.plans import corpus as corpus_plans
 from cluemill.plans import problems
 from cluemill.plans.puzzles import _LET, _SORTED
@@ -51,8 +51,7 @@ def rating_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         attr("position.x").cast("int").alias("pos_x"), attr("position.y").cast("int").alias("pos_y"), attr("length").cast("int").alias("n_cells"),
     )
     checking = geometry.checking(geometry.cells(entries, ["raw_id", "node_id"]), "raw_id", "node_id").select("raw_id", F.col("unchecked").alias("checking"))
-    ranks = ordering.numbered(corpus_plans._lexicon(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank").select("word", "rank")
-    words = entries.select("raw_id", "node_id", F.explode(F.filter(F.split(F.lower("solution"), " "), lambda w: w != "")).alias("word")).join(ranks, "word", "left")
+    words = entries.select("raw_id", "node_id", F.explode(F.filter(F.split(F.lower("solution"), " "), lambda w: w != "")).alias("word")).join(corpus_plans.ranked(spark, sf_dir), "word", "left")
     worst = words.groupBy("raw_id", "node_id").agg(F.max(F.coalesce("rank", F.lit(UNKNOWN_RANK))).alias("worst"))
     obscurity = worst.groupBy("raw_id").agg(F.round(F.avg(F.log10(F.greatest("worst", F.lit(10)))), 6).alias("obscurity"))
     device = _device(entries, notes.gathered(rows, "raw_id")).select("raw_id", F.round("device", 6).alias("device"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cluemill.functions import text
 from cluemill.operators import filling, geometry, lexicon, ordering
 from cluemill.operators.topk import top_k
+from cluemill.plans import annotations, problems, puzzles
 from cluemill.plans import corpus as corpus_plans
-from cluemill.plans import puzzles
 from cluemill.session import table
 
 UNKNOWN_RANK = 60_000
-#: The reference's 11 x 11 grid: 20 entries of 4 to 10 letters, symmetric.
+#: Fixed value: an 11 x 11 grid of 20 entries of 4 to 10 letters, symmetric.
 PATTERN = (
     "....#......", ".#.#.#.#.#.", ".....#.....", ".#.#.#.#.#.", ".........##", ".###.#.###.", "##.........", ".#.#.#.#.#.", ".....#.....", ".#.#.#.#.#.", "......#....",
 )
@@ -100,10 +100,9 @@ def slot_candidates(spark, sf_dir):
     return _latest(spark, sf_dir).where("solution IS NOT NULL").select("puzzle_id", "entry_id", mask("solution").alias("mask")).join(known, "mask")
 
 
-def obscurity(spark, sf_dir, words_of=corpus_plans._lexicon):
+def obscurity(spark, sf_dir):
     """Per puzzle the mean logarithm of the rank of its entries' solutions among the documents' words."""
-    ranks = ordering.numbered(words_of(spark, sf_dir), [F.col("n").desc(), F.col("word")], "rank").select("word", "rank")
-    rows = _latest(spark, sf_dir).where("solution IS NOT NULL").select("puzzle_id", F.lower("solution").alias("word")).join(ranks, "word", "left")
+    rows = _latest(spark, sf_dir).where("solution IS NOT NULL").select("puzzle_id", F.lower("solution").alias("word")).join(corpus_plans.ranked(spark, sf_dir), "word", "left")
     value = F.log10(F.greatest(F.coalesce("rank", F.lit(UNKNOWN_RANK)), F.lit(10)))
     return rows.groupBy("puzzle_id").agg(F.round(F.avg(value), 6).alias("obscurity"))
 
@@ -119,44 +118,46 @@ def _scored(words, hooks):
 
 
 def clueability(spark, sf_dir):
-    """Score of each word of the lexicon by what can be done with its letters, 100 at most, and the codes of that."""
+    """Score of each word of the lexicon by what can be done with its letters, 100 at most, and the codes of that.
+
+    Anagrams, charades of two or three pieces, containers, words backwards (R) or, with half their points, a word of four
+    letters backwards inside a word that is none itself backwards (r), neighbours, homophones, near anagrams.
+    """
     words = corpus_plans._lexicon(spark, sf_dir).select("word")
+    whole = lexicon.reversals(words, 2).where("word <> turned")
+    split = lambda rows: rows.select(F.explode(F.split("words", ",")).alias("word"))
     return _scored(words, [
-        ("A", 30, lexicon.anagram_groups(words).select(F.explode(F.split("words", ",")).alias("word"))), ("C", 25, lexicon.charades(words, 3)), ("X", 20, lexicon.containers(words, 3, 3)),
-        ("R", 20, lexicon.reversals(words, 3)), ("D", 15, lexicon.deletions(words)), ("N", 10, lexicon.near_anagrams(words)),
+        ("A", 30, split(lexicon.anagram_groups(words))), ("C", 25, lexicon.piece_charades(words, 2)), ("X", 20, lexicon.containers(words, 2, 2)),
+        ("R", 20, whole), ("r", 10, lexicon.reversed_parts(words, 4).join(whole, "word", "left_anti")), ("D", 15, lexicon.neighbours(words)), ("H", 12, split(corpus_plans.homophones(spark, sf_dir))), ("N", 10, lexicon.near_anagrams(words)),
     ])
 
 
-def full_clueability(spark, sf_dir):
-    """The same over the full lexicon, with charades of two or three pieces from two letters on, containers round two, neighbours
-    on both sides and, as r with half of R's points, a word of four letters backwards inside a word that is none itself backwards.
+def clueability_top(spark, sf_dir):
+    """The three best words of each length from 3 letters on, by score and then the last in the alphabet."""
+    rows = clueability(spark, sf_dir).select(F.length("word").alias("n_letters"), "word", "score").where("n_letters >= 3")
+    return top_k(rows, ["n_letters"], [F.col("score").desc(), F.col("word").desc()], 3)
+
+
+def abbreviation_anagrams(spark, sf_dir):
+    """Words whose letters are those of an abbreviation and another word; abbreviations are the one or two letters that blocks of the documents give.
 
-    Homophones and abbreviations are not scored: no table of the data has phone keys or abbreviations.
+    Fewer than 26 + 26 x 26 abbreviations, whatever the documents.
     """
-    words = corpus_plans._full_lexicon(spark, sf_dir).select("word")
-    whole = lexicon.reversals(words, 2).where("word <> turned")
-    return _scored(words, [
-        ("A", 30, lexicon.anagram_groups(words).select(F.explode(F.split("words", ",")).alias("word"))), ("C", 25, lexicon.piece_charades(words, 2)), ("X", 20, lexicon.containers(words, 2, 2)),
-        ("R", 20, whole), ("r", 10, lexicon.reversed_parts(words, 4).join(whole, "word", "left_anti")), ("D", 15, lexicon.neighbours(words)), ("N", 10, lexicon.near_anagrams(words)),
-    ])
+    gives = annotations._rows(spark, sf_dir, "blocks").select(F.lower(F.col("attributes")["gives"]).alias("abbreviation")).where("abbreviation RLIKE '^[a-z]{1,2}$'").distinct()
+    return lexicon.abbreviation_anagrams(corpus_plans._lexicon(spark, sf_dir), gives)
 
 
-def vetoed_words(spark, sf_dir, words_of=corpus_plans._lexicon):
+def vetoed_words(spark, sf_dir):
     """Lexicon words that are no solution yet."""
     used = table(spark, sf_dir, "clue_entry").where("solution IS NOT NULL").select(F.lower("solution").alias("word"))
-    return words_of(spark, sf_dir).join(used, "word", "left_anti").select("word")
+    return corpus_plans._lexicon(spark, sf_dir).join(used, "word", "left_anti").select("word")
 
 
 def first_charades(spark, sf_dir):
-    """The first charade of each word by the place of its cut."""
-    rows = corpus_plans.charade_splits(spark, sf_dir).withColumn("cut", F.length("left"))
-    return top_k(rows, ["word"], [F.col("cut")], 1).select("word", "left", "right")
-
-
-def full_first_charades(spark, sf_dir):
-    """The first charade of each word over the full lexicon: two pieces before three, then by the places of the cuts."""
-    rows = corpus_plans.full_charade_splits(spark, sf_dir)
-    return top_k(rows, ["word"], [F.size("pieces"), F.length(F.get("pieces", F.lit(0))), F.length(F.get("pieces", F.lit(1)))], 1).select("word", "pieces")
+    """The first four charades of each word: two pieces before three, then by the places of the cuts."""
+    rows = lexicon.piece_charades(corpus_plans._lexicon(spark, sf_dir), 2)
+    best = top_k(rows, ["word"], [F.size("pieces"), F.length(F.get("pieces", F.lit(0))), F.length(F.get("pieces", F.lit(1)))], 4)
+    return best.select("word", F.array_join("pieces", "+").alias("pieces"), "place")
 
 
 def hint_depth(spark, sf_dir):
@@ -184,21 +185,29 @@ def grid_fill(spark, sf_dir):
 
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
-obscurity clueability vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
-FULL = {f"full_{query.__name__}": corpus_plans._full(query) for query in (obscurity, vetoed_words)} | {f.__name__: f for f in (full_clueability, full_first_charades)}
-QUERIES = {name: globals()[name] for name in NAMES} | FULL
+obscurity clueability clueability_top abbreviation_anagrams vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
+QUERIES = {name: globals()[name] for name in NAMES}
 
 _E, _C, _L, _I = puzzles._E, puzzles._C, corpus_plans._L, puzzles._I
 _BARE = r"trim(regexp_replace(clue, '\s*\([0-9][0-9, -]*\)\s*$', ''), ' ')"
 _ENUM = r"regexp_extract(clue, '\(([0-9][0-9, -]*)\)\s*$', 1)"
 _USED = _C + ", u AS (SELECT *, count(*) OVER (PARTITION BY puzzle_id, x, y) AS used FROM c), k AS (SELECT puzzle_id, entry_id, count(*) FILTER (used > 1) AS checked, count(*) FILTER (used = 1) AS unchecked FROM u GROUP BY 1, 2)"
 _MASK = "array_to_string(list_transform(string_split(solution, ''), lambda l, n: CASE WHEN n % 2 = 1 THEN l ELSE '.' END), '')"
+_WHOLE = "(SELECT word FROM w WHERE word <> reverse(word) AND reverse(word) IN (SELECT word FROM w))"
 _HOOKS = (
     ("A", 30, f"SELECT word FROM (SELECT word, count(*) OVER (PARTITION BY {corpus_plans._KEYED}) AS k FROM w) WHERE k > 1"),
     ("C", 25, f"SELECT word FROM ({corpus_plans.SQL['charade_splits']})"), ("X", 20, f"SELECT word FROM ({corpus_plans.SQL['container_splits']})"),
-    ("R", 20, "SELECT word FROM w WHERE reverse(word) IN (SELECT word FROM w)"), ("D", 15, f"SELECT word FROM ({corpus_plans.SQL['edit_distance_one']})"), ("N", 10, f"SELECT word FROM ({corpus_plans.SQL['near_anagrams']})"),
+    ("R", 20, _WHOLE), ("r", 10, f"SELECT word FROM ({corpus_plans.SQL['reversed_parts']}) WHERE word NOT IN {_WHOLE}"), ("D", 15, f"SELECT word FROM ({corpus_plans.SQL['edit_distance_one']})"),
+    ("H", 12, f"SELECT unnest(string_split(words, ',')) AS word FROM ({corpus_plans.SQL['homophones']})"), ("N", 10, f"SELECT word FROM ({corpus_plans.SQL['near_anagrams']})"),
 )
+_CLUEABLE = f"WITH {_L}, h AS (" + " UNION ALL ".join(f"SELECT DISTINCT word, '{c}' AS code, {p} AS points, {n} AS n FROM ({q})" for n, (c, p, q) in enumerate(_HOOKS)) + "), s AS (SELECT word, CAST(least(100, sum(points)) AS BIGINT) AS score, string_agg(code, '' ORDER BY n) AS hooks FROM h GROUP BY 1) SELECT w.word, coalesce(score, 0) AS score, coalesce(hooks, '-') AS hooks FROM w LEFT JOIN s USING (word)"
 SQL = {
+    "clueability_top": f"SELECT n_letters, word, score, place FROM (SELECT CAST(length(word) AS INTEGER) AS n_letters, word, score, CAST(row_number() OVER (PARTITION BY length(word) ORDER BY score DESC, word DESC) AS INTEGER) AS place FROM ({_CLUEABLE})) WHERE n_letters >= 3 AND place <= 3",
+    "abbreviation_anagrams": f"""WITH w AS (WITH {_L} SELECT word FROM w), ab AS (WITH {problems._NODES} SELECT DISTINCT lower(x ->> '$.gives') AS abbreviation FROM c WHERE f = 'blocks' AND regexp_matches(lower(x ->> '$.gives'), '^[a-z]{{1,2}}$')),
+y AS (SELECT word, list_sort(string_split(word, '')) AS l FROM w), o AS (SELECT word AS other, array_to_string(l, '') AS key FROM y),
+r AS (SELECT DISTINCT word, l[i] AS taken, array_to_string(list_filter(l, lambda x, n: n <> i), '') AS key FROM (SELECT word, l, unnest(range(1, len(l) + 1)) AS i FROM y)
+UNION SELECT DISTINCT word, l[i] || l[j], array_to_string(list_filter(l, lambda x, n: n <> i AND n <> j), '') FROM (SELECT word, l, i, unnest(range(i + 1, len(l) + 1)) AS j FROM (SELECT word, l, unnest(range(1, len(l) + 1)) AS i FROM y)))
+SELECT word, abbreviation, other FROM r JOIN ab ON array_to_string(list_sort(string_split(abbreviation, '')), '') = taken JOIN o USING (key) WHERE length(key) >= 3""",
     "multiset_diff": f"WITH {_E}, q AS (SELECT puzzle_id, entry_id, {puzzles._LET('answer')} AS a, {puzzles._LET('definition')} AS s FROM e WHERE answer IS NOT NULL AND definition IS NOT NULL), l AS (SELECT puzzle_id, entry_id, unnest(string_split(a, '')) AS letter, 1 AS d FROM q UNION ALL SELECT puzzle_id, entry_id, unnest(string_split(s, '')), -1 FROM q), g AS (SELECT puzzle_id, entry_id, letter, sum(d) AS d FROM l WHERE letter <> '' GROUP BY 1, 2, 3 HAVING sum(d) <> 0) SELECT puzzle_id, entry_id, coalesce(string_agg(repeat(letter, CAST(d AS INTEGER)), '' ORDER BY letter) FILTER (d > 0), '') AS extra, coalesce(string_agg(repeat(letter, CAST(-d AS INTEGER)), '' ORDER BY letter) FILTER (d < 0), '') AS missing FROM g GROUP BY 1, 2",
     "definition_place": f"WITH {_E}, b AS (SELECT {_BARE} AS bare, definition FROM e WHERE clue IS NOT NULL AND definition <> '') SELECT CASE WHEN starts_with(bare, definition) THEN 'start' WHEN ends_with(bare, definition) THEN 'end' WHEN contains(bare, definition) THEN 'inside' ELSE 'absent' END AS place, count(*) AS n FROM b GROUP BY 1",
     "redacted_clues": f"WITH {_E} SELECT puzzle_id, entry_id, replace(clue, definition, '___') AS clue FROM e WHERE clue IS NOT NULL AND definition <> ''",
@@ -213,9 +222,9 @@ UNION ALL SELECT puzzle_id, 'short-entry', count(*) FROM e WHERE n_cells < 3 GRO
 UNION ALL SELECT puzzle_id, 'unchecked-run', count(*) FROM m WHERE longest > 2 GROUP BY 1""",
     "slot_candidates": f"WITH {_E}, s AS (SELECT puzzle_id, entry_id, solution, {_MASK} AS mask FROM e WHERE solution IS NOT NULL), g AS (SELECT mask, count(DISTINCT solution) AS n_words FROM s GROUP BY 1) SELECT puzzle_id, entry_id, mask, n_words FROM s JOIN g USING (mask)",
     "obscurity": f"WITH {_L}, {_E}, r AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rank FROM w) SELECT puzzle_id, round(avg(log10(greatest(coalesce(rank, {UNKNOWN_RANK}), 10))), 6) AS obscurity FROM e LEFT JOIN r ON r.word = lower(solution) WHERE solution IS NOT NULL GROUP BY 1",
-    "clueability": f"WITH {_L}, h AS (" + " UNION ALL ".join(f"SELECT DISTINCT word, '{c}' AS code, {p} AS points, {n} AS n FROM ({q})" for n, (c, p, q) in enumerate(_HOOKS)) + "), s AS (SELECT word, CAST(least(100, sum(points)) AS BIGINT) AS score, string_agg(code, '' ORDER BY n) AS hooks FROM h GROUP BY 1) SELECT w.word, coalesce(score, 0) AS score, coalesce(hooks, '-') AS hooks FROM w LEFT JOIN s USING (word)",
+    "clueability": _CLUEABLE,
     "vetoed_words": f"WITH {_L} SELECT word FROM w WHERE word NOT IN (SELECT lower(solution) FROM clue_entry WHERE solution IS NOT NULL)",
-    "first_charades": f"SELECT word, \"left\", \"right\" FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY length(\"left\")) AS k FROM ({corpus_plans.SQL['charade_splits']})) WHERE k = 1",
+    "first_charades": f"WITH {_L}, {corpus_plans._CHARADES}, r AS (SELECT word, pieces, CAST(row_number() OVER (PARTITION BY word ORDER BY len(pieces), length(pieces[1]), length(pieces[2])) AS INTEGER) AS place FROM ch) SELECT word, array_to_string(pieces, '+') AS pieces, place FROM r WHERE place <= 4",
     "hint_depth": "WITH h AS (SELECT reveals_used, unnest(map_entries(hints_shown)) AS e FROM play_save) SELECT CAST(len(list_distinct(e.value)) AS INTEGER) AS depth, count(*) AS n, count(*) FILTER (reveals_used > 0) AS n_revealed FROM h GROUP BY 1",
     "month_weekday": f"WITH {_I} SELECT strftime(make_timestamp(published_ms * 1000), '%Y-%m') AS month, CAST(isodow(make_timestamp(published_ms * 1000)) - 1 AS INTEGER) AS weekday, count(*) AS n FROM i WHERE published_ms IS NOT NULL GROUP BY 1, 2",
 }

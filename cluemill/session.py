@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built_once(spark: SparkSession, path: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes from the files at path, written by the first query of the application that asks for it.
+
+    It is made anew where the files have changed since (by their time and size).
+    """
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, path, files.getFileStatus(hadoop_path).getModificationTime(), files.getContentSummary(hadoop_path).getLength(), name)
+    if key not in _BUILT:
+        _BUILT[key] = materialize(build())
+    return _BUILT[key]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared checkpoint folder and read back.
 

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cluemill.operators import drift, filling, lexicon, scoring
 from cluemill.plans import corpus, puzzles, wordplay
@@ -82,16 +83,39 @@ def test_anagrams_with_an_abbreviation(spark):
     df = spark.createDataFrame([(w,) for w in "earth rate tear hat teeth".split()], "word string")
     short = spark.createDataFrame([("h",), ("he",), ("ee",), ("ray",)], "abbreviation string")
     assert {tuple(r) for r in lexicon.abbreviation_anagrams(df, short).collect()} == {("earth", "h", "rate"), ("earth", "h", "tear")}
+    df = spark.createDataFrame([(w,) for w in "tea teapots pots".split()], "word string")
+    assert {tuple(r) for r in lexicon.abbreviation_anagrams(df, spark.createDataFrame([("aet",), ("st",)], "abbreviation string")).collect()} == {("teapots", "aet", "pots")}
+    with pytest.raises(Exception, match="too long"):
+        lexicon.abbreviation_anagrams(df, spark.createDataFrame([("abcd",)], "abbreviation string")).collect()
 
 
-def test_full_lexicon_has_two_to_fifteen_letters(spark, tmp_path):
+def test_phone_keys(spark):
+    pairs = [("knight", "night"), ("phone", "fone"), ("write", "rite"), ("cell", "sell"), ("lamb", "lam"), ("sea", "see")]
+    df = spark.createDataFrame([(w,) for p in pairs for w in p], "word string").select("word", lexicon.phone_key(F.col("word")).alias("k"))
+    keys = {r.word: r.k for r in df.collect()}
+    assert all(keys[a] == keys[b] for a, b in pairs) and len(set(keys.values())) == len(pairs)
+
+
+def test_lexicon_has_two_to_fifteen_letters(spark, tmp_path):
     text = "to in into extraordinarily responsibility a antidisestablish characteristic"
     spark.createDataFrame([(n, text, "en", len(text)) for n in range(3)], "doc_id int, text string, lang string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {r.word for r in corpus.FULL["full_word_familiarity"](spark, str(tmp_path)).collect()} == {"to", "in", "into", "extraordinarily", "responsibility", "characteristic"}
-    scores = {r.word: r.hooks for r in wordplay.full_clueability(spark, str(tmp_path)).collect()}
+    assert {r.word for r in corpus.word_familiarity(spark, str(tmp_path)).collect()} == {"to", "in", "into", "extraordinarily", "responsibility", "characteristic"}
+    scores = {r.word: r.hooks for r in wordplay.clueability(spark, str(tmp_path)).collect()}
     assert "C" in scores["into"] and len(scores) == 6
 
 
+def test_built_once_sees_new_files(spark, tmp_path):
+    from cluemill.session import built_once
+
+    path = str(tmp_path / "t.parquet")
+    made = []
+    build = lambda: made.append(1) or spark.read.parquet(path)
+    spark.range(3).write.parquet(path)
+    assert built_once(spark, path, "x", build).count() == built_once(spark, path, "x", build).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert built_once(spark, path, "x", build).count() == 5 and len(made) == 2
+
+
 def table_of(spark, reader, *bodies):
     at = dt.datetime(2024, 1, 1)
     rows = [("f", f"file{n}", at + n * dt.timedelta(days=1), body) for n, body in enumerate(bodies)]
