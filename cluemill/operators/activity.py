@@ -14,8 +14,9 @@ def micros(c: str) -> Column:
 
 
 def daily_pivot(events: DataFrame, at: str, name: str, vocabulary: Sequence[str]) -> DataFrame:
-    """Events per day, a column per name of the vocabulary in its order; 0 where a day has none."""
-    return events.groupBy(F.to_date(at).alias("day")).agg(*[F.count_if(F.col(name) == v).alias(v) for v in vocabulary])
+    """Events per day, a column per name of the vocabulary in its order and one for all others; 0 where a day has none."""
+    other = F.count_if(~F.coalesce(F.col(name).isin(*vocabulary), F.lit(False))).alias("other")
+    return events.groupBy(F.to_date(at).alias("day")).agg(*[F.count_if(F.col(name) == v).alias(v) for v in vocabulary], other)
 
 
 def funnel(events: DataFrame, name: str, opening: str) -> DataFrame:

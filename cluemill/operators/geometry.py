@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,60 @@ def not_symmetric(cell_rows: DataFrame, grid: str, rows: str, cols: str) -> Data
     return lit.join(turned, [grid, "x", "y"], "left_anti").select(grid, "x", "y")
 
 
+def through_cuts(lit: DataFrame, grid: str) -> DataFrame:
+    """(grid, least): over all borders between neighbouring rows and between neighbouring columns, the least number of places
+    where both sides are open."""
+    def borders(along: str, other: str) -> DataFrame:
+        next_ = lit.select(grid, other, (F.col(along) - 1).alias(along))
+        return lit.join(next_, [grid, "x", "y"]).groupBy(grid, F.col(along).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+    return borders("y", "x").unionByName(borders("x", "y")).groupBy(grid).agg(F.min("n").alias("least"))
+
+
+def _roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    """The least member of each one's component, by union and find."""
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(n)]
+
+
+def regions(lit: DataFrame, grid: str) -> DataFrame:
+    """(grid, x, y, region): connected parts of each grid's open cells, numbered by their first cell in reading order.
+
+    A grid is one group: it has as many cells as rows times columns, whatever the number of grids.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x", "ascending")])
+        cells = list(zip(table.column("x").to_pylist(), table.column("y").to_pylist()))
+        at = {cell: n for n, cell in enumerate(cells)}
+        pairs = [(at[x, y], at[near]) for x, y in cells for near in ((x + 1, y), (x, y + 1)) if near in at]
+        return table.select([grid, "x", "y"]).append_column("region", pa.array(_roots(len(cells), pairs), pa.int32()))
+
+    types = dict(lit.dtypes)
+    return lit.select(grid, "x", "y").distinct().groupBy(grid).applyInArrow(run, f"`{grid}` {types[grid]}, x {types['x']}, y {types['y']}, region int")
+
+
+def group_components(edges: DataFrame, group: str) -> DataFrame:
+    """(group, id, component): the smallest id reachable from each over undirected edges (group, a, b) within its group; an
+    edge from an id to itself is a node alone. For groups that fit a task; components is for graphs without any."""
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
+        ids = sorted({*a, *b})
+        at = {k: n for n, k in enumerate(ids)}
+        roots = _roots(len(ids), [(at[x], at[y]) for x, y in zip(a, b)])
+        return pa.table({group: pa.repeat(table.column(group)[0], len(ids)), "id": pa.array(ids, pa.string()), "component": pa.array([ids[r] for r in roots], pa.string())})
+
+    return edges.select(group, "a", "b").groupBy(group).applyInArrow(run, f"`{group}` {dict(edges.dtypes)[group]}, id string, component string")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each node over undirected edges (a, b).
 

@@ -152,10 +152,11 @@ def start_numbers(spark, sf_dir):
 
 
 def grid_components(spark, sf_dir):
-    """Connected regions of entries per puzzle, entries that share a cell being connected."""
-    entries = _latest(spark, sf_dir).select(F.concat_ws("/", "puzzle_id", "entry_id").alias("id"))
-    edges = geometry.crossings(_cells(spark, sf_dir), "puzzle_id", "entry_id").select(F.concat_ws("/", "puzzle_id", "entry").alias("a"), F.concat_ws("/", "puzzle_id", "other").alias("b"))
-    return geometry.components(entries, edges)
+    """Connected regions of entries per puzzle, entries that share a cell being connected; a puzzle's entries are one task."""
+    name = lambda entry: F.concat_ws("/", "puzzle_id", entry)
+    alone = _latest(spark, sf_dir).select("puzzle_id", name("entry_id").alias("a"), name("entry_id").alias("b"))
+    edges = geometry.crossings(_cells(spark, sf_dir), "puzzle_id", "entry_id").where("entry < other").select("puzzle_id", name("entry").alias("a"), name("other").alias("b")).distinct()
+    return geometry.group_components(alone.unionByName(edges), "puzzle_id").select("id", "component")
 
 
 def solution_round_trip(spark, sf_dir):

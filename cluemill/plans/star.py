@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cluemill.operators import geometry, scoring
+from cluemill.operators import geometry, ordering, scoring
 from cluemill.session import table
 
 WEIGHTS = {"price": 0.5, "size": 0.3, "odd": 0.2}
@@ -84,7 +84,9 @@ def day_runs(spark, sf_dir):
 
 def min_median_max(spark, sf_dir):
     """Least, upper median and greatest price, and a histogram of width 200."""
-    return table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_retailprice") / 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"))
+    rows = table(spark, sf_dir, "part").withColumn("bin", F.floor(F.col("p_retailprice") / 200))
+    middle = ordering.value_quantiles(rows, ["bin"], "p_retailprice", (50,)).select("bin", F.col("value").alias("middle"))
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most")).join(middle, "bin")
 
 
 def best_tuple(spark, sf_dir):
@@ -114,6 +116,6 @@ SQL = {
     "anti_both_ways": "SELECT c_custkey, 'no order' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995) UNION ALL SELECT DISTINCT o_custkey, 'no customer' FROM orders WHERE year(o_orderdate) = 1995 AND o_custkey NOT IN (SELECT c_custkey FROM customer)",
     "span_depth": "WITH x AS (SELECT l_partkey, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS d, 1 AS s FROM lineitem UNION ALL SELECT l_partkey, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + 3, -1 FROM lineitem), g AS (SELECT l_partkey, d, sum(s) AS s FROM x GROUP BY 1, 2), r AS (SELECT l_partkey, sum(s) OVER (PARTITION BY l_partkey ORDER BY d) AS depth FROM g) SELECT l_partkey, CAST(max(depth) AS BIGINT) AS depth FROM r GROUP BY 1",
     "day_runs": "WITH d AS (SELECT DISTINCT o_orderpriority, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders), i AS (SELECT o_orderpriority, d - row_number() OVER (PARTITION BY o_orderpriority ORDER BY d) AS i FROM d) SELECT o_orderpriority, max(n) AS longest FROM (SELECT o_orderpriority, i, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1",
-    "min_median_max": "SELECT CAST(floor(p_retailprice / 200) AS BIGINT) AS bin, count(*) AS n, min(p_retailprice) AS least, max(p_retailprice) AS most FROM part GROUP BY 1",
+    "min_median_max": "WITH p AS (SELECT CAST(floor(p_retailprice / 200) AS BIGINT) AS bin, p_retailprice AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY bin) AS n FROM p) SELECT bin, max(n) AS n, min(v) AS least, max(v) AS most, max(v) FILTER (k = n // 2) AS middle FROM r GROUP BY 1",
     "best_tuple": "SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey DESC) AS k FROM part) WHERE k = 1",
 }

@@ -148,7 +148,7 @@ _SESSIONS = """WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTI
 s AS (SELECT *, sum(CASE WHEN gap_us IS NULL OR gap_us > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM g)"""
 _SAVES = "WITH s AS (SELECT *, lower(trim(puzzle_id, E' \\t\\n\\r')) AS puzzle FROM play_save)"
 SQL = {
-    "usage_daily_pivot": "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{v}') AS {v}" for v in VOCABULARY) + " FROM events GROUP BY 1",
+    "usage_daily_pivot": "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{v}') AS {v}" for v in VOCABULARY) + f", count(*) FILTER (event_type IS NULL OR event_type NOT IN {VOCABULARY}) AS other FROM events GROUP BY 1",
     "usage_totals": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "usage_funnel": "SELECT event_type AS name, count(*) AS n, round(count(*) / (SELECT count(*) FROM events WHERE event_type = 'view'), 6) AS share FROM events GROUP BY 1",
     "last_n_active_days": "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7",

@@ -46,11 +46,11 @@ def redacted_clues(spark, sf_dir):
 
 
 def usable_clues(spark, sf_dir):
-    """Clues of at least 12 characters without brackets of other kinds whose enumeration sums up to the answer."""
+    """Clues of at least 12 characters whose enumeration sums up to the answer, without brackets of other kinds, references to other entries or the answer itself."""
     sizes = text.enumeration_sizes(text.enumeration(F.col("clue")))
     total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
     rows = _latest(spark, sf_dir).where("length(clue) >= 12 AND answer IS NOT NULL")
-    return rows.where((total == F.length(text.letters(F.col("answer")))) & (text.enumeration(F.col("clue")) != "") & ~F.col("clue").rlike(r"[{}\[\]<>]")).select("clue_id")
+    return rows.where((total == F.length(text.letters(F.col("answer")))) & (text.enumeration(F.col("clue")) != "") & ~F.col("clue").rlike(r"[{}\[\]<>]") & ~F.lower("clue").rlike(r"\b\d+ ?(?:across|down|ac|dn)\b") & ~F.contains(text.letters(F.col("clue")), text.letters(F.col("answer")))).select("clue_id")
 
 
 def rival_clues(spark, sf_dir):
@@ -76,10 +76,8 @@ def checked_counts(spark, sf_dir):
 
 
 def through_cuts(spark, sf_dir):
-    """Per grid the least number of columns in which two neighbouring rows are both open."""
-    lit = _cells(spark, sf_dir).select("puzzle_id", "x", "y").distinct()
-    below = lit.select("puzzle_id", "x", (F.col("y") - 1).alias("y"))
-    return lit.join(below, ["puzzle_id", "x", "y"]).groupBy("puzzle_id", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("puzzle_id").agg(F.min("n").alias("least"))
+    """Per grid the least number of places in which two neighbouring rows or columns are both open."""
+    return geometry.through_cuts(_cells(spark, sf_dir).select("puzzle_id", "x", "y").distinct(), "puzzle_id")
 
 
 def grid_rules(spark, sf_dir):
@@ -211,11 +209,11 @@ SELECT word, abbreviation, other FROM r JOIN ab ON array_to_string(list_sort(str
     "multiset_diff": f"WITH {_E}, q AS (SELECT puzzle_id, entry_id, {puzzles._LET('answer')} AS a, {puzzles._LET('definition')} AS s FROM e WHERE answer IS NOT NULL AND definition IS NOT NULL), l AS (SELECT puzzle_id, entry_id, unnest(string_split(a, '')) AS letter, 1 AS d FROM q UNION ALL SELECT puzzle_id, entry_id, unnest(string_split(s, '')), -1 FROM q), g AS (SELECT puzzle_id, entry_id, letter, sum(d) AS d FROM l WHERE letter <> '' GROUP BY 1, 2, 3 HAVING sum(d) <> 0) SELECT puzzle_id, entry_id, coalesce(string_agg(repeat(letter, CAST(d AS INTEGER)), '' ORDER BY letter) FILTER (d > 0), '') AS extra, coalesce(string_agg(repeat(letter, CAST(-d AS INTEGER)), '' ORDER BY letter) FILTER (d < 0), '') AS missing FROM g GROUP BY 1, 2",
     "definition_place": f"WITH {_E}, b AS (SELECT {_BARE} AS bare, definition FROM e WHERE clue IS NOT NULL AND definition <> '') SELECT CASE WHEN starts_with(bare, definition) THEN 'start' WHEN ends_with(bare, definition) THEN 'end' WHEN contains(bare, definition) THEN 'inside' ELSE 'absent' END AS place, count(*) AS n FROM b GROUP BY 1",
     "redacted_clues": f"WITH {_E} SELECT puzzle_id, entry_id, replace(clue, definition, '___') AS clue FROM e WHERE clue IS NOT NULL AND definition <> ''",
-    "usable_clues": f"WITH {_E} SELECT clue_id FROM e WHERE length(clue) >= 12 AND answer IS NOT NULL AND {_ENUM} <> '' AND coalesce(list_sum(list_transform(regexp_extract_all({_ENUM}, '[0-9]+'), lambda x: CAST(x AS INTEGER))), 0) = length({puzzles._LET('answer')}) AND NOT regexp_matches(clue, '[{{}}\\[\\]<>]')",
+    "usable_clues": f"WITH {_E} SELECT clue_id FROM e WHERE length(clue) >= 12 AND answer IS NOT NULL AND {_ENUM} <> '' AND coalesce(list_sum(list_transform(regexp_extract_all({_ENUM}, '[0-9]+'), lambda x: CAST(x AS INTEGER))), 0) = length({puzzles._LET('answer')}) AND NOT regexp_matches(clue, '[{{}}\\[\\]<>]') AND NOT regexp_matches(lower(clue), '\\b\\d+ ?(?:across|down|ac|dn)\\b') AND NOT contains({puzzles._LET('clue')}, {puzzles._LET('answer')})",
     "rival_clues": f"WITH {_E}, r AS (SELECT answer, clue_id, CAST(row_number() OVER (PARTITION BY answer ORDER BY length(clue) DESC, clue_id) AS INTEGER) AS place FROM e WHERE answer IS NOT NULL AND clue IS NOT NULL) SELECT * FROM r WHERE place <= 3",
     "clue_packets": f"WITH {_E} SELECT puzzle_id, md5(string_agg(concat_ws(' ', entry_no, direction, clue), chr(10) ORDER BY direction, entry_no, entry_id)) AS packet, count(*) AS n FROM e WHERE clue IS NOT NULL GROUP BY 1",
     "checked_counts": f"WITH {_USED} SELECT * FROM k",
-    "through_cuts": f"WITH {_C}, l AS (SELECT DISTINCT puzzle_id, x, y FROM c), j AS (SELECT l.puzzle_id, l.y, count(*) AS n FROM l JOIN l o ON o.puzzle_id = l.puzzle_id AND o.x = l.x AND o.y = l.y + 1 GROUP BY 1, 2) SELECT puzzle_id, min(n) AS least FROM j GROUP BY 1",
+    "through_cuts": f"WITH {_C}, l AS (SELECT DISTINCT puzzle_id, x, y FROM c), j AS (SELECT l.puzzle_id, 'y' AS d, l.y AS at, count(*) AS n FROM l JOIN l o ON o.puzzle_id = l.puzzle_id AND o.x = l.x AND o.y = l.y + 1 GROUP BY 1, 2, 3 UNION ALL SELECT l.puzzle_id, 'x', l.x, count(*) FROM l JOIN l o ON o.puzzle_id = l.puzzle_id AND o.y = l.y AND o.x = l.x + 1 GROUP BY 1, 2, 3) SELECT puzzle_id, min(n) AS least FROM j GROUP BY 1",
     "grid_rules": f"""WITH {_USED}, d AS (SELECT DISTINCT puzzle_id, x, y FROM c), a AS ({puzzles.SQL['rot_symmetry']}), m AS ({puzzles.SQL['unchecked_runs']})
 SELECT puzzle_id, 'asymmetric' AS code, n_cells AS n FROM a UNION ALL SELECT puzzle_id, 'outside', count(*) FROM c WHERE x NOT BETWEEN 0 AND 14 OR y NOT BETWEEN 0 AND 14 GROUP BY 1
 UNION ALL SELECT puzzle_id, 'short-entry', count(*) FROM e WHERE n_cells < 3 GROUP BY 1 UNION ALL SELECT puzzle_id, 'under-checked', count(*) FROM k WHERE unchecked > checked + CASE WHEN unchecked + checked >= 9 THEN 1 ELSE 0 END GROUP BY 1

@@ -17,6 +17,37 @@ def event_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def file_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Rows of the Parquet files of a folder whose names match, as a stream."""
+    schema = spark.read.parquet(f"{folder}/{pattern}").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def merge_stream(pushes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The table of merged saves after a stream of pushes: each batch is merged into a new version of the table.
+
+    Merging takes greatest and least values only, so a batch that comes late or again changes nothing it should not, and
+    no watermark drops anything.
+    """
+    import uuid
+
+    from cluemill.operators.merge import merge_saves, upsert
+
+    spark = pushes.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/merged-{uuid.uuid4().hex}"
+    newest: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        at = f"{base}/version={number}"
+        merged = upsert(spark.read.parquet(newest[-1]), batch, keys) if newest else merge_saves(batch, keys).drop("n_pushes")
+        merged.write.mode("overwrite").parquet(at)
+        newest.append(at)
+
+    pushes.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(newest[-1]) if newest else merge_saves(spark.createDataFrame([], pushes.schema), keys).drop("n_pushes")
+
+
 def known(events: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
     return events.where(F.col("event_type").isin(*vocabulary))
 
