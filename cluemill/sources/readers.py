@@ -21,15 +21,18 @@ def marked_documents(spark: SparkSession, folder: str, pattern: str = "*-[0-9]*.
 
 
 def find_one(ids: DataFrame, key: str, wanted: str) -> DataFrame:
-    """The row of an id, else of the only id that ends in -wanted; fails where several do."""
-    exact = ids.where(F.col(key) == wanted).withColumn("_p", F.lit(0))
-    suffix = ids.where(F.col(key).endswith(f"-{wanted}")).withColumn("_p", F.lit(1))
-    both = exact.unionByName(suffix)
-    best = both.limit(1001).toPandas()  # ids of one number: one per series
-    best = best[best["_p"] == best["_p"].min()]
-    if len(best) > 1:
-        raise ValueError(f"{wanted} is ambiguous: {', '.join(sorted(best[key]))}")
-    return both.where(F.col(key).isin(list(best[key]))).drop("_p")
+    """The row of an id, else of the only id that ends in -wanted; fails where several do, and gives no row where none does."""
+    place = F.when(F.col(key) == wanted, 0).when(F.col(key).endswith(f"-{wanted}"), 1)
+    both = ids.withColumn("_p", place).where("_p IS NOT NULL")
+    best = both.groupBy("_p").agg(F.count_distinct(key).alias("n"), F.min(key).alias("least"), F.max(key).alias("most")).orderBy("_p").limit(1).collect()
+    if best and best[0].n > 1:
+        raise ValueError(f"{wanted} is ambiguous: {best[0].n} ids from {best[0].least} to {best[0].most}")
+    return both.where((F.col("_p") == best[0]["_p"]) if best else F.lit(False)).drop("_p")
+
+
+def index_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The puzzles listed in an index, a JSON object with the member puzzles."""
+    return spark.read.schema(f"puzzles array<struct<{schema}>>").option("multiLine", True).json(path).select(F.explode("puzzles").alias("p")).select("p.*")
 
 
 LEXICON_SCHEMA = "word string, rank int, gb int, family int, phone string"
@@ -41,6 +44,21 @@ def lexicon(spark: SparkSession, path: str, home_only: bool = False) -> DataFram
     return rows.where("gb = 1") if home_only else rows
 
 
+def rank_file(spark: SparkSession, path: str) -> DataFrame:
+    """(word, rank) of lines of a word and its rank; lines that start with # and those without a rank are skipped."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(~F.trim("value").startswith("#"))
+    return rows.select(F.get(parts, F.lit(0)).alias("word"), F.get(parts, F.lit(1)).try_cast("int").alias("rank")).where("word <> '' AND rank IS NOT NULL")
+
+
+def first_word_file(spark: SparkSession, *paths: str) -> DataFrame:
+    """word_file of the first path that is there; no words where none is."""
+    from cluemill.sources.sinks import exists
+
+    found = next((p for p in paths if exists(spark, p)), None)
+    return word_file(spark, found) if found else spark.createDataFrame([], "word string")
+
+
 def pair_map(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(key, word) of a JSON object from key to list of words."""
     rows = spark.read.schema(f"{field} map<string,array<string>>").option("multiLine", True).json(path)
@@ -70,15 +88,32 @@ def grid_patterns(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", "r", F.posexplode(F.split("line", "")).alias("c", "sign")).select("file_name", "r", "c", (F.col("sign") == "#").alias("is_block"))
 
 
-EVENT_KEY = r"^e:(\d{4}-\d{2}-\d{2}):([a-z0-9-]+):"
-
-
 def event_keys(keys: DataFrame, name: str) -> DataFrame:
-    """(day, event) of event keys; others are left out."""
-    parsed = keys.select(F.to_date(F.nullif(F.regexp_extract(name, EVENT_KEY, 1), F.lit(""))).alias("day"), F.regexp_extract(name, EVENT_KEY, 2).alias("event"))
+    """(day, event) of keys of four parts, e, a day, an event's name and the rest; others are left out."""
+    parts = F.split(name, ":")
+    part = lambda n: F.get(parts, F.lit(n))
+    parsed = keys.where((part(0) == "e") & (F.size(parts) >= 4) & (part(2) != "")).select(F.try_to_date(part(1), "yyyy-MM-dd").alias("day"), part(2).alias("event"))
     return parsed.where("day IS NOT NULL")
 
 
+def key_listing(listings: DataFrame, text: str) -> DataFrame:
+    """(name) of saved listings: the JSON list that begins at the first bracket, whatever stands before it; torn ones give none."""
+    start = F.instr(text, "[")
+    body = F.when(start > 0, F.expr(f"substring({text}, instr({text}, '['))"))
+    return listings.select(F.explode(F.from_json(body, "array<struct<name: string>>")).alias("k")).select("k.name")
+
+
+#: What local keys of puzzles begin with, and keys that are no puzzles.
+LOCAL_PREFIX, RESERVED = "ct:", ("ct:prefs", "ct:sync", "ct:last")
+
+
+def local_store(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(puzzle_id, save) of a browser's store; keys without the prefix, reserved ones and torn values give no rows."""
+    kept = rows.where(F.col(key).startswith(LOCAL_PREFIX) & ~F.col(key).isin(*RESERVED))
+    save = F.from_json(value, SAVE_SCHEMA.replace(":", " "))
+    return kept.select(F.expr(f"substring({key}, {len(LOCAL_PREFIX) + 1})").alias("puzzle_id"), save.alias("save"), F.col(value).alias("_v")).where(F.get_json_object("_v", "$").isNotNull()).drop("_v")
+
+
 SAVE_SCHEMA = "letters:map<string,string>,letterAt:map<string,bigint>,hintsShown:map<string,array<string>>,revealsUsed:map<string,int>,clearedAt:bigint,updated:bigint"
 
 
@@ -92,11 +127,19 @@ FEED_SCHEMA = "metadata struct<title:string>, grid struct<cell:array<struct<_x:i
 
 
 def xml_feed(spark: SparkSession, path: str, row_tag: str = "crossword") -> DataFrame:
-    """(title, word, number, format, clue, x, y) of XML puzzles: each clue with its word's run of cells; a missing run fails no row."""
-    docs = spark.read.format("xml").schema(FEED_SCHEMA).option("rowTag", row_tag).load(path).select(F.col("metadata.title").alias("title"), "word", F.flatten("clues.clue").alias("clue"))
-    clues = docs.select("title", F.explode("clue").alias("c")).select("title", F.col("c._word").alias("word"), F.col("c._number").alias("number"), F.col("c._format").alias("format"), F.col("c._VALUE").alias("clue"))
-    runs = docs.select("title", F.explode("word").alias("w")).select("title", F.col("w._id").alias("word"), F.col("w._x").alias("x"), F.col("w._y").alias("y"))
-    return clues.join(runs, ["title", "word"], "left")
+    """(file_name, title, word, number, format, clue, x, y, cells) of XML puzzles: each clue with its word's run and its cells
+    (from 0). Runs are looked up inside their own puzzle; run_missing marks a clue without one (see require)."""
+    docs = spark.read.format("xml").schema(FEED_SCHEMA).option("rowTag", row_tag).load(path)
+    run_of = lambda c: F.get(F.filter("word", lambda w: w["_id"] == c["_word"]), F.lit(0))
+    paired = F.transform(F.flatten("clues.clue"), lambda c: F.struct(c.alias("c"), run_of(c).alias("w")))
+    rows = docs.select(F.col("_metadata.file_name").alias("file_name"), F.col("metadata.title").alias("title"), F.explode(paired).alias("p")).select("file_name", "title", "p.c", "p.w")
+    named = rows.select("file_name", "title", F.col("c._word").alias("word"), F.col("c._number").alias("number"), F.col("c._format").alias("format"), F.col("c._VALUE").alias("clue"), F.col("w._x").alias("x"), F.col("w._y").alias("y"))
+    return named.withColumn("cells", run_cells(F.col("x"), F.col("y"))).withColumn("run_missing", F.col("x").isNull() | F.col("y").isNull())
+
+
+def require(rows: DataFrame, holds: Column, message: str) -> DataFrame:
+    """rows, failing with the message as soon as one is read for which holds is not true."""
+    return rows.where(F.assert_true(F.coalesce(holds, F.lit(False)), F.lit(message)).isNull())
 
 
 def span_ends(c: Column) -> tuple[Column, Column]:
@@ -105,6 +148,18 @@ def span_ends(c: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)).cast("int"), F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))).cast("int")
 
 
+def run_cells(x: Column, y: Column) -> Column:
+    """Cells (x, y) from 0 of a run whose columns and rows are given as "a-b" or "a", from 1."""
+    across, down = span_ends(x), span_ends(y)
+    row = lambda j: F.transform(F.sequence(across[0] - 1, across[1] - 1), lambda i: F.struct(i.alias("x"), j.alias("y")))
+    return F.flatten(F.transform(F.sequence(down[0] - 1, down[1] - 1), row))
+
+
+def inner_markup(c: Column) -> Column:
+    """What stands inside the outermost element of a text, tags included; null where there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?s)^\s*<[^>]*>(.*)</[^>]*>\s*$", 1), F.lit(""))
+
+
 def plain_text(c: Column) -> Column:
     """Text of simple markup: tags dropped, the common entities decoded, white space collapsed; text without either stays as it is."""
     bare = F.regexp_replace(c, "<[^>]*>", "")
@@ -142,6 +197,14 @@ def embedded_json(pages: DataFrame, html: str, attribute: str, schema: str) -> D
     return pages.withColumn("data", F.from_json(unescaped(found), schema))
 
 
+def family_roots(swaps: DataFrame) -> DataFrame:
+    """(word, root) of pairs of words that are forms of each other: the first word, by the alphabet, that a word is joined to."""
+    from cluemill.operators.geometry import components
+
+    words = swaps.select(F.col("word").alias("id")).union(swaps.select("other")).distinct()
+    return components(words, swaps.select(F.col("word").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("word"), F.col("component").alias("root"))
+
+
 def build_lexicon(words: DataFrame, abroad: DataFrame, families: DataFrame) -> DataFrame:
     """(word, rank, gb, family, phone) of raw (word, rank, phone): only words of 2 to 15 letters; gb 0 for words of
     abroad; family: words of the same root; phone without stress marks."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cluemill.operators.snapshots import append_unseen
@@ -39,27 +39,93 @@ def append_new(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence
     new.write.mode("append").json(path)
 
 
+def _switch(spark: SparkSession, written: str, path: str) -> None:
+    """Put the folder written in the place of path: the old one is moved aside, and goes only when the new one stands."""
+    jvm = spark.sparkContext._jvm
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    new_path, at, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (written, path, old))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    was = files.exists(at) and files.rename(at, aside)
+    if not files.rename(new_path, at):
+        if was:
+            files.rename(aside, at)
+        raise OSError(f"{path} could not be replaced")
+    if was:
+        files.delete(aside, True)
+
+
+def replace(new: DataFrame, path: str) -> None:
+    """Write new beside path and switch: new may read path itself, and a reader finds the old rows or the new ones."""
+    written = f"{path}.new-{uuid.uuid4().hex}"
+    new.write.parquet(written)
+    _switch(new.sparkSession, written, path)
+
+
 def replace_unless_empty(new: DataFrame, path: str) -> bool:
-    """Overwrite the snapshot unless the new one is empty; whether it was written."""
+    """Replace the snapshot unless the new one is empty; whether it was written."""
     if new.isEmpty():
         return False
-    new.write.mode("overwrite").parquet(path)
+    replace(new, path)
     return True
 
 
+def content_id(rows: DataFrame) -> str:
+    """A number for what rows hold, whatever their order: their count and a sum of their hashes."""
+    n, h = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{abs(int(h or 0)):x}"
+
+
 def write_if_changed(new: DataFrame, path: str) -> bool:
-    """Overwrite only where rows differ, by a sum of row hashes and a count; whether it was written."""
-    digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-    try:
-        old = new.sparkSession.read.parquet(path)
-        if old.columns == new.columns and tuple(digest(old)) == tuple(digest(new)):
+    """Replace only where rows differ, by content_id; whether it was written."""
+    spark = new.sparkSession
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        if old.columns == new.columns and content_id(old) == content_id(new):
             return False
-    except AnalysisException:
-        pass
-    new.write.mode("overwrite").parquet(path)
+    replace(new, path)
     return True
 
 
+def write_round(packets: DataFrame, path: str, run: str) -> str:
+    """The current round of packets in path/current, replaced as a whole, and a copy by run and content in path/archive; the copy's name."""
+    spark = packets.sparkSession
+    name = f"{run}-{content_id(packets)}"
+    if not exists(spark, f"{path}/archive/{name}"):
+        packets.write.parquet(f"{path}/archive/{name}")
+    replace(packets, f"{path}/current")
+    return name
+
+
+def write_index(index: DataFrame, path: str, order: Sequence[Column], variable: str | None = None) -> None:
+    """The index as one JSON document in one file, a puzzle a line in the given order; with a variable's name as a script.
+
+    One writer, which streams its lines: an index is a file that is read as a whole.
+    """
+    n = index.count()
+    begin, end = f'{f"{variable} = " if variable else ""}{{"puzzles": [', f"]}}{';' if variable else ''}"
+    if not n:
+        index.sparkSession.createDataFrame([(begin + end,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    at = F.monotonically_increasing_id()
+    lines = index.orderBy(*order).select(F.to_json(F.struct(*index.columns)).alias("line")).coalesce(1).select(at.alias("at"), "line")
+    value = F.concat(F.when(F.col("at") == 0, begin).otherwise(","), "line", F.when(F.col("at") == n - 1, end).otherwise(""))
+    lines.select(value.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_counts(counts: DataFrame, path: str, field: str, key: str, n: str) -> None:
+    """(field, key, n) as one JSON object of a field a line: from field to object from key to count. Counts of a field are as many as it has keys."""
+    objects = counts.groupBy(field).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, n)))).alias("m")).orderBy(field)
+    objects.select(F.to_json(F.map_from_arrays(F.array(field), F.array("m"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def stale_pages(pages: DataFrame, folder: str, name: str, body: str) -> DataFrame:
+    """(file_name) of the pages that the folder lacks or holds with other content, and of those it holds beyond them."""
+    spark = pages.sparkSession
+    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), F.md5("content").alias("stamp"))
+    wanted = pages.select(F.col(name).alias("file_name"), F.md5(F.encode(body, "UTF-8")).alias("stamp"))
+    return wanted.join(there, ["file_name", "stamp"], "left_anti").unionByName(there.join(wanted.select("file_name"), "file_name", "left_anti")).select("file_name").distinct()
+
+
 def content_stamps(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(file_name, stamp): first 8 digits of the md5 of each file's content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)

@@ -132,7 +132,7 @@ def test_fill_search(spark):
 
 def test_lexicon_operators(spark):
     words = spark.createDataFrame([(w,) for w in "sister sis ter late tale steal rat tar brat bat plate pate painter paint inter".split()], "word string")
-    assert {tuple(r) for r in lexicon.charades(words, 3).collect()} == {("sister", "sis", "ter")}
+    assert {(r.word, *r.pieces) for r in lexicon.piece_charades(words, 3).collect()} == {("sister", "sis", "ter")}
     assert ("late", "tale") in {tuple(r.words.split(",")) for r in lexicon.anagram_groups(words).collect()}
     assert {("rat", "tar"), ("tar", "rat")} <= {tuple(r) for r in lexicon.reversals(words, 3).collect()}
     assert {("brat", "bat"), ("brat", "rat"), ("plate", "late"), ("plate", "pate")} <= {tuple(r) for r in lexicon.deletions(words).collect()}
@@ -189,15 +189,43 @@ def test_readers(spark, tmp_path):
     assert [(r.code, r.puzzle_id, r.save.letters, r.save.updated) for r in readers.save_envelopes(saves, "code", "body").collect()] == [("c", "p", {"1,1": "A"}, 5)]
     (tmp_path / "feed.xml").write_text('<crossword><metadata><title>T</title></metadata><grid><cell x="1" y="1" solution="A"/></grid><word id="1" x="1-3" y="2"/><clues><clue word="1" number="4" format="3">Hi there</clue></clues></crossword>')
     row = readers.xml_feed(spark, str(tmp_path / "feed.xml")).first()
-    assert (row.title, row.number, row.x, row.clue) == ("T", "4", "1-3", "Hi there")
+    assert (row.title, row.number, row.x, row.clue, [tuple(c) for c in row.cells]) == ("T", "4", "1-3", "Hi there", [(0, 1), (1, 1), (2, 1)])
+    again = "<crossword>{}<word id='1' x='2' y='{}'/><clues><clue word='1' number='4'>one</clue><clue word='9' number='5'>none</clue></clues></crossword>"
+    (tmp_path / "two.xml").write_text("<all>" + again.format("", 1) + again.format("<metadata><title>T</title></metadata>", 2) + "</all>")
+    two = readers.xml_feed(spark, str(tmp_path / "two.xml"))
+    assert {(r.title, r.clue, r.y, r.run_missing) for r in two.collect()} == {(None, "one", "1", False), (None, "none", None, True), ("T", "one", "2", False), ("T", "none", None, True)} and two.count() == 4
+    assert readers.require(two.where("word = 1"), ~F.col("run_missing"), "no run").count() == 2
+    with pytest.raises(Exception, match="no run"):
+        readers.require(two, ~F.col("run_missing"), "no run").collect()
     html = spark.createDataFrame([("<i>A&amp;B</i>  c",), ("plain  x",)], "t string").select(readers.plain_text(F.col("t")).alias("t"))
     assert [r.t for r in html.collect()] == ["A&B c", "plain  x"]
     ids = spark.createDataFrame([("a-1",), ("b-1",), ("b-2",)], "id string")
     assert readers.find_one(ids, "id", "2").first().id == "b-2" and readers.find_one(ids, "id", "a-1").first().id == "a-1"
+    assert readers.find_one(ids, "id", "77").count() == 0
     with pytest.raises(ValueError, match="ambiguous"):
         readers.find_one(ids, "id", "1")
 
 
+def test_stores_lists_and_ranks(spark, tmp_path):
+    (tmp_path / "index.json").write_text('{"v": 1, "puzzles": [{"id": "a-1"}, {"id": "b-2"}]}')
+    assert [r.id for r in readers.index_manifest(spark, str(tmp_path / "index.json"), "id: string").collect()] == ["a-1", "b-2"]
+    (tmp_path / "ranks.txt").write_text("# word rank\nthe 1\ncat 900\ntorn\n\n")
+    assert {tuple(r) for r in readers.rank_file(spark, str(tmp_path / "ranks.txt")).collect()} == {("the", 1), ("cat", 900)}
+    (tmp_path / "words.txt").write_text("Cat\n\ncat\ndog\n")
+    assert {r.word for r in readers.first_word_file(spark, str(tmp_path / "none"), str(tmp_path / "words.txt")).collect()} == {"cat", "dog"}
+    assert readers.first_word_file(spark, str(tmp_path / "none")).count() == 0
+    listing = spark.createDataFrame([('warning: x\n[{"name": "e:2024-01-02:open:u"}, {"name": "s"}]',), ("[{",), ("none",), (None,)], "text string")
+    assert [r.name for r in readers.key_listing(listing, "text").collect()] == ["e:2024-01-02:open:u", "s"]
+    store = spark.createDataFrame([("ct:p-1", '{"letters": {"1,1": "A"}}'), ("ct:sync", "{}"), ("x", "{}"), ("ct:p-2", "{torn")], "k string, v string")
+    assert [(r.puzzle_id, r.save.letters) for r in readers.local_store(store, "k", "v").collect()] == [("p-1", {"1,1": "A"})]
+    odd = spark.createDataFrame([("e:2024-13-02:open:u",), ("e:2024-01-02::u",), ("e:2024-01-02:x",), (None,)], "name string")
+    assert readers.event_keys(odd, "name").count() == 0
+    swaps = spark.createDataFrame([("cats", "cat"), ("cats", "catty"), ("dog", "dogs")], "word string, other string")
+    assert {tuple(r) for r in readers.family_roots(swaps).collect()} == {("cat", "cat"), ("cats", "cat"), ("catty", "cat"), ("dog", "dog"), ("dogs", "dog")}
+    marked = spark.createDataFrame([("<p>a <i>b</i></p>",), ("x",)], "t string").select(readers.inner_markup(F.col("t")).alias("t"))
+    assert [r.t for r in marked.collect()] == ["a <i>b</i>", None]
+
+
 def test_more_readers(spark, tmp_path):
     pages = spark.createDataFrame([('<div data-x="{&quot;a&quot;: 3}">',), ("<div>",)], "html string")
     assert [r.data and r.data.a for r in readers.embedded_json(pages, "html", "data-x", "a int").collect()] == [3, None]
@@ -233,3 +261,32 @@ def test_sinks(spark, tmp_path):
     assert sinks.content_stamps(spark, str(tmp_path / "c"), "*.parquet").count() >= 1
     assert sinks.bars(spark.createDataFrame([("a", 4), ("b", 2)], "n string, k int"), "n", "k", 4).collect()[0].line.endswith(" ####")
     assert sinks.site_rows(spark.createDataFrame([("a-1",)], "puzzle_id string"), "https://x", ["", "about"]).count() == 3
+
+
+def test_replacements_never_lose_a_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    sinks.replace(spark.read.parquet(path).where("id > 0"), path)
+    assert {r.id for r in spark.read.parquet(path).collect()} == {1, 2}
+    assert sinks.replace_unless_empty(spark.range(5), path) and not sinks.replace_unless_empty(spark.range(0), path)
+    assert spark.read.parquet(path).count() == 5 and not sinks.write_if_changed(spark.read.parquet(path).orderBy(F.col("id").desc()), path)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+    first = sinks.write_round(spark.range(2), str(tmp_path / "r"), "a")
+    assert sinks.write_round(spark.range(3), str(tmp_path / "r"), "b") != first == sinks.write_round(spark.range(2), str(tmp_path / "r"), "a")
+    assert spark.read.parquet(str(tmp_path / "r/current")).count() == 2 and len(list((tmp_path / "r/archive").iterdir())) == 2
+
+
+def test_documents_of_one_file(spark, tmp_path):
+    index = spark.createDataFrame([("a-1", 2), ("b-2", 3), ("c-3", 1)], "id string, n int")
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part*")))
+    sinks.write_index(index, str(tmp_path / "index"), [F.col("n").desc()])
+    assert [p["id"] for p in json.loads(text("index"))["puzzles"]] == ["b-2", "a-1", "c-3"]
+    sinks.write_index(index, str(tmp_path / "script"), [F.col("n")], "window.X")
+    assert text("script").startswith("window.X = {") and json.loads(text("script")[len("window.X = ") :].rstrip().rstrip(";"))["puzzles"][0]["id"] == "c-3"
+    sinks.write_counts(spark.createDataFrame([("f", "p", 3), ("f", "q", 1), ("g", "p", 2)], "field string, id string, n int"), str(tmp_path / "counts"), "field", "id", "n")
+    assert [json.loads(x) for x in text("counts").splitlines()] == [{"f": {"p": 3, "q": 1}}, {"g": {"p": 2}}]
+    (tmp_path / "pages").mkdir()
+    for name, body in (("same", "1"), ("old", "2"), ("extra", "3")):
+        (tmp_path / "pages" / name).write_text(body)
+    pages = spark.createDataFrame([("same", "1"), ("old", "new"), ("lacking", "4")], "n string, b string")
+    assert {r.file_name for r in sinks.stale_pages(pages, str(tmp_path / "pages"), "n", "b").collect()} == {"old", "extra", "lacking"}
