@@ -178,7 +178,7 @@ def grid_fill(spark, sf_dir):
     """
     lengths = sorted({len(cells) for cells in filling.slots(PATTERN)})
     words = corpus_plans.word_familiarity(spark, sf_dir).where(F.length("word").isin(lengths)).orderBy("rank").select("word", "familiarity").collect()
-    return filling.fills(spark, PATTERN, {r.word: r.familiarity for r in words}, seeds=8, seconds=float("inf"))
+    return filling.fills(spark, PATTERN, {r.word: r.familiarity for r in words}, seeds=8)
 
 
 

@@ -121,15 +121,36 @@ def test_top_k_of_a_hot_key(spark):
     assert {(r.k, r.id, r.place) for r in got} == {("hot", 149, 1), ("hot", 148, 2), ("cold", 199, 1), ("cold", 198, 2)}
 
 
-def test_fill_search(spark):
-    words = {w: n for n, w in enumerate(("cat", "ace", "ten", "tea", "ant", "eat", "can", "nee", "ate", "tan", "net"))}
-    found, nodes = filling.search(("...", ".#.", "..."), words, 1, 10_000, 5.0)
-    assert nodes > 0 and (found is None or len(set(found.values())) == 4)
-    assert filling.search(("...",), {}, 1, 10, 1.0)[0] is None
+def fits(pattern, words, fill):
+    letters = {}
+    for slot, word in zip(filling.slots(pattern), fill, strict=True):
+        assert word in words and len(word) == len(slot)
+        assert all(letters.setdefault(cell, letter) == letter for cell, letter in zip(slot, word))
+    return len(set(fill)) == len(fill)
+
+
+def test_fill_search_is_brute_force(spark):
+    words = {w: n for n, w in enumerate("cat ace ten tea ant eat can nee ate tan net".split())}
+    pattern = ("...", ".#.", "...")
+    some = any(fits_quietly(pattern, words, x) for x in itertools.permutations(words, 4))
+    found, nodes = filling.search(pattern, words, 1, 10_000)
+    assert (found is not None) == some and (found is None or fits(pattern, words, found))
+    square = {w: 1 for w in "bit ice ten".split()}
+    assert filling.search(("...", "...", "..."), square, 1, 1_000)[0] is None  # each word would stand twice
+    assert filling.search(("...",), {}, 1, 10)[0] is None and filling.search(("...",), {"CAT": 1, "né1": 2}, 1, 10)[0] is None
+    assert filling.search(("...",), {"cat": 1, "dog": 2}, 1, 10, veto=lambda w: w == "dog")[0] == ["cat"]
+    assert filling.search(("...",), words, 3, 50, restarts=5)[0] == filling.search(("...",), words, 3, 50, restarts=5)[0]
     for r in filling.fills(spark, ("...", "###", "..."), words, 3).collect():
         assert len(set(r.fill.split())) == 2 and r.least >= 0
 
 
+def fits_quietly(pattern, words, fill):
+    try:
+        return fits(pattern, words, fill)
+    except AssertionError:
+        return False
+
+
 def test_lexicon_operators(spark):
     words = spark.createDataFrame([(w,) for w in "sister sis ter late tale steal rat tar brat bat plate pate painter paint inter".split()], "word string")
     assert {(r.word, *r.pieces) for r in lexicon.piece_charades(words, 3).collect()} == {("sister", "sis", "ter")}
