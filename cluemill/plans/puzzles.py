@@ -92,6 +92,13 @@ def stamp_changes(spark, sf_dir):
     return snapshots.differences(before, snapshots.latest_rows(rows.select("puzzle_id", "loaded_at", "content_stamp"), ["puzzle_id"], ["loaded_at", "content_stamp"]), ["puzzle_id"], "content_stamp")
 
 
+def band_changes(spark, sf_dir):
+    """Puzzles whose band of difficulty differs between their first and their last index row."""
+    rows = table(spark, sf_dir, "puzzle_index").select("puzzle_id", "loaded_at", "content_stamp", F.col("difficulty.band").alias("band"))
+    first = activity.first_per(rows, ["puzzle_id"], ["loaded_at", "content_stamp"])
+    return snapshots.differences(first, snapshots.latest_rows(rows, ["puzzle_id"], ["loaded_at", "content_stamp"]), ["puzzle_id"], "band")
+
+
 def difficulty_percentile(spark, sf_dir):
     rows = _index(spark, sf_dir).select("puzzle_id", F.col("difficulty.score").alias("score"))
     return scoring.percentile(rows, "score")
@@ -247,7 +254,7 @@ def puzzle_fingerprint(spark, sf_dir):
     return snapshots.fingerprint(_latest(spark, sf_dir).where("answer IS NOT NULL"), ["puzzle_id"], [F.col("entry_id"), F.col("answer")])
 
 
-NAMES = """index_sort neighbours first_wins ambiguous_keys id_parts series_profile pending_topk setter_mix haystack_search stamp_changes
+NAMES = """index_sort neighbours first_wins ambiguous_keys id_parts series_profile pending_topk setter_mix haystack_search stamp_changes band_changes
 difficulty_percentile difficulty_by_series basis_use perm_pvalue entry_cells crossing_map cell_conflicts entry_checking unchecked_runs rot_symmetry
 start_numbers grid_components solution_round_trip entry_order carry_over grade_diff unmatched_puzzles skip_existing linked_answers group_solutions
 type_families map_inversion enum_parse rule_violations rule_firing_rate ratchet puzzle_fingerprint""".split()
@@ -288,6 +295,8 @@ SQL = {
     "stamp_changes": """WITH b AS (SELECT puzzle_id, content_stamp AS old FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id ORDER BY loaded_at DESC, content_stamp DESC) AS k FROM puzzle_index WHERE loaded_at < '2025-01-01') WHERE k = 1),
 a AS (SELECT puzzle_id, content_stamp AS new FROM (SELECT *, row_number() OVER (PARTITION BY puzzle_id ORDER BY loaded_at DESC, content_stamp DESC) AS k FROM puzzle_index) WHERE k = 1)
 SELECT coalesce(a.puzzle_id, b.puzzle_id) AS puzzle_id, CASE WHEN b.puzzle_id IS NULL THEN 'added' WHEN a.puzzle_id IS NULL THEN 'removed' ELSE 'changed' END AS change, old, new FROM a FULL JOIN b ON a.puzzle_id = b.puzzle_id WHERE a.puzzle_id IS NULL OR b.puzzle_id IS NULL OR old IS DISTINCT FROM new""",
+    "band_changes": """WITH x AS (SELECT puzzle_id, difficulty.band AS band, row_number() OVER (PARTITION BY puzzle_id ORDER BY loaded_at, content_stamp) AS a, row_number() OVER (PARTITION BY puzzle_id ORDER BY loaded_at DESC, content_stamp DESC) AS z FROM puzzle_index)
+SELECT o.puzzle_id, 'changed' AS change, o.band AS old, n.band AS new FROM x o JOIN x n ON o.puzzle_id = n.puzzle_id AND o.a = 1 AND n.z = 1 WHERE o.band IS DISTINCT FROM n.band""",
     "difficulty_percentile": f"WITH {_I}, s AS (SELECT puzzle_id, difficulty.score AS score FROM i), r AS (SELECT puzzle_id, percent_rank() OVER (ORDER BY score) AS p, count(*) OVER () AS n FROM s WHERE score IS NOT NULL) SELECT s.puzzle_id, s.score, CASE WHEN n > 1 THEN CAST(round_even(100 * p, 0) AS INTEGER) END AS percentile FROM s LEFT JOIN r USING (puzzle_id)",
     "difficulty_by_series": f"WITH {_I} SELECT series, count(*) AS n, round(avg(difficulty.score), 6) AS mean, round(coalesce(stddev_samp(difficulty.score), 0), 6) AS sd FROM i WHERE difficulty.score IS NOT NULL GROUP BY 1",
     "basis_use": f"WITH {_I}, b AS (SELECT unnest(difficulty.basis) AS component FROM i) SELECT component, count(*) AS n FROM b GROUP BY 1",

@@ -136,6 +136,20 @@ def clueability_top(spark, sf_dir):
     return top_k(rows, ["n_letters"], [F.col("score").desc(), F.col("word").desc()], 3)
 
 
+#: Least clueability of words by their length, and least familiarity, for a place in a grid.
+FLOORS, LEAST_FAMILIAR = ((3, 40), (4, 35), (5, 25), (6, 15)), 8
+
+
+def fill_candidates(spark, sf_dir):
+    """The five best words of each length for a grid: by clueability, then familiarity, then the alphabet, above their length's floor."""
+    floor = F.lit(10)
+    for n, least in FLOORS:
+        floor = F.when(F.length("word") == n, least).otherwise(floor)
+    rows = clueability(spark, sf_dir).join(corpus_plans.word_familiarity(spark, sf_dir).select("word", "familiarity"), "word")
+    rows = rows.where((F.length("word") >= 3) & (F.col("score") >= floor) & (F.col("familiarity") >= LEAST_FAMILIAR)).select(F.length("word").alias("n_letters"), "word", "score", "familiarity")
+    return top_k(rows, ["n_letters"], [F.col("score").desc(), F.col("familiarity").desc(), F.col("word")], 5)
+
+
 def abbreviation_anagrams(spark, sf_dir):
     """Words whose letters are those of an abbreviation and another word; abbreviations are the one or two letters that blocks of the documents give.
 
@@ -183,7 +197,7 @@ def grid_fill(spark, sf_dir):
 
 
 NAMES = """multiset_diff definition_place redacted_clues usable_clues rival_clues clue_packets checked_counts through_cuts grid_rules slot_candidates
-obscurity clueability clueability_top abbreviation_anagrams vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
+obscurity clueability clueability_top fill_candidates abbreviation_anagrams vetoed_words first_charades hint_depth month_weekday grid_fill""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _E, _C, _L, _I = puzzles._E, puzzles._C, corpus_plans._L, puzzles._I
@@ -201,6 +215,7 @@ _HOOKS = (
 _CLUEABLE = f"WITH {_L}, h AS (" + " UNION ALL ".join(f"SELECT DISTINCT word, '{c}' AS code, {p} AS points, {n} AS n FROM ({q})" for n, (c, p, q) in enumerate(_HOOKS)) + "), s AS (SELECT word, CAST(least(100, sum(points)) AS BIGINT) AS score, string_agg(code, '' ORDER BY n) AS hooks FROM h GROUP BY 1) SELECT w.word, coalesce(score, 0) AS score, coalesce(hooks, '-') AS hooks FROM w LEFT JOIN s USING (word)"
 SQL = {
     "clueability_top": f"SELECT n_letters, word, score, place FROM (SELECT CAST(length(word) AS INTEGER) AS n_letters, word, score, CAST(row_number() OVER (PARTITION BY length(word) ORDER BY score DESC, word DESC) AS INTEGER) AS place FROM ({_CLUEABLE})) WHERE n_letters >= 3 AND place <= 3",
+    "fill_candidates": f"SELECT * FROM (SELECT CAST(length(word) AS INTEGER) AS n_letters, word, score, familiarity, CAST(row_number() OVER (PARTITION BY length(word) ORDER BY score DESC, familiarity DESC, word) AS INTEGER) AS place FROM ({_CLUEABLE}) JOIN ({corpus_plans.SQL['word_familiarity']}) USING (word) WHERE length(word) >= 3 AND familiarity >= {LEAST_FAMILIAR} AND score >= CASE length(word) {' '.join(f'WHEN {n} THEN {k}' for n, k in FLOORS)} ELSE 10 END) WHERE place <= 5",
     "abbreviation_anagrams": f"""WITH w AS (WITH {_L} SELECT word FROM w), ab AS (WITH {problems._NODES} SELECT DISTINCT lower(x ->> '$.gives') AS abbreviation FROM c WHERE f = 'blocks' AND regexp_matches(lower(x ->> '$.gives'), '^[a-z]{{1,2}}$')),
 y AS (SELECT word, list_sort(string_split(word, '')) AS l FROM w), o AS (SELECT word AS other, array_to_string(l, '') AS key FROM y),
 r AS (SELECT DISTINCT word, l[i] AS taken, array_to_string(list_filter(l, lambda x, n: n <> i), '') AS key FROM (SELECT word, l, unnest(range(1, len(l) + 1)) AS i FROM y)
