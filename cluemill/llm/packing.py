@@ -83,9 +83,11 @@ def tightest_gap(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return window, windows
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item of 1 to capacity, numbered from 0 without gaps."""
+def pack(sizes: np.ndarray, capacity: int, repair: bool = True) -> np.ndarray:
+    """Window of each item of 1 to capacity, numbered from 0 without gaps; repair: place the partly filled ones' items again."""
     window, fill = sum_of_squares(sizes.tolist(), capacity)
+    if not repair:
+        return window
     partly = fill[window] < capacity
     again, n = tightest_gap(sizes[partly], capacity)
     if n < (fill < capacity).sum():
@@ -97,13 +99,13 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return window
 
 
-def pack_shard(hashes: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack_shard(hashes: np.ndarray, sizes: np.ndarray, capacity: int, repair: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of the item, container, part, size) of every part of a shard's items; hashes set the order."""
     whole = np.where(sizes > capacity, sizes // capacity, 0)
     rest = sizes - whole * capacity
     order = np.flatnonzero(rest > 0)
     order = order[np.lexsort((rest[order], hashes[order]))]
-    window = pack(rest[order], capacity) if len(order) else np.zeros(0, np.int64)
+    window = pack(rest[order], capacity, repair) if len(order) else np.zeros(0, np.int64)
     used = int(window.max()) + 1 if len(window) else 0
     cut = np.repeat(np.arange(len(sizes)), whole)
     part = np.arange(len(cut)) - np.repeat(np.cumsum(whole) - whole, whole)
@@ -116,11 +118,11 @@ def pack_shard(hashes: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np
     )
 
 
-def packets(sizes: DataFrame, key: str, budgets: list[tuple[int, str, int]], n_items: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def packets(sizes: DataFrame, key: str, budgets: list[tuple[int, str, int]], n_items: int, shard_items: int = SHARD_ITEMS, repair: bool = True) -> DataFrame:
     """(budget_id, packet_no, key, part_no, n_tokens): every item's place for every budget.
 
     sizes: key (bigint, unique) and a column of sizes per tokenizer. budgets: (budget_id, tokenizer, capacity), a fixed
-    short list: each item stands once per budget. n_items sets the number of shards.
+    short list: each item stands once per budget. n_items sets the number of shards. repair: see pack.
     """
     capacity = {b: c for b, _, c in budgets if c and c > 0}
     shards = max(1, -(-n_items // shard_items))
@@ -132,7 +134,7 @@ def packets(sizes: DataFrame, key: str, budgets: list[tuple[int, str, int]], n_i
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
         budget, number = shard.column("budget_id")[0].as_py(), shard.column("shard")[0].as_py()
-        item, container, part, size = pack_shard(shard.column("order").to_numpy(), shard.column("size").to_numpy().astype(np.int64), capacity[budget])
+        item, container, part, size = pack_shard(shard.column("order").to_numpy(), shard.column("size").to_numpy().astype(np.int64), capacity[budget], repair)
         return pa.table({
             "budget_id": pa.array(np.full(len(item), budget, np.int32)),
             "packet_no": pa.array((np.int64(number) << 32) + container),

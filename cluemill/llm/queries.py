@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cluemill.llm import counting, frequency, looks, packing, quality, tokens
 from cluemill.operators.snapshots import latest_rows
-from cluemill.session import table
+from cluemill.session import materialize, table
 
 RARE_BELOW = 3
 COMMON_PERCENT = 3
@@ -58,19 +58,30 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).join(decoded, "doc_id").select("doc_id", F.length("decoded").alias("n_chars_decoded"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def _budgets(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, int]]:
+    return [(r.budget_id, r.tokenizer, r.capacity_tokens) for r in table(spark, sf_dir, "packet_budget").where("tokenizer is not null").collect()]  # a fixed table
+
+
+def _sizes(spark: SparkSession, sf_dir: str, budgets: list[tuple[int, str, int]]) -> DataFrame:
+    return counting.token_counts(_texts(spark, sf_dir), "doc_id", "text", sorted({t for _, t, _ in budgets}))
+
+
 def p7_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    budgets = [(r.budget_id, r.tokenizer, r.capacity_tokens) for r in table(spark, sf_dir, "packet_budget").where("tokenizer is not null").collect()]  # a fixed table
-    texts = _texts(spark, sf_dir)
-    sizes = counting.token_counts(texts, "doc_id", "text", sorted({t for _, t, _ in budgets}))
-    return packing.packets(sizes, "doc_id", budgets, texts.count())
+    budgets = _budgets(spark, sf_dir)
+    return packing.packets(_sizes(spark, sf_dir, budgets), "doc_id", budgets, _texts(spark, sf_dir).count())
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per budget: packets used, the fewest that the tokens could fill, and the share of unused space."""
-    budgets = table(spark, sf_dir, "packet_budget").select("budget_id", "packet_name", "capacity_tokens")
-    used = p7_packets(spark, sf_dir).groupBy("budget_id", "packet_no").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_packets"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
-    return used.join(F.broadcast(budgets), "budget_id").select(
-        "budget_id", "packet_name", "capacity_tokens", "n_packets", "n_tokens", "fullest",
+    """Per budget: packets used by the online rule alone and after its last windows were dissolved, the fewest that the tokens
+    could fill, and the share of unused space."""
+    budgets = _budgets(spark, sf_dir)
+    sizes, n = materialize(_sizes(spark, sf_dir, budgets)), _texts(spark, sf_dir).count()
+    full = lambda repair: packing.packets(sizes, "doc_id", budgets, n, repair=repair).groupBy("budget_id", "packet_no").agg(F.sum("n_tokens").alias("n"))
+    online = full(False).groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_online"))
+    used = full(True).groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_packets"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"))
+    named = table(spark, sf_dir, "packet_budget").select("budget_id", "packet_name", "capacity_tokens")
+    return used.join(online, "budget_id").join(F.broadcast(named), "budget_id").select(
+        "budget_id", "packet_name", "capacity_tokens", "n_online", "n_packets", "n_tokens", "fullest",
         F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("fewest"), (1 - F.col("n_tokens") / (F.col("n_packets") * F.col("capacity_tokens"))).alias("unused"),
     )
 

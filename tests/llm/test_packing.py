@@ -114,3 +114,8 @@ def test_nulls_splits_and_shards(spark):
     assert sorted(r[4] for r in got if r[2] == 3) == [5, 10, 10] and sorted(r[4] for r in got if r[2] == 4) == [10, 10]
     assert [r[4] for r in got if r[2] in (1, 2)] == [0, 0] and [r[4] for r in got if r[2] is None] == [3]
     assert packing.packets(sizes.limit(0), "key", [(1, "t", 10)], 0).count() == 0
+
+
+def test_report_of_both_rules(spark, data):
+    rows = queries.p7_fill(spark, data).collect()
+    assert len(rows) == 6 and all(r.fewest <= r.n_packets <= r.n_online and r.fullest <= r.capacity_tokens for r in rows)
