@@ -115,3 +115,37 @@ def occurrences(text: Column, part: Column) -> Column:
     """Places (from 0) at which part stands in text, overlapping ones included; none for an empty part."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(part), F.lit(0)))
     return F.when(F.length(part) > 0, F.filter(starts, lambda n: F.substring(text, n + 1, F.length(part)) == part)).otherwise(F.array().cast("array<int>"))
+
+
+def letter_spans(text: Column, wanted: Column) -> Column:
+    """Array of (a, b): from and to which place (from 0, to exclusive) the wanted letters (A to Z) stand in a text in order, with
+    nothing but other signs between them; overlapping ones included."""
+    places = letter_places(text)
+    joined = F.upper(F.array_join(F.transform(places, lambda n: F.substring(text, n + 1, F.lit(1))), ""))
+    last = F.length(wanted) - 1
+    return F.transform(occurrences(joined, wanted), lambda s: F.struct(F.get(places, s).alias("a"), (F.get(places, s + last) + 1).alias("b")))
+
+
+def first_sentence(c: Column) -> Column:
+    """Text up to its first full stop, question or exclamation mark before white space or the end; the whole text without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)^(.*?[.!?])(?:\s|$)", 1), F.lit("")), c)
+
+
+def flat_markup(c: Column) -> Column:
+    """(text, italics) of simple markup: the text without tags, and (at, size) of each part in i or em."""
+    tokens = F.split(c, r"(?=<)|(?<=>)")
+    start = F.struct(F.lit("").alias("text"), F.lit(-1).alias("open"), F.array().cast("array<struct<at: int, size: int>>").alias("italics"))
+
+    def step(acc: Column, token: Column) -> Column:
+        text, opened, found = acc["text"], acc["open"], acc["italics"]
+        at = F.length(text)
+        begins, ends = token.rlike("(?i)^<(i|em)[ >]"), token.rlike("(?i)^</(i|em)>$")
+        closed = F.concat(found, F.array(F.struct(opened.alias("at"), (at - opened).alias("size"))))
+        return F.struct(
+            F.when(token.rlike("^<[^>]*>$"), text).otherwise(F.concat(text, token)).alias("text"),
+            F.when(begins, at).when(ends, F.lit(-1)).otherwise(opened).alias("open"),
+            F.when(ends & (opened >= 0) & (at > opened), closed).otherwise(found).alias("italics"),
+        )
+
+    done = F.aggregate(tokens, start, step)
+    return F.when(c.isNotNull(), F.struct(done["text"].alias("text"), done["italics"].alias("italics")))

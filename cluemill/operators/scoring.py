@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -105,3 +105,25 @@ def permutation_p_of_counts(spark: SparkSession, values: Sequence[float], in_a:
     blocks = [(k, min(size, trials - k * size)) for k in range(-(-trials // size))]
     counted = spark.createDataFrame(blocks, "block int, size int").repartition(8).mapInPandas(run, "hits bigint")
     return counted.agg(((F.sum("hits") + 1) / (trials + 1)).alias("p")).select(F.lit(float(seen)).alias("difference"), "p", F.lit(trials).alias("trials"))
+
+
+def permutation_of(spark: SparkSession, a: Sequence[float], b: Sequence[float], statistic: Callable[[np.ndarray, np.ndarray], float], trials: int = 20_000, seed: int = 20) -> DataFrame:
+    """One row as permutation_p, for any statistic of two samples of bounded size: (hits + 1) / (trials + 1) over shuffles whose
+    statistic is at least as far from 0 as the one seen."""
+    both, n = np.array([*a, *b], float), len(a)
+    seen = abs(statistic(both[:n], both[n:])) if n and len(b) else float("nan")
+
+    def run(batches):
+        for pdf in batches:
+            hits = 0
+            for block, size in zip(pdf["block"], pdf["size"]):
+                rng = np.random.default_rng([seed, block])
+                for _ in range(size if seen == seen else 0):
+                    dealt = rng.permutation(both)
+                    hits += abs(statistic(dealt[:n], dealt[n:])) >= seen - 1e-12
+            yield pd.DataFrame({"hits": [hits]})
+
+    size = 500
+    blocks = [(k, min(size, trials - k * size)) for k in range(-(-trials // size))]
+    counted = spark.createDataFrame(blocks, "block int, size int").repartition(8).mapInPandas(run, "hits bigint")
+    return counted.agg(((F.sum("hits") + 1) / (trials + 1)).alias("p")).select(F.lit(float(seen)).alias("statistic"), "p", F.lit(trials).alias("trials"))

@@ -9,6 +9,8 @@ from cluemill.operators.topk import top_k
 from cluemill.plans import annotations, corpus, puzzles
 from cluemill.session import table
 
+#: Words after which a word is counted.
+CONTEXTS = {"after_to": ("to",), "after_determiner": ("a", "an", "the"), "after_subject": ("he", "she", "it", "we", "they", "i", "you", "who")}
 #: Seed of the shuffle of rivals.
 SEED = "20"
 
@@ -90,15 +92,46 @@ def best_occurrence(spark, sf_dir):
 def fodder_spans(spark, sf_dir):
     """Where the letters of an anagram's fodder stand in the clue in order, widened to whole words; every place of them."""
     rows = annotations._notes(spark, sf_dir).where("clue IS NOT NULL AND fodder IS NOT NULL")
-    places = text.letter_places(F.col("clue"))
-    joined = F.upper(F.array_join(F.transform(places, lambda n: F.substring("clue", n + 1, F.lit(1))), ""))
-    rows = rows.select("raw_id", "entry_id", "clue", places.alias("places"), joined.alias("joined"), text.letters(F.col("fodder")).alias("f"))
-    at = rows.withColumn("s", F.explode(text.occurrences(F.col("joined"), F.col("f")))).select("raw_id", "entry_id", "clue", F.get("places", F.col("s")).alias("a"), (F.get("places", F.col("s") + F.length("f") - 1) + 1).alias("b"))
+    at = rows.select("raw_id", "entry_id", "clue", F.explode(text.letter_spans(F.col("clue"), text.letters(F.col("fodder")))).alias("s")).select("raw_id", "entry_id", "clue", "s.a", "s.b")
     before = F.length(F.regexp_extract(F.expr("substring(clue, 1, a)"), r"\p{L}*$", 0))
     after = F.length(F.regexp_extract(F.expr("substring(clue, b + 1)"), r"^\p{L}*", 0))
     return at.select("raw_id", "entry_id", (F.col("a") - before).alias("starts"), (F.col("b") + after).alias("ends")).distinct()
 
 
+def hidden_spans(spark, sf_dir):
+    """Where an answer's letters, or their reverse, stand in the clue in order."""
+    rows = _latest(spark, sf_dir).where("clue IS NOT NULL").select("clue_id", "clue", text.letters(F.col("answer")).alias("a")).where("length(a) >= 3")
+    ways = F.explode(F.array_distinct(F.array("a", F.reverse("a")))).alias("way")
+    found = rows.select("clue_id", "clue", "a", ways).select("clue_id", (F.col("way") != F.col("a")).alias("turned"), F.explode(text.letter_spans(F.col("clue"), F.col("way"))).alias("s"))
+    return found.select("clue_id", "turned", F.col("s.a").alias("starts"), F.col("s.b").alias("ends"))
+
+
+def first_sentences(spark, sf_dir):
+    """How long the first sentence of an explanation is, in words: explanations by that."""
+    rows = annotations._notes(spark, sf_dir).where("walkthrough IS NOT NULL").select(F.size(text.word_list(text.first_sentence(F.col("walkthrough")))).alias("n_words"))
+    return rows.groupBy("n_words").agg(F.count(F.lit(1)).alias("n"))
+
+
+def words_by_answer_length(spark, sf_dir):
+    """Median number of words of the clues whose answer has 3 to 12 letters, per length with more than 50 clues."""
+    rows = table(spark, sf_dir, "clue_entry").where("clue IS NOT NULL").select(F.length(text.letters(F.col("answer"))).alias("n_letters"), F.size(text.word_list(F.col("clue"))).alias("words"))
+    return rows.where("n_letters BETWEEN 3 AND 12").groupBy("n_letters").agg(F.count(F.lit(1)).alias("n"), F.median("words").alias("median_words")).where("n > 50")
+
+
+def terse_clues(spark, sf_dir):
+    """Clues with fewer words than the median of their answer's length less one."""
+    rows = table(spark, sf_dir, "clue_entry").where("clue IS NOT NULL").select("clue_id", F.length(text.letters(F.col("answer"))).alias("n_letters"), F.size(text.word_list(F.col("clue"))).alias("words"))
+    return rows.join(words_by_answer_length(spark, sf_dir), "n_letters").where("words < median_words - 1").select("clue_id", "words", "median_words")
+
+
+def context_sets(spark, sf_dir):
+    """How often a word follows "to", a determiner or a subject, for words that do so at least ten times in all."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda k: F.struct(F.get("ws", k).alias("word"), F.get("ws", k - 1).alias("before")))
+    rows = corpus._docs(spark, sf_dir).select(text.word_list(F.col("text")).alias("ws")).where(F.size("ws") > 1).select(F.explode(pairs).alias("p")).select("p.*")
+    counts = rows.groupBy("word").agg(*[F.count_if(F.col("before").isin(*names)).alias(name) for name, names in CONTEXTS.items()])
+    return counts.where(" + ".join(CONTEXTS) + " >= 10")
+
+
 def separators(spark, sf_dir):
     """Where an answer's words break and by what, from its enumeration; null where that does not fit its length."""
     enum = text.enumeration(F.col("clue"))
@@ -179,7 +212,7 @@ def exceedance(spark, sf_dir):
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("more_than"), F.round(F.col(f"k{k}") / F.col("all"), 6).alias("share")) for k in (4, 6, 8, 10)])).alias("x")).select("x.*")
 
 
-NAMES = """clue_words clue_tokens base_words gerunds verb_sets imperative_openings setter_anchors span_overlaps best_occurrence fodder_spans separators
+NAMES = """clue_words clue_tokens base_words gerunds verb_sets imperative_openings setter_anchors span_overlaps best_occurrence fodder_spans hidden_spans first_sentences words_by_answer_length terse_clues context_sets separators
 marks_shortest_first short_messages shuffled_rivals redacted_walkthroughs guess_grades settled_words unlinked_entries stock_indicators sampled_clues exceedance""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -188,6 +221,7 @@ _ENDS = "^(.+?)(''s|''re|''ll|''ve|''d|n''t)$"
 _BARE = r"trim(regexp_replace(replace(replace({0}, '’', ''''), '‘', ''''), '\s*\([\d,\-\s/]+\)\s*$', ''), ' ')".format
 _SPLIT = f"flatten(list_transform(regexp_extract_all(lower({_BARE('clue')}), '[a-z'']+'), lambda w: CASE WHEN regexp_extract(w, '{_ENDS}', 2) <> '' THEN [regexp_extract(w, '{_ENDS}', 1), CASE regexp_extract(w, '{_ENDS}', 2) WHEN 'n''t' THEN '''t' ELSE regexp_extract(w, '{_ENDS}', 2) END] ELSE [w] END))"
 _W = "regexp_extract_all(lower({0}), '[a-z]+')".format
+_BY_LENGTH = f"cw AS (SELECT clue_id, CAST(length({puzzles._LET('answer')}) AS INTEGER) AS n_letters, CAST(len({_W('clue')}) AS INTEGER) AS words FROM clue_entry WHERE clue IS NOT NULL), bl AS (SELECT n_letters, count(*) AS n, median(words) AS median_words FROM cw WHERE n_letters BETWEEN 3 AND 12 GROUP BY 1 HAVING count(*) > 50)"
 _VERBS = f"{_T}, p AS (SELECT ws[i + 1] AS word, ws[i] = 'to' AS f FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM t)), q AS (SELECT word, count(*) FILTER (f) AS after, count(*) FILTER (NOT f) AS other FROM p GROUP BY 1), vb AS (SELECT * FROM q WHERE after >= 10 AND after * 4 >= other)"
 _AZ = "regexp_matches(coalesce(substr(clue, CAST({0} AS BIGINT), 1), ''), '[A-Za-z]') AND {0} >= 1".format
 _ENUM = r"regexp_extract(clue, '\(([0-9][0-9, -]*)\)\s*$', 1)"
@@ -207,6 +241,13 @@ k AS (SELECT clue_id, indicator, p, CASE WHEN border AND clear THEN 0 WHEN borde
     "fodder_spans": rf"""WITH {annotations._ANN}, x0 AS (SELECT raw_id, entry_id, clue, {puzzles._LET('fodder')} AS fd, list_filter(range(length(clue)), lambda i: regexp_matches(substr(clue, i + 1, 1), '\p{{L}}')) AS places FROM ann WHERE clue IS NOT NULL AND fodder IS NOT NULL),
 x1 AS (SELECT *, upper(array_to_string(list_transform(places, lambda i: substr(clue, i + 1, 1)), '')) AS joined FROM x0 WHERE fd <> ''), x2 AS (SELECT *, unnest(range(length(joined) - length(fd) + 1)) AS s FROM x1), x3 AS (SELECT raw_id, entry_id, clue, places[s + 1] AS a, places[s + length(fd)] + 1 AS b FROM x2 WHERE substr(joined, s + 1, length(fd)) = fd)
 SELECT DISTINCT raw_id, entry_id, CAST(a - length(regexp_extract(substr(clue, 1, a), '\p{{L}}*$')) AS INTEGER) AS starts, CAST(b + length(regexp_extract(substr(clue, b + 1), '^\p{{L}}*')) AS INTEGER) AS ends FROM x3""",
+    "hidden_spans": rf"""WITH {_E}, x0 AS (SELECT clue_id, clue, {puzzles._LET('answer')} AS a FROM e WHERE clue IS NOT NULL), x1 AS (SELECT clue_id, clue, a, unnest(list_distinct([a, reverse(a)])) AS way, list_filter(range(length(clue)), lambda i: regexp_matches(substr(clue, i + 1, 1), '\p{{L}}')) AS places FROM x0 WHERE length(a) >= 3),
+x2 AS (SELECT *, upper(array_to_string(list_transform(places, lambda i: substr(clue, i + 1, 1)), '')) AS joined FROM x1), x3 AS (SELECT *, unnest(range(length(joined) - length(way) + 1)) AS s FROM x2)
+SELECT clue_id, way <> a AS turned, CAST(places[s + 1] AS INTEGER) AS starts, CAST(places[s + length(way)] + 1 AS INTEGER) AS ends FROM x3 WHERE substr(joined, s + 1, length(way)) = way""",
+    "first_sentences": rf"WITH {annotations._ANN}, f1 AS (SELECT coalesce(nullif(regexp_extract(walkthrough, '(?s)^(.*?[.!?])(?:\s|$)', 1), ''), walkthrough) AS t FROM ann WHERE walkthrough IS NOT NULL) SELECT CAST(len({_W('t')}) AS INTEGER) AS n_words, count(*) AS n FROM f1 GROUP BY 1",
+    "words_by_answer_length": f"WITH {_BY_LENGTH} SELECT * FROM bl",
+    "terse_clues": f"WITH {_BY_LENGTH} SELECT clue_id, words, median_words FROM cw JOIN bl USING (n_letters) WHERE words < median_words - 1",
+    "context_sets": f"WITH {_T}, p AS (SELECT ws[i + 1] AS word, ws[i] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM t)), q AS (SELECT word, " + ", ".join(f"count(*) FILTER (b IN ({', '.join(repr(x) for x in names)})) AS {name}" for name, names in CONTEXTS.items()) + f" FROM p GROUP BY 1) SELECT * FROM q WHERE {' + '.join(CONTEXTS)} >= 10",
     "separators": f"""WITH {_E}, x AS (SELECT clue_id, n_cells, list_transform(regexp_extract_all({_ENUM}, '[0-9]+'), lambda v: CAST(v AS INTEGER)) AS sizes, regexp_extract_all({_ENUM}, '[,-]') AS signs FROM e WHERE {_ENUM} <> '')
 SELECT clue_id, CASE WHEN list_sum(sizes) = n_cells AND len(signs) = len(sizes) - 1 THEN coalesce(array_to_string(list_transform(range(1, len(sizes)), lambda i: signs[i] || CAST(CAST(list_sum(sizes[1:i]) AS INTEGER) AS VARCHAR)), ' '), '') END AS marks FROM x""",
     "marks_shortest_first": f"WITH {_E}, x AS (SELECT clue_id, unnest(list_distinct(list_filter(list_concat([definition], coalesce(indicators, [])), lambda p: p <> ''))) AS p FROM e WHERE clue IS NOT NULL AND definition IS NOT NULL) SELECT clue_id, string_agg(p, '|' ORDER BY length(p), p) AS marks FROM x GROUP BY 1",

@@ -120,6 +120,61 @@ def entry_rows(spark, sf_dir):
     return rows.select("puzzle_id", F.array_join(F.transform("e", lambda x: x["entry_id"]), " ").alias("entries"))
 
 
+def canonical_entries(spark, sf_dir):
+    """Entries of each document with defaults for what it leaves out, numbered from the top left to the bottom right."""
+    rows = problems.QUERIES["p1_entries"](spark, sf_dir)
+    full = rows.select("raw_id", F.col("entries_key").alias("entry_id"), F.coalesce("position_y", F.lit(0)).alias("y"), F.coalesce("position_x", F.lit(0)).alias("x"), F.coalesce("direction", F.lit("across")).alias("direction"), F.coalesce("length", F.length("solution").cast("bigint"), F.lit(0)).alias("n_cells"), F.coalesce("clue", F.lit("")).alias("clue"))
+    ordered = full.groupBy("raw_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "direction", "entry_id", "n_cells", "clue"))).alias("e"))
+    return ordered.select("raw_id", F.posexplode("e").alias("place", "r")).select("raw_id", "place", "r.entry_id", "r.direction", "r.n_cells", F.length("r.clue").alias("n_signs"))
+
+
+def row_major(spark, sf_dir):
+    """Solutions sliced out of their grid as one row-major text; cells outside it and unknown ones are a dot."""
+    letters = puzzles._cells(spark, sf_dir).where(F.col("x").between(0, GRID - 1) & F.col("y").between(0, GRID - 1) & (F.col("letter") != "")).groupBy("puzzle_id", "x", "y").agg(F.min("letter").alias("l"))
+    grids = letters.groupBy("puzzle_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * GRID + F.col("x")).alias("k"), "l"))).alias("m"))
+    grids = grids.select("puzzle_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(GRID * GRID - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit("."))), "").alias("grid"))
+    across = F.col("direction") == "across"
+    rows = _latest(spark, sf_dir).where("n_cells > 0").join(grids, "puzzle_id")
+
+    def sign(n):
+        x, y = F.col("pos_x") + F.when(across, n).otherwise(0), F.col("pos_y") + F.when(across, 0).otherwise(n)
+        return F.when(x.between(0, GRID - 1) & y.between(0, GRID - 1), F.substring("grid", y * GRID + x + 1, F.lit(1))).otherwise(".")
+
+    sliced = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_cells") - 1), sign), "")
+    return rows.select("puzzle_id", "entry_id", sliced.alias("sliced"))
+
+
+def index_projection(spark, sf_dir):
+    """The index as it is shown: number with thousands, flags, and the band where the rating rests on devices and one more measure."""
+    rated = (F.size("difficulty.basis") >= 2) & F.array_contains("difficulty.basis", "device")
+    return puzzles._index(spark, sf_dir).where("removed_at IS NULL").select(
+        "puzzle_id", "series", F.format_number("puzzle_no", 0).alias("number"), F.coalesce("annotated", F.lit(False)).alias("annotated"), F.coalesce("has_solutions", F.lit(False)).alias("has_solutions"), F.when(rated, F.col("difficulty.band")).alias("band")
+    )
+
+
+def hardest_first(spark, sf_dir):
+    """Rated puzzles, the hardest first."""
+    rows = puzzles._index(spark, sf_dir).select("puzzle_id", F.col("difficulty.score").alias("score")).where("score IS NOT NULL")
+    return puzzles.ordering.numbered(rows, [F.col("score").desc(), F.col("puzzle_id")])
+
+
+def linked_faults(spark, sf_dir):
+    """Entries linked to one that is not there, or that does not count them among its group."""
+    rows = _latest(spark, sf_dir)
+    cover = rows.select("puzzle_id", id_key(F.col("entry_id")).alias("target"), F.transform("group_ids", lambda g: id_key(g)).alias("members"))
+    linked = rows.select("puzzle_id", "entry_id", id_key(F.col("linked_to")).alias("target")).where("target IS NOT NULL").join(cover, ["puzzle_id", "target"], "left")
+    fault = F.when(F.col("members").isNull(), "no-target").when(~F.array_contains("members", id_key(F.col("entry_id"))), "not-covered")
+    return linked.select("puzzle_id", "entry_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def answer_accuracy(spark, sf_dir):
+    """Answers of the first loading as guesses at those of the last: how many were made, held back and right, by direction."""
+    first = puzzles._first(spark, sf_dir).select("puzzle_id", "entry_id", F.col("answer").alias("guess"))
+    rows = _latest(spark, sf_dir).where("answer IS NOT NULL").select("puzzle_id", "entry_id", "direction", "answer").join(first, ["puzzle_id", "entry_id"])
+    counts = rows.groupBy("direction").agg(F.count("guess").alias("guesses"), F.count_if(F.col("guess").isNull()).alias("abstentions"), F.count_if(F.col("guess") == F.col("answer")).alias("right"))
+    return counts.withColumn("accuracy", F.round(F.col("right") / F.nullif("guesses", F.lit(0)), 6))
+
+
 def light_runs(spark, sf_dir):
     """Longest run of open cells in any row and any column of each grid."""
     lit = puzzles._cells(spark, sf_dir).select("puzzle_id", "x", "y").distinct()
@@ -235,7 +290,7 @@ def best_answers(spark, sf_dir):
 
 
 NAMES = """puzzle_flags unsolved_queue backlog_order recent_solved refresh_set default_list sync_codes series_by_number reconcile checked_pattern check_tally
-named_and_present entry_rows light_runs grid_limits usage_names usage_steps judge_means asof_reading next_resets sealed_progress changed_pushes stream_saves
+named_and_present entry_rows canonical_entries row_major index_projection hardest_first linked_faults answer_accuracy light_runs grid_limits usage_names usage_steps judge_means asof_reading next_resets sealed_progress changed_pushes stream_saves
 save_retention score_levels weekday_dimension best_answers""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -260,6 +315,13 @@ SQL = {
     "check_tally": f"WITH {_E}, {_F}, {_CELLS_OF('wa', 'e')}, {_CELLS_OF('ty', 'f')}, x AS (SELECT puzzle_id, count(*) FILTER (ty.letter <> wa.letter) AS wrong, count(*) FILTER (ty.letter = wa.letter) AS \"right\", count(*) FILTER (ty.letter IS NULL) AS blank FROM wa LEFT JOIN ty USING (puzzle_id, x, y) GROUP BY 1) SELECT *, (wrong + \"right\") * 2 >= wrong + \"right\" + blank AS half_filled, wrong = 0 AND blank = 0 AS done FROM x",
     "named_and_present": f"WITH {_I}, x AS (SELECT series, list_sort(list(DISTINCT lower(setter)) FILTER (annotated AND setter IS NOT NULL)) AS a, list_sort(list(DISTINCT lower(setter)) FILTER (setter IS NOT NULL)) AS b FROM i GROUP BY 1) SELECT series, CAST(len(b) AS INTEGER) AS n_setters, coalesce(a, []) = b AS same FROM x",
     "entry_rows": f"WITH {_E} SELECT puzzle_id, string_agg(entry_id, ' ' ORDER BY pos_y, pos_x, direction, entry_id) AS entries FROM e GROUP BY 1",
+    "canonical_entries": f"""WITH {problems._NODES}, x0 AS (SELECT raw_id, entry_id, coalesce(CAST(e ->> '$.position.y' AS BIGINT), 0) AS y, coalesce(CAST(e ->> '$.position.x' AS BIGINT), 0) AS x, coalesce(e ->> '$.direction', 'across') AS direction, coalesce(CAST(e ->> '$.length' AS BIGINT), length(e ->> '$.solution'), 0) AS n_cells, coalesce(e ->> '$.clue', '') AS clue FROM s)
+SELECT raw_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY y, x, direction, entry_id, n_cells, clue) - 1 AS INTEGER) AS place, entry_id, direction, n_cells, CAST(length(clue) AS INTEGER) AS n_signs FROM x0""",
+    "row_major": f"WITH {_C}, k AS (SELECT puzzle_id, x, y, min(letter) AS l FROM c WHERE letter IS NOT NULL AND x BETWEEN 0 AND 14 AND y BETWEEN 0 AND 14 GROUP BY 1, 2, 3), g AS (SELECT DISTINCT puzzle_id FROM k) SELECT c.puzzle_id, c.entry_id, string_agg(coalesce(k.l, '.'), '' ORDER BY c.n) AS sliced FROM c JOIN g USING (puzzle_id) LEFT JOIN k ON k.puzzle_id = c.puzzle_id AND k.x = c.x AND k.y = c.y GROUP BY 1, 2",
+    "index_projection": f"WITH {_I} SELECT puzzle_id, series, format('{{:,}}', puzzle_no) AS number, coalesce(annotated, false) AS annotated, coalesce(has_solutions, false) AS has_solutions, CASE WHEN len(difficulty.basis) >= 2 AND list_contains(difficulty.basis, 'device') THEN difficulty.band END AS band FROM i WHERE removed_at IS NULL".replace("{:,}", "{:,}"),
+    "hardest_first": f"WITH {_I} SELECT puzzle_id, difficulty.score AS score, row_number() OVER (ORDER BY difficulty.score DESC, puzzle_id) AS position FROM i WHERE difficulty.score IS NOT NULL",
+    "linked_faults": f"WITH {_E}, x AS (SELECT puzzle_id, entry_id, {_KEY('linked_to')} AS target FROM e), y AS (SELECT x.puzzle_id, x.entry_id, CASE WHEN o.group_ids IS NULL THEN 'no-target' WHEN NOT list_contains(list_transform(o.group_ids, lambda g: {_KEY('g')}), {_KEY('x.entry_id')}) THEN 'not-covered' END AS fault FROM x LEFT JOIN e o ON o.puzzle_id = x.puzzle_id AND {_KEY('o.entry_id')} = x.target WHERE x.target IS NOT NULL) SELECT * FROM y WHERE fault IS NOT NULL",
+    "answer_accuracy": f"WITH {_E}, {_F}, x AS (SELECT e.direction, count(f.answer) AS guesses, count(*) FILTER (f.answer IS NULL) AS abstentions, count(*) FILTER (f.answer = e.answer) AS \"right\" FROM e JOIN f USING (puzzle_id, entry_id) WHERE e.answer IS NOT NULL GROUP BY 1) SELECT *, round(\"right\" / nullif(guesses, 0), 6) AS accuracy FROM x",
     "light_runs": f"WITH {_C}, l AS (SELECT DISTINCT puzzle_id, x, y FROM c) SELECT a.puzzle_id, a.longest AS across, d.longest AS down FROM ({_RUN('y', 'x')}) a JOIN ({_RUN('x', 'y')}) d USING (puzzle_id)",
     "grid_limits": f"""WITH RECURSIVE {_C}, l AS (SELECT DISTINCT puzzle_id, x, y FROM c), z AS (SELECT puzzle_id, max(x) + 1 AS w, max(y) + 1 AS h FROM l GROUP BY 1), g AS (SELECT DISTINCT puzzle_id, x, y FROM c JOIN e USING (puzzle_id, entry_id) WHERE n_cells >= 3),
 u AS (SELECT puzzle_id, count(*) AS n, count(*) FILTER (k > 1) AS k FROM (SELECT puzzle_id, x, y, count(*) AS k FROM c GROUP BY 1, 2, 3) GROUP BY 1), cut AS (SELECT puzzle_id, min(n) AS n FROM ({_CUTS('y', 'x')} UNION ALL {_CUTS('x', 'y')}) GROUP BY 1),

@@ -169,7 +169,7 @@ SELECT n.user_id, n.cell, n.ts, CASE WHEN n.event_type <> 'error' THEN n.value E
 SELECT day, CASE WHEN high IS NULL THEN 'unknown' WHEN high >= 100 THEN 'over' ELSE 'under' END AS verdict, count(*) AS n FROM h GROUP BY 1, 2""",
     "alert_suppress": "WITH g AS (SELECT event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap_us FROM events) SELECT event_type, count(*) AS n_alerts FROM g WHERE gap_us IS NULL OR gap_us > 43200000000 GROUP BY 1",
     "event_retention": "SELECT event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1",
-    "stream_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2",
+    "stream_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') AND coalesce(octet_length(encode(props)), 0) <= 32 GROUP BY 1, 2",
     "stream_dedup": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
     "save_merge": _SAVES + " SELECT sync_code, puzzle, count(*) AS n_pushes, max(letters_typed) AS letters_typed, max(reveals_used) AS reveals_used, max(active_ms) AS active_ms, min(solved_at) AS solved_at, max(updated_at) AS updated_at FROM s WHERE sync_code IS NOT NULL AND puzzle <> '' GROUP BY 1, 2",
     "hint_union": _SAVES + """, h AS (SELECT sync_code, puzzle, unnest(map_entries(hints_shown)) AS e FROM s WHERE sync_code IS NOT NULL AND puzzle <> ''), r AS (SELECT sync_code, puzzle, e.key AS entry_id, unnest(e.value) AS rung FROM h)

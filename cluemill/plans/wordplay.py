@@ -63,7 +63,7 @@ def clue_packets(spark, sf_dir):
     """Each puzzle's clues as one text in page order."""
     line = F.concat_ws(" ", F.col("entry_no").cast("string"), "direction", "clue")
     rows = _latest(spark, sf_dir).where("clue IS NOT NULL").groupBy("puzzle_id").agg(F.array_sort(F.collect_list(F.struct("direction", "entry_no", "entry_id", line.alias("line")))).alias("l"))
-    return rows.select("puzzle_id", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("packet"), F.size("l").cast("bigint").alias("n"))
+    return rows.select("puzzle_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("packet"), F.size("l").cast("bigint").alias("n"))
 
 
 def _cells(spark, sf_dir):
@@ -226,7 +226,7 @@ SELECT word, abbreviation, other FROM r JOIN ab ON array_to_string(list_sort(str
     "redacted_clues": f"WITH {_E} SELECT puzzle_id, entry_id, replace(clue, definition, '___') AS clue FROM e WHERE clue IS NOT NULL AND definition <> ''",
     "usable_clues": f"WITH {_E} SELECT clue_id FROM e WHERE length(clue) >= 12 AND answer IS NOT NULL AND {_ENUM} <> '' AND coalesce(list_sum(list_transform(regexp_extract_all({_ENUM}, '[0-9]+'), lambda x: CAST(x AS INTEGER))), 0) = length({puzzles._LET('answer')}) AND NOT regexp_matches(clue, '[{{}}\\[\\]<>]') AND NOT regexp_matches(lower(clue), '\\b\\d+ ?(?:across|down|ac|dn)\\b') AND NOT contains({puzzles._LET('clue')}, {puzzles._LET('answer')})",
     "rival_clues": f"WITH {_E}, r AS (SELECT answer, clue_id, CAST(row_number() OVER (PARTITION BY answer ORDER BY length(clue) DESC, clue_id) AS INTEGER) AS place FROM e WHERE answer IS NOT NULL AND clue IS NOT NULL) SELECT * FROM r WHERE place <= 3",
-    "clue_packets": f"WITH {_E} SELECT puzzle_id, md5(string_agg(concat_ws(' ', entry_no, direction, clue), chr(10) ORDER BY direction, entry_no, entry_id)) AS packet, count(*) AS n FROM e WHERE clue IS NOT NULL GROUP BY 1",
+    "clue_packets": f"WITH {_E} SELECT puzzle_id, string_agg(concat_ws(' ', entry_no, direction, clue), chr(10) ORDER BY direction, entry_no, entry_id) AS packet, count(*) AS n FROM e WHERE clue IS NOT NULL GROUP BY 1",
     "checked_counts": f"WITH {_USED} SELECT * FROM k",
     "through_cuts": f"WITH {_C}, l AS (SELECT DISTINCT puzzle_id, x, y FROM c), j AS (SELECT l.puzzle_id, 'y' AS d, l.y AS at, count(*) AS n FROM l JOIN l o ON o.puzzle_id = l.puzzle_id AND o.x = l.x AND o.y = l.y + 1 GROUP BY 1, 2, 3 UNION ALL SELECT l.puzzle_id, 'x', l.x, count(*) FROM l JOIN l o ON o.puzzle_id = l.puzzle_id AND o.y = l.y AND o.x = l.x + 1 GROUP BY 1, 2, 3) SELECT puzzle_id, min(n) AS least FROM j GROUP BY 1",
     "grid_rules": f"""WITH {_USED}, d AS (SELECT DISTINCT puzzle_id, x, y FROM c), a AS ({puzzles.SQL['rot_symmetry']}), m AS ({puzzles.SQL['unchecked_runs']})

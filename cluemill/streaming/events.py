@@ -48,8 +48,13 @@ def merge_stream(pushes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spark.read.parquet(newest[-1]) if newest else merge_saves(spark.createDataFrame([], pushes.schema), keys).drop("n_pushes")
 
 
-def known(events: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
-    return events.where(F.col("event_type").isin(*vocabulary))
+#: Most bytes of an event's body.
+MOST_BYTES = 32
+
+
+def known(events: DataFrame, vocabulary: Sequence[str], body: str = "props", most: int = MOST_BYTES) -> DataFrame:
+    """Events of the vocabulary's names whose body is not too long; others are silently left out, a null body is none."""
+    return events.where(F.col("event_type").isin(*vocabulary) & (F.coalesce(F.octet_length(body), F.lit(0)) <= most))
 
 
 def daily_counts(events: DataFrame, late: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cluemill.functions import text
 from cluemill.operators import annotations as notes
-from cluemill.operators import geometry, nested, state
+from cluemill.operators import geometry, nested, scoring, state
 from cluemill.plans import clues, problems
 from cluemill.streaming import events as streams
 
@@ -119,3 +119,29 @@ def test_saves_stream_in_any_order(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(r.puzzle, r.letters_typed, r.reveals_used, r.active_ms, r.solved_at, r.updated_at) for r in streams.merge_stream(stream, ["sync_code", "puzzle"]).collect()}
     assert got == {("p", 9, 1, 9, T, T + dt.timedelta(days=9)), ("q", 1, 0, 1, None, T)}
+
+
+def test_markup_becomes_text_and_ranges(spark):
+    values = ["a <i>bc</i> d<em class='x'>e</em>", "plain & <", "<i></i>x", None, "<b>q</b></i>"]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select(text.flat_markup(F.col("t")).alias("x")).collect()
+    got = [None if r.x is None else (r.x.text, [tuple(i) for i in r.x.italics]) for r in rows]
+    assert got == [("a bc de", [(2, 2), (6, 1)]), ("plain & <", []), ("x", []), None, ("q", [])]
+
+
+def test_first_sentences(spark):
+    values = ["One. Two.", "What?! Yes", "no stop", "3.5 is. It", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "t string").select(text.first_sentence(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["One.", "What?!", "no stop", "3.5 is.", "", None]
+
+
+def test_permutation_of_any_statistic(spark):
+    spread = lambda a, b: a.std() - b.std()
+    far = scoring.permutation_of(spark, [0.0] * 12, [-9.0, 9.0] * 6, spread, 2_000).first()
+    near = scoring.permutation_of(spark, [1.0, 2.0, 3.0], [1.5, 2.5, 3.5], spread, 2_000).first()
+    assert far.p < 0.01 < near.p and far.statistic == 9.0
+    assert scoring.permutation_of(spark, [], [1.0], spread, 10).first().p == pytest.approx(1 / 11)
+
+
+def test_long_bodies_are_left_out(spark):
+    rows = spark.createDataFrame([("view", "x" * 32), ("view", "é" * 17), ("view", None), ("odd", "x")], "event_type string, props string")
+    assert streams.known(rows, ("view",)).count() == 2
