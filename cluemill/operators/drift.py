@@ -331,8 +331,9 @@ def unified(rows: DataFrame, change_rows: DataFrame) -> DataFrame:
     how they are written), and the default, null, for every field of the series that the record lacks. Of several
     values of a field in a record's repetitions the least is kept.
 
-    A file's rules are carried to its records, whose values are renamed where they stand; they are shuffled once, to
-    bring a record's repetitions together. Only records whose repetitions differ are broken into fields.
+    A file's rules are carried to its records, whose values are renamed where they stand. Hashes of the records tell
+    whose repetitions differ; only those records are broken into fields. The values of the others are shuffled once, to
+    bring repetitions together.
     """
     rules = field_rules(materialize(fingerprints(rows)), change_rows)
     vocabulary = rules.where("first_name IS NOT NULL").groupBy("series", "feed").agg(F.array_sort(F.collect_set("first_name")).alias("names"))
@@ -343,19 +344,19 @@ def unified(rows: DataFrame, change_rows: DataFrame) -> DataFrame:
     paired = F.filter(F.zip_with("ids", "values", lambda x, v: F.struct(x.alias("id"), v.alias("v"))), lambda x: x["v"].isNotNull())
     named = F.transform(paired, lambda x: F.struct(F.col("rules")[x["id"]]["first_name"].alias("f"), F.when(F.col("rules")[x["id"]]["as_text"], bare(x["v"])).otherwise(x["v"]).alias("v")))
     ready = rows.withColumnRenamed("fields", "ids").join(by_file.select(*FILE, "rules"), FILE).select(*record, "keys", named.alias("cells"))
-    whole = F.xxhash64("cells")
-    seen = materialize(ready.groupBy(*record).agg(F.first("keys").alias("keys"), F.first("cells").alias("cells"), F.min(whole).alias("_lo"), F.max(whole).alias("_hi"), F.max(F.size(F.array_distinct("cells.f")) < F.size("cells")).alias("_twice")))
-    differ = (F.col("_lo") != F.col("_hi")) | F.col("_twice")
+    whole, twice = F.xxhash64("cells"), F.size(F.array_distinct("cells.f")) < F.size("cells")
+    apart = ready.select(*record, whole.alias("_h"), twice.alias("_twice")).groupBy(*record).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.max("_twice").alias("_twice"))
+    doubtful = materialize(apart.where((F.col("_lo") != F.col("_hi")) | F.col("_twice")).select(*[F.col(c).alias(f"_{c}") for c in record]))
     mine = None
     for c in record:
         same = F.col(c).eqNullSafe(F.col(f"_{c}"))
         mine = same if mine is None else mine & same
-    doubtful = seen.where(differ).select(*[F.col(c).alias(f"_{c}") for c in record])
+    whole_ones = ready.join(doubtful, mine, "left_anti").groupBy(*record).agg(F.first("keys").alias("keys"), F.first("cells").alias("cells"))
     fields = ready.join(doubtful, mine, "left_semi").select(*record, "keys", F.explode_outer("cells").alias("c")).groupBy(*record, "c.f").agg(F.first("keys").alias("keys"), F.min("c.v").alias("v"), (F.min("c.v") != F.max("c.v")).alias("several"))
     mended = fields.groupBy(*record).agg(
         F.first("keys").alias("keys"), F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "v"))).alias("cells"), F.count_if("several").alias("conflicts")
     )
-    every = seen.where(~differ).select(*record, "keys", "cells", F.lit(0).cast("bigint").alias("conflicts")).unionByName(mended)
+    every = whole_ones.select(*record, "keys", "cells", F.lit(0).cast("bigint").alias("conflicts")).unionByName(mended)
     held = F.map_from_entries("cells")
     values = F.map_from_entries(F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n, F.col("held")[n])))
     keys = [F.get_json_object("keys", f"$.{name}").alias(name) for name in ("id", "entry", "puzzle")]
