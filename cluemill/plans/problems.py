@@ -221,7 +221,7 @@ s AS MATERIALIZED (SELECT raw_id, coalesce(nullif(e ->> '$.id', ''), k, concat(e
 h AS (SELECT raw_id, '/annotations[' AS prefix, j -> '$.annotations' AS m FROM p UNION ALL SELECT raw_id, '/annotations[', p -> '$.annotations' FROM p WHERE w),
 q AS (SELECT raw_id, prefix, m, unnest(json_keys(m)) AS k FROM h WHERE json_type(m) = 'OBJECT'),
 a AS (SELECT raw_id, entry_id, node_id || '/annotation[0]' AS node_id, 'entries' AS parent_element, node_id AS parent_id, CAST(NULL AS VARCHAR) AS item_key, {_NOTE('a')} AS n FROM s
-UNION ALL SELECT raw_id, k, prefix || k || ']', 'document', '', k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q WHERE EXISTS (SELECT 1 FROM s WHERE s.raw_id = q.raw_id AND s.entry_id = k)),
+UNION ALL SELECT raw_id, k, prefix || k || ']', 'document', '', k, {_NOTE("json_extract(m, '$.' || chr(34) || k || chr(34))")} FROM q WHERE EXISTS (SELECT 1 FROM s WHERE s.raw_id = q.raw_id AND s.entry_id = q.k)),
 g AS MATERIALIZED (SELECT * FROM a WHERE json_type(n) = 'OBJECT' AND len(json_keys(n)) > 0),
 items AS (SELECT raw_id, entry_id, 'entries' AS parent_element, node_id AS parent_id, f, e -> ('$.' || f) AS v FROM s, (VALUES ('group'), ('separatorLocations'), ('clueItalics')) t(f)
 UNION ALL SELECT raw_id, entry_id, 'annotation', node_id, f, n -> ('$.' || f) FROM g, (VALUES ('blocks'), ('pieces'), ('indicators'), ('linkWords'), ('indicatorNotes'), ('subAnagrams'), ('subReversals')) t(f)),
