@@ -163,7 +163,7 @@ def linked_faults(spark, sf_dir):
     rows = _latest(spark, sf_dir)
     cover = rows.select("puzzle_id", id_key(F.col("entry_id")).alias("target"), F.transform("group_ids", lambda g: id_key(g)).alias("members"))
     linked = rows.select("puzzle_id", "entry_id", id_key(F.col("linked_to")).alias("target")).where("target IS NOT NULL").join(cover, ["puzzle_id", "target"], "left")
-    fault = F.when(F.col("members").isNull(), "no-target").when(~F.array_contains("members", id_key(F.col("entry_id"))), "not-covered")
+    fault = F.when(F.col("members").isNull(), "no-target").when(~F.coalesce(F.array_contains("members", id_key(F.col("entry_id"))), F.lit(False)), "not-covered")
     return linked.select("puzzle_id", "entry_id", fault.alias("fault")).where("fault IS NOT NULL")
 
 
